@@ -57,6 +57,13 @@ def _drop_all() -> None:
             return
 
 
+def row_hash(df: DataFrame) -> tuple[Column, Column]:
+    """128 bits that tell rows apart by the content of all their columns; identical rows are interchangeable."""
+    cols = [F.col(f"`{f.name}`").cast("string") if f.dataType.typeName() in ("map", "variant") else F.col(f"`{f.name}`") for f in df.schema]
+    both = [*cols, *[x.isNull() for x in cols]]
+    return F.xxhash64(*both), F.xxhash64(F.lit(97), *both)
+
+
 def lower_az(text: Column) -> Column:
     """A-Z lower-cased, all else as it is; ASCII texts take the faster built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, lines, packing
+from weftline.llm import chat, fertility, lines, mixing, neardup, packing, resampling, toxicity, vectors
 from weftline.llm.common import read
 
 
@@ -12,6 +12,32 @@ def op1_best_two_fit_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"), 4096)
 
 
+def op2_tokeniser_fertility(spark, sf_dir):
+    found = fertility.judged(read(spark, sf_dir, "documents"))
+    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return found.select(*base, "n_tokens", *fertility.MEASURES)
+
+
+def op3_source_mixing(spark, sf_dir):
+    return mixing.taken_words(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+def op6_minhash_odd_sketch(spark, sf_dir):
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"), shingle_words=2)
+
+
+def op7_metric_range_join(spark, sf_dir):
+    return vectors.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def op8_importance_resampling(spark, sf_dir):
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op9_ftrl_toxicity(spark, sf_dir):
+    return toxicity.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_line_dedup(spark, sf_dir):
     found = lines.line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -47,7 +73,13 @@ def op10_chat_grammar_round_trip(spark, sf_dir):
 
 QUERIES = {
     "op1_best_two_fit_packing": op1_best_two_fit_packing,
+    "op2_tokeniser_fertility": op2_tokeniser_fertility,
+    "op3_source_mixing": op3_source_mixing,
     "op5_line_dedup": op5_line_dedup,
+    "op6_minhash_odd_sketch": op6_minhash_odd_sketch,
+    "op7_metric_range_join": op7_metric_range_join,
+    "op8_importance_resampling": op8_importance_resampling,
+    "op9_ftrl_toxicity": op9_ftrl_toxicity,
     "op10_chat_grammar_round_trip": op10_chat_grammar_round_trip,
 }
 ORACLES = {"op5_line_dedup": OP5_SQL}

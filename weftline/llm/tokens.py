@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import unicodedata
+import re
 
 import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
 #: Fixed value: the pattern by which this vocabulary splits normalised text.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Words of these characters split alike in every Unicode version; all others go to the tokenizer whole.
+ASCII_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+"
+#: Words of these characters are composed already and split alike in every Unicode version; others go to the tokenizer whole.
 PLAIN = r"[!-~¡-ſ]+"
+END = "</w>"
 
 
 def vocabulary_path(name: str) -> str:
@@ -19,6 +21,47 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_signs() -> dict[str, int]:
+    """The printable stand-ins of byte-level vocabularies: visible Latin-1 stands for itself, the rest follows from U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(hidden)}
+
+
+class LetterMerges:
+    """The merges for parts made of letters, on a rank-based merger that knows bytes only.
+
+    A part's last byte counts as another symbol than the same byte inside it. Lower-case Latin letters need few
+    enough byte values for both kinds to be bytes: `inside` and `final` map them, and the vocabulary's tokens are
+    translated alike, with their ids (which follow the order of the merges) as ranks."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        import tiktoken
+
+        used = [*range(ord("a"), ord("z") + 1), 0xC3, 0xC4, 0xC5, *range(0x80, 0xC0)]
+        free = [b for b in range(256) if b not in used]
+        self.final = {b: f for b, f in zip((b for b in used if b < 0xC0), free)}
+        self.letters = frozenset(used)
+        self.last = bytes(self.final.get(b, b) for b in range(256))
+        signs, ranks = _byte_signs(), {}
+        for token, i in vocabulary.items():
+            ended = token.endswith(END) and token != END
+            raw = [signs.get(c) for c in (token[: -len(END)] if ended else token)]
+            if raw and all(b in self.letters for b in raw) and (not ended or raw[-1] in self.final):
+                ranks[bytes(raw[:-1]) + (bytes([self.final[raw[-1]]]) if ended else bytes(raw[-1:]))] = i
+        for b in set(range(256)) - {k[0] for k in ranks if len(k) == 1}:
+            ranks[bytes([b])] = (1 << 30) + b
+        self.encode = tiktoken.Encoding("letters", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+    def __call__(self, part: str) -> bytes | None:
+        """Ids of a part, or None if it is not made of these letters."""
+        raw = part.encode()
+        if not self.letters.issuperset(raw) or raw[-1] not in self.final:
+            return None
+        ids = self.encode(raw[:-1] + self.last[raw[-1] : raw[-1] + 1])
+        return np.array(ids, dtype="<u4").tobytes() if max(ids) < 1 << 30 else None
+
+
 class TextIds:
     """Little-endian unsigned 32-bit ids of texts, equal to Tokenizer.encode(text, add_special_tokens=False).
 
@@ -26,59 +69,48 @@ class TextIds:
     are kept, as are those of the parts into which the vocabulary's pattern splits words. Both memories are
     emptied beyond `most` entries."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 800_000):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts, self.plain = regex.compile(PARTS).findall, regex.compile(PLAIN).fullmatch
+        self.parts, self.ascii_parts, self.plain = regex.compile(PARTS).findall, re.compile(ASCII_PARTS).findall, re.compile(PLAIN).fullmatch
         self.words: dict[bytes, bytes] = {}
         self.known: dict[str, bytes] = {}
         self.most = most
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
-            self.ends[i] = token.endswith("</w>")
+        self.letters = LetterMerges(self.tokenizer.get_vocab(with_added_tokens=False))
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, new: list[bytes]) -> None:
-        split, parts = {}, {}
+        known, words = self.known, self.words
         for word in new:
             text = word.decode("utf-8", "replace")
-            if not self.plain(text) or any(x in text for x in self.special):
-                self.words[word] = self._direct(text)
+            if not self.plain(text) or "<|" in text and any(x in text for x in self.special):
+                words[word] = self._direct(text)
                 continue
-            split[word] = found = self.parts(unicodedata.normalize("NFC", text).lower())
-            for x in found:
-                if x not in self.known:
-                    parts[x] = None
-        todo = list(parts)
-        for i in range(0, len(todo), 4000):
-            some = todo[i : i + 4000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some) and (not len(ids) or cuts[-1] == len(ids)):
-                at = 0
-                for x, to in zip(some, cuts.tolist()):
-                    self.known[x] = ids[at:to].tobytes()
-                    at = to
-            else:
-                for x in some:
-                    self.known[x] = self._direct(x)
-        known = self.known
-        for word, found in split.items():
-            self.words[word] = known[found[0]] if len(found) == 1 else b"".join([known[x] for x in found])
+            out = []
+            for x in self.ascii_parts(text.lower()) if text.isascii() else self.parts(text.lower()):
+                ids = known.get(x)
+                if ids is None:
+                    known[x] = ids = self.letters(x) or self._direct(x)
+                out.append(ids)
+            words[word] = out[0] if len(out) == 1 else b"".join(out)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         if len(self.words) > self.most:
             self.words = {}
         if len(self.known) > self.most:
             self.known = {}
-        split = [x.split() for x in texts]
-        new = set().union(*split) - self.words.keys()
-        if new:
-            self._learn(list(new))
-        get = self.words.__getitem__
-        return [b"".join(map(get, x)) for x in split]
+        get, out = self.words.get, []
+        for text in texts:
+            words = text.split()
+            try:
+                ids = b"".join(map(get, words))
+            except TypeError:  # some word is new
+                self._learn([w for w in dict.fromkeys(words) if w not in self.words])
+                ids = b"".join(map(get, words))
+            out.append(ids)
+        return out
