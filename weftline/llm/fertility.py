@@ -2,8 +2,8 @@
 
 Two public vocabularies read every word: one with byte fallback, one byte-level. A text's characters per
 token in each, its share of byte-fallback tokens and the entropy of its tokens are compared with bands per
-language; the bands come from all documents of the language that pass the base rules (Tukey's far fences of
-the quartiles), so no value is fitted to one corpus.
+language; the bands come from all documents of the language that pass the base rules (fences at a multiple of
+the spread beyond the quartiles), so no value is fitted to one corpus.
 
 Nulls: a null text has no words and fails; a null language is a language of its own, and one with fewer than
 `least` passing documents takes the bands of the whole corpus. Repeated rows are judged alike, each in its own
@@ -126,28 +126,30 @@ def measured(docs: DataFrame, piece_path: str | None = None, rank_path: str | No
     return docs.select(F.col("doc_id").cast("long"), lang.alias("lang"), r1.alias("r1"), r2.alias("r2"), "text").mapInArrow(run, ROWS)
 
 
-def judged(docs: DataFrame, reach: float = 3.0, least: int = 50) -> DataFrame:
+def judged(docs: DataFrame, reach: float = 4.0, least: int = 50, prior: float = 100.0) -> DataFrame:
     """measured() with base_failed and kept.
 
     A document is kept if the base rules pass and each measure lies in its language's band
     [q1 - reach * iqr, q3 + reach * iqr]; byte share and entropy have one open side (more fallback and less
-    variety are bad). Spreads count as 2% of the median at least, so that a uniform corpus rejects nothing."""
+    variety are bad). Spreads count as 2% of the median at least, so that a uniform corpus rejects nothing. Short
+    texts vary more: `prior` tokens at the language's median are added to each text before it is compared."""
     rows = cut(measured(docs).withColumn("base_failed", F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words")))
     quarts = [F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(2000)).alias(m) for m in MEASURES]
     bands = rows.where(~F.col("base_failed")).rollup("lang").agg(F.grouping("lang").alias("all"), F.count(F.lit(1)).alias("n"), *quarts)
     fences = []
     for m in MEASURES:
         spread = F.greatest(F.col(m)[2] - F.col(m)[0], 0.02 * F.abs(F.col(m)[1]), F.lit(0.002)) * reach
-        fences += [(F.col(m)[0] - spread).alias(f"{m}_low"), (F.col(m)[2] + spread).alias(f"{m}_high")]
+        fences += [(F.col(m)[0] - spread).alias(f"{m}_low"), (F.col(m)[2] + spread).alias(f"{m}_high"), F.col(m)[1].alias(f"{m}_mid")]
     bands = cut(bands.select(F.col("lang").alias("band"), "all", "n", *fences))
-    sides = [f"{m}_{x}" for m in MEASURES for x in ("low", "high")]
+    sides = [f"{m}_{x}" for m in MEASURES for x in ("low", "high", "mid")]
     own = bands.where((F.col("all") == 0) & (F.col("n") >= least)).select("band", *sides)
     whole = bands.where(F.col("all") == 1).select(*[F.col(x).alias(f"all_{x}") for x in sides])
     both = rows.join(own, F.col("lang").eqNullSafe(F.col("band")), "left").join(F.broadcast(whole.limit(1)), F.lit(True), "left")
     side = {x: F.coalesce(x, f"all_{x}") for x in sides}
-    good = (F.col("piece_chars") >= side["piece_chars_low"]) & (F.col("piece_chars") <= side["piece_chars_high"])
-    good &= (F.col("bpe_chars") >= side["bpe_chars_low"]) & (F.col("bpe_chars") <= side["bpe_chars_high"])
-    good &= (F.col("byte_share") <= side["byte_share_high"]) & (F.col("entropy") >= side["entropy_low"])
+    held = {m: (F.col(m) * F.col("n_tokens") + side[f"{m}_mid"] * prior) / (F.col("n_tokens") + prior) for m in MEASURES}
+    good = (held["piece_chars"] >= side["piece_chars_low"]) & (held["piece_chars"] <= side["piece_chars_high"])
+    good &= (held["bpe_chars"] >= side["bpe_chars_low"]) & (held["bpe_chars"] <= side["bpe_chars_high"])
+    good &= (held["byte_share"] <= side["byte_share_high"]) & (held["entropy"] >= side["entropy_low"])
     return both.withColumn("kept", ~F.col("base_failed") & F.coalesce(good, F.lit(False))).drop("band", *sides, *[f"all_{x}" for x in sides])
 
 

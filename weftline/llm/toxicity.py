@@ -1,7 +1,7 @@
 """Toxicity by logistic regression with FTRL-proximal steps over hashed word n-grams and skip-grams.
 
-Features are the presence of words, word pairs and pairs with one word between them, hashed to 2**bits
-coordinates. Each coordinate has its own learning rate, and L1 keeps only coordinates with evidence, so the
+Features are the presence of words, word pairs and pairs with one word between them, and of words' beginnings
+(inflected and compound words share them), hashed to 2**bits coordinates. Each coordinate has its own learning rate, and L1 keeps only coordinates with evidence, so the
 weights that scoring broadcasts are few (never more than 2**bits). The model is fitted on a bounded sample of
 labelled rows (`most_rows`, by id hash); scoring reads every whole text.
 
@@ -18,15 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import WordHash, byte_texts, pieces_of
-from weftline.llm.linear import gram_buckets, words_of
+from weftline.llm.common import byte_texts, pieces_of
+from weftline.llm.linear import AffixHash, gram_buckets, words_of
 
 PAIRS = (1, 2)
 _hash: dict = {}
 
 
-def _hashed() -> WordHash:
-    return _hash.setdefault(0, WordHash(800_000))
+def _hashed() -> AffixHash:
+    return _hash.setdefault(0, AffixHash())
 
 
 def remainder(doc_id, by: int = 5):
@@ -36,7 +36,7 @@ def remainder(doc_id, by: int = 5):
 class Ftrl:
     """FTRL-proximal: w_i = -(z_i - sign(z_i) l1) / ((beta + sqrt(n_i)) / alpha + l2) where |z_i| > l1, else 0."""
 
-    def __init__(self, size: int, alpha: float = 0.1, beta: float = 1.0, l1: float = 2.0, l2: float = 0.1):
+    def __init__(self, size: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 5.0, l2: float = 0.1):
         self.z, self.n = np.zeros(size + 1), np.zeros(size + 1)
         self.alpha, self.beta, self.l1, self.l2, self.bias = alpha, beta, l1, l2, size
 
@@ -59,7 +59,7 @@ def sample(labels: DataFrame, most_rows: int) -> DataFrame:
     return known.select(F.col("doc_id").cast("long").alias("i"), F.col("toxic").cast("int").alias("y")).distinct().orderBy(F.xxhash64("i"), "i", "y").limit(most_rows)
 
 
-def fit(docs: DataFrame, labels: DataFrame, bits: int = 20, most_rows: int = 8_000, epochs: int = 3, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, labels: DataFrame, bits: int = 20, most_rows: int = 12_000, epochs: int = 4, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(coordinates, weights) that are not zero; the coordinate 2**bits is the bias."""
     marks = {}
     for r in sample(labels, most_rows).collect():  # at most most_rows small rows
