@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, fertility, lines, mixing, neardup, packing, resampling, toxicity, vectors
+from weftline.llm import chat, fertility, katz, lines, mixing, neardup, packing, resampling, toxicity, vectors
 from weftline.llm.common import read
 
 
@@ -22,6 +22,10 @@ def op3_source_mixing(spark, sf_dir):
     return mixing.taken_words(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op4_katz_backoff(spark, sf_dir):
+    return katz.scores(read(spark, sf_dir, "documents"))
+
+
 def op6_minhash_odd_sketch(spark, sf_dir):
     return neardup.near_duplicates(read(spark, sf_dir, "documents"), shingle_words=2)
 
@@ -75,6 +79,7 @@ QUERIES = {
     "op1_best_two_fit_packing": op1_best_two_fit_packing,
     "op2_tokeniser_fertility": op2_tokeniser_fertility,
     "op3_source_mixing": op3_source_mixing,
+    "op4_katz_backoff": op4_katz_backoff,
     "op5_line_dedup": op5_line_dedup,
     "op6_minhash_odd_sketch": op6_minhash_odd_sketch,
     "op7_metric_range_join": op7_metric_range_join,
