@@ -18,20 +18,24 @@ def mime(content_type: Column) -> Column:
     return F.lower(F.trim(F.substring_index(F.coalesce(content_type, F.lit("")), ";", 1)))
 
 
+def _verdict(error: Column | None = None, skip: Column | str = "") -> Column:
+    return F.struct((F.lit(None) if error is None else error).cast("string").alias("error"), (F.lit(skip) if isinstance(skip, str) else skip).alias("skip"))
+
+
 def image_gate(config: Assets = Assets()) -> tuple[Column, Column]:
     """A-1: (error, skip_reason) of a row with head_ok, head_type, head_length, url, status_code, body; the first test that holds."""
     least, most = config.min_image_size_bytes, config.max_image_size_mb
     kind, length, size = mime(F.col("head_type")), F.coalesce("head_length", F.lit(0)), F.coalesce(F.length("body"), F.lit(0))
     known = M.suffix(F.col("url")).isin(*config.image_extensions)
     step = (
-        F.when(~F.coalesce("head_ok", F.lit(False)), F.struct(F.lit("HEAD request failed").alias("error"), F.lit("").alias("skip")))
-        .when((length > 0) & (length < least), F.struct(F.lit(None), F.format_string(f"Too small (%dB < {least}B)", length)))
-        .when(length > most * MB, F.struct(F.lit(None), F.lit(f"Too large (>{most}MB)")))
-        .when((kind != "") & ~F.startswith(kind, F.lit("image/")) & ~known, F.struct(F.lit(None), F.concat(F.lit("Not an image: "), kind)))
-        .when(F.col("status_code") != 200, F.struct(F.format_string("HTTP %d", F.col("status_code")), F.lit("")))
-        .when(size < least, F.struct(F.lit(None), F.format_string("Too small after download (%dB)", size)))
-        .otherwise(F.struct(F.lit(None), F.lit("")))
-    ).cast("struct<error:string,skip:string>")
+        F.when(~F.coalesce("head_ok", F.lit(False)), _verdict(F.lit("HEAD request failed")))
+        .when((length > 0) & (length < least), _verdict(skip=F.format_string(f"Too small (%dB < {least}B)", length)))
+        .when(length > most * MB, _verdict(skip=f"Too large (>{most}MB)"))
+        .when((kind != "") & ~F.startswith(kind, F.lit("image/")) & ~known, _verdict(skip=F.concat(F.lit("Not an image: "), kind)))
+        .when(F.col("status_code") != 200, _verdict(F.format_string("HTTP %d", F.col("status_code"))))
+        .when(size < least, _verdict(skip=F.format_string("Too small after download (%dB)", size)))
+        .otherwise(_verdict())
+    )
     return step["error"], step["skip"]
 
 
@@ -39,14 +43,14 @@ def pdf_gate(config: Assets = Assets()) -> tuple[Column, Column]:
     """(error, skip_reason); a failed HEAD does not stop a PDF."""
     most = config.max_pdf_size_mb
     length, size = F.coalesce("head_length", F.lit(0)), F.coalesce(F.length("body"), F.lit(0))
-    large = F.struct(F.lit(None).alias("error"), F.lit(f"Too large (>{most}MB)").alias("skip"))
+    large = _verdict(skip=f"Too large (>{most}MB)")
     step = (
         F.when(F.coalesce("head_ok", F.lit(False)) & (length > most * MB), large)
-        .when(F.col("status_code") != 200, F.struct(F.format_string("HTTP %d", F.col("status_code")), F.lit("")))
-        .when(~F.coalesce(F.startswith(F.col("body"), F.lit(b"%PDF")), F.lit(False)), F.struct(F.lit(None), F.lit("Not a valid PDF (missing %PDF header)")))
+        .when(F.col("status_code") != 200, _verdict(F.format_string("HTTP %d", F.col("status_code"))))
+        .when(~F.coalesce(F.startswith(F.col("body"), F.lit(b"%PDF")), F.lit(False)), _verdict(skip="Not a valid PDF (missing %PDF header)"))
         .when(size > most * MB, large)
-        .otherwise(F.struct(F.lit(None), F.lit("")))
-    ).cast("struct<error:string,skip:string>")
+        .otherwise(_verdict())
+    )
     return step["error"], step["skip"]
 
 

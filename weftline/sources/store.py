@@ -30,12 +30,12 @@ def write_pages(pages: DataFrame, path: str, as_json: bool = False) -> None:
 
 
 def read_pages_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(records, files that could not be read) of *.json files at any depth."""
+    """(records, files that could not be read) of *.json files at any depth, one record each."""
     schema = page_schema().add("_corrupt_record", "string")
-    reader = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("mode", "PERMISSIVE")
-    rows = reader.json(path).withColumn("file", F.col("_metadata.file_path"))
-    bad = F.col("_corrupt_record").isNotNull()
-    return rows.where(~bad).drop("_corrupt_record", "file"), rows.where(bad).select("file")
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
+    rows = files.select(F.col("_metadata.file_path").alias("file"), F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
+    bad = F.col("r._corrupt_record").isNotNull() | F.col("r").isNull()
+    return rows.where(~bad).select("r.*").drop("_corrupt_record"), rows.where(bad).select("file")
 
 
 def crawl_index(pages: DataFrame, errors: DataFrame) -> DataFrame:
