@@ -32,6 +32,8 @@ def test_dense_and_plan(spark):
     q = spark.createDataFrame([(9, "the red house")], "query_id long, q string").withColumn("dense", model("q")).drop("q")
     got = retrieval.dense_topk(frame, q, 2).collect()
     assert [r.id for r in sorted(got, key=lambda r: r.rank)][0] == 0 and len(got) == 2
+    tiled = retrieval.dense_topk(frame, q, 2, tile=(1, 1)).collect()
+    assert sorted(map(str, tiled)) == sorted(map(str, got))
     assert "WindowGroupLimit" in retrieval.dense_topk(frame, q, 2)._jdf.queryExecution().executedPlan().toString()
 
 

@@ -103,6 +103,17 @@ def merged(base: Config, over: dict) -> Config:
     return replace(base, **sections)
 
 
+def load(path: str | None = None, base: Config | None = None) -> tuple[Config, list[str]]:
+    """(configuration, seeds) of a JSON file laid over the defaults; no file gives the defaults."""
+    import json
+
+    if not path:
+        return base or Config(), []
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file)
+    return merged(base or Config(), found), list(found.get("seeds", []))
+
+
 def required(settings: dict, names: list[str]) -> None:
     """Raises ValueError naming every setting that is missing or empty."""
     missing = [n for n in names if not settings.get(n)]

@@ -9,7 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,17 +34,34 @@ def top(scored: DataFrame, k: int, query: str, ident: str, score: str = "score")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def dense_topk(points: DataFrame, queries: DataFrame, k: int = 20, ident: str = "id", query: str = "query_id", vector: str = "dense", by: str = "dense") -> DataFrame:
-    """R-2: (query, ident, score, rank) by cosine of unit vectors (inner product); an exact scan.
-
-    queries: (query, by). Questions are gathered into blocks, and each block meets every point once, so the scan
-    reads the points once per block and not once per question."""
-    block = 64
-    numbered = queries.select(query, F.col(by).cast("array<double>").alias("__q"))
-    blocks = numbered.groupBy(F.pmod(F.xxhash64(query), F.lit(block)).alias("__b")).agg(F.collect_list(F.struct(query, "__q")).alias("__qs"))
-    pairs = points.select(ident, F.col(vector).cast("array<double>").alias("__v")).join(blocks, F.lit(True)).select(ident, "__v", F.explode("__qs").alias("__x"))
-    scored = pairs.select(F.col(f"__x.{query}").alias(query), ident, F.round(dot(F.col("__v"), F.col("__x.__q")), 9).alias("score"))
-    return top(scored, k, query, ident)
+def dense_topk(points: DataFrame, queries: DataFrame, k: int = 20, ident: str = "id", query: str = "query_id", vector: str = "dense", by: str = "dense", tile: tuple[int, int] = (16_384, 1_024)) -> DataFrame:
+    """R-2: (query, ident, score, rank) by cosine of unit vectors (inner product in double precision); an exact scan.
+
+    queries: (query, by). Points and questions are dealt over a grid of tiles; a tile multiplies two matrices and
+    returns each question's best k, so no pair of a question and a point is ever a row."""
+    down, across = (max(1, -(-df.count() // n)) for df, n in ((points, tile[0]), (queries, tile[1])))
+    place = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = points.select(place(ident, down).alias("r"), every(across).alias("c"), F.col(ident).alias("p"), F.lit(None).cast(queries.schema[query].dataType).alias("q"), F.col(vector).cast("array<double>").alias("v"))
+    asked = queries.select(every(down).alias("r"), place(query, across).alias("c"), F.lit(None).cast(points.schema[ident].dataType).alias("p"), F.col(query).alias("q"), F.col(by).cast("array<double>").alias("v"))
+
+    def best(group: pa.Table) -> pa.Table:
+        side = group.column("q").is_valid()
+        x, y = group.filter(pc.invert(side)), group.filter(side)
+        rows = []
+        if x.num_rows and y.num_rows:
+            a, b = (np.array(t.column("v").to_pylist(), dtype=np.float64) for t in (x, y))
+            scores = b @ a.T
+            for i, s in enumerate(scores):
+                least = np.partition(s, -k)[-k] - 4e-9 if len(s) > k else -np.inf
+                rows += [(i, j) for j in np.flatnonzero(s >= least).tolist()]
+            i, j = (np.array(z, dtype=np.int64) for z in zip(*rows))
+            return pa.table({query: y.column("q").take(pa.array(i)), ident: x.column("p").take(pa.array(j)), "score": pa.array(scores[i, j])})
+        return pa.table({query: y.column("q").slice(0, 0), ident: x.column("p").slice(0, 0), "score": pa.array([], pa.float64())})
+
+    kinds = f"{query} {queries.schema[query].dataType.simpleString()}, {ident} {points.schema[ident].dataType.simpleString()}, score double"
+    scored = own.unionByName(asked).groupBy("r", "c").applyInArrow(best, kinds)
+    return top(scored.withColumn("score", F.round("score", 9)), k, query, ident)
 
 
 def sparse_topk(postings: DataFrame, terms: DataFrame, k: int = 20, ident: str = "id", query: str = "query_id") -> DataFrame:
