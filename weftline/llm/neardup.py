@@ -2,9 +2,9 @@
 
 Documents with the same shingle set are one class from the start. Class representatives meet in buckets of
 banded MinHash values; pairs pass a bound on sizes and an odd sketch (parity bitmap of the MinHash sample, whose
-XOR population count estimates high similarities), and are confirmed on their full sets. Buckets never emit all
+XOR population count estimates high similarities), and are confirmed on their full sets. Buckets never emit
 their pairs: each first compares its members with one of them, the member that meets most others; only members
-that are still in different components after that are compared with each other.
+that are outside a bucket's largest component after that meet its other members, in tiles of bounded size.
 
 With the defaults two sets of similarity 0.8 share no bucket with probability (1 - 0.8**6)**40 < 6e-6.
 
@@ -106,23 +106,9 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bands array<long>, sketch binary")
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int, sample: int) -> DataFrame:
-    """Edges (a, b): those of the pairs that hold on full sets."""
-    one = reps.select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("sx"))
-    two = reps.select(F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("sy"))
-    joined = pairs.join(one, F.col("a") == F.col("x")).join(two, F.col("b") == F.col("y"))
-    joined = joined.where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")).select("a", "b", "sx", "sy")
-    floor = percent / 100 - 6 * (0.16 / sample) ** 0.5 - 0.03
-
-    def near(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for k in (2, 3))
-                batch = batch.filter(pa.array(estimate(np.bitwise_count(x ^ y).sum(axis=1).astype(float), sample) >= floor))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"])
-
-    pairs = cut(joined.mapInArrow(near, "a long, b long"))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("i"))
+def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(i, s): the shingle sets of the documents with these ids, packed. A bitmap of fixed size keeps most other texts
+    from being read into sets; the join afterwards is exact."""
     placed = ids.select(F.pmod(F.xxhash64("i"), F.lit(FILTER_BITS)).alias("p"))
     words = placed.groupBy(F.expr("cast(p div 64 as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("v"))
     bitmap = np.zeros(FILTER_BITS // 64, dtype=np.int64)
@@ -140,8 +126,26 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, p
 
     some = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("i"), "text")
     some = some.select("i", "text", F.pmod(F.xxhash64("i"), F.lit(FILTER_BITS)).alias("at")).mapInArrow(sets, "i long, s binary")
-    full = some.join(ids.distinct(), "i", "left_semi")
-    full = cut(full)
+    return cut(some.join(ids.distinct(), "i", "left_semi").dropDuplicates(["i"]))
+
+
+def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int, sample: int) -> DataFrame:
+    """Edges (a, b): those of the pairs that hold on full sets."""
+    one = reps.select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("sx"))
+    two = reps.select(F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("sy"))
+    joined = pairs.join(one, F.col("a") == F.col("x")).join(two, F.col("b") == F.col("y"))
+    joined = joined.where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")).select("a", "b", "sx", "sy")
+    floor = percent / 100 - 6 * (0.16 / sample) ** 0.5 - 0.03
+
+    def near(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for k in (2, 3))
+                batch = batch.filter(pa.array(estimate(np.bitwise_count(x ^ y).sum(axis=1).astype(float), sample) >= floor))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"])
+
+    pairs = cut(joined.mapInArrow(near, "a long, b long"))
+    full = full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("i")), width)
     one, two = (full.select(F.col("i").alias(k), F.col("s").alias(v)) for k, v in (("x", "sx"), ("y", "sy")))
     joined = pairs.join(one, F.col("a") == F.col("x")).drop("x").join(two, F.col("b") == F.col("y")).select("a", "b", "sx", "sy")
 
@@ -159,6 +163,63 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, p
     return cut(joined.mapInArrow(holds, "a long, b long").distinct())
 
 
+def _between_parts(labels: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int, tile: int = 1 << 20) -> DataFrame:
+    """Edges (a, b) between members of different parts that share a bucket (labels: key, i, part).
+
+    In each bucket the members outside its largest part meet all its members, exactly and on full sets, in tiles of
+    about `tile` shingles a side; rows are copied once per tile of the other side and never paired. Tiles return a
+    spanning forest of what they find."""
+    sized = labels.join(reps.select(F.col("rep").alias("r"), F.col("n")), F.col("i") == F.col("r")).drop("r")
+    per = sized.groupBy("key", "part").agg(F.sum("n").alias("s"))
+    keys = per.groupBy(F.col("key").alias("k")).agg(F.max_by("part", F.struct("s", "part")).alias("main"), F.max("s").alias("most"), F.sum("s").alias("all"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    keys = cut(keys.select("k", "main", F.ceil(F.col("all") / tile).cast("int").alias("a"), F.ceil((F.col("all") - F.col("most")) / tile).cast("int").alias("b")))
+    rows = cut(sized.drop("n").join(keys, F.col("key") == F.col("k")).drop("k"))
+    sets = full_sets(docs, rows.select("i").distinct(), width).withColumnRenamed("i", "w")
+    full = rows.join(sets, F.col("i") == F.col("w")).drop("w")
+    at, to = (F.pmod(F.xxhash64(F.lit(x), "i"), F.col(x)).cast("int") for x in ("a", "b"))
+    build = full.select("key", "i", "part", "s", F.lit(False).alias("probe"), at.alias("ra"), F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("cb"))
+    probe = full.where("part <> main").select("key", "i", "part", "s", F.lit(True).alias("probe"), F.explode(F.sequence(F.lit(0), F.col("a") - 1)).alias("ra"), to.alias("cb"))
+
+    def meet(key, group):
+        probes = group.column("probe").to_pylist()
+        ids, parts = group.column("i").to_pylist(), group.column("part").to_pylist()
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in group.column("s").to_pylist()]
+        own = [k for k, p in enumerate(probes) if not p]
+        found: list[tuple[int, int]] = []
+        if own and len(own) < len(probes):
+            size = np.array([len(sets[k]) for k in own])
+            values, of = np.concatenate([sets[k] for k in own]), np.repeat(np.arange(len(own)), size)
+            order = np.argsort(values, kind="stable")
+            values, of = values[order], of[order]
+            for k in (k for k, p in enumerate(probes) if p):
+                low, high = np.searchsorted(values, sets[k], "left"), np.searchsorted(values, sets[k], "right")
+                n = high - low
+                at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                both = np.bincount(of[at], minlength=len(own))
+                for m in np.flatnonzero(100 * both >= percent * (size + len(sets[k]) - both)).tolist():
+                    if parts[own[m]] != parts[k]:
+                        found.append((ids[k], ids[own[m]]))
+        up: dict[int, int] = {}
+
+        def top(x):
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        part = dict(zip(ids, parts))
+        edges = []
+        for x, y in found:
+            p, q = top(part[x]), top(part[y])
+            if p != q:
+                up[max(p, q)] = min(p, q)
+                edges.append((x, y))
+        a, b = [list(x) for x in zip(*edges)] if edges else ([], [])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return cut(build.unionByName(probe).groupBy("key", "ra", "cb").applyInArrow(meet, "a long, b long").distinct())
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = 40, rows: int = 6) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): links hold where 100 * intersection >= percent * union."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
@@ -176,11 +237,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     parts = cut(components(edges))
     labels = members.join(parts, F.col("i") == F.col("node"), "left").select("key", "i", F.coalesce("component", "i").alias("part"))
     labels = cut(labels)
-    open_keys = labels.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select(F.col("key").alias("k"))
-    open_rows = cut(labels.join(open_keys, F.col("key") == F.col("k"), "left_semi"))
-    other = open_rows.select(F.col("key").alias("k"), F.col("i").alias("j"), F.col("part").alias("q"))
-    rest = open_rows.join(other, (F.col("key") == F.col("k")) & (F.col("part") < F.col("q"))).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
-    more = _confirmed(cut(rest), reps, docs, shingle_words, percent, bands * rows)
+    more = _between_parts(labels, reps, docs, shingle_words, percent)
     parts = components(edges.union(more)) if not more.isEmpty() else parts
     known = reps.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("d1").alias("r1"), F.col("d2").alias("r2"), F.col("n").alias("rn"), F.coalesce("component", "rep").alias("part"))
     same = (F.col("d1") == F.col("r1")) & (F.col("d2") == F.col("r2")) & (F.col("n") == F.col("rn")) & F.col("doc_id").isNotNull()
