@@ -34,13 +34,13 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, *by: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends and lost executors cost nothing.
 
-    The table is deleted when the driver process ends."""
+    by: columns that part the table's files. The table is deleted when the driver process ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=list(by) or None)
     if not _written:
         atexit.register(_drop_all)
     _written.append((spark, path))
@@ -145,7 +145,7 @@ def components(edges: DataFrame) -> DataFrame:
     distributed and each round ends in a table of the shared folder."""
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     state = None
-    while True:
+    while not now.isEmpty():
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumnRenamed("u", "w")
         large = both.join(cut(least), F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
