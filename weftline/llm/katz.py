@@ -26,16 +26,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import TO_LOWER, WordHash, byte_texts, cut, mixed, pieces_of, scrambled
+from weftline.llm.common import SPACES, TO_LOWER, byte_texts, cut, mixed, pieces_of, scrambled
 
 START, END = np.uint64(2), np.uint64(1)
 TOP, SKETCH, SLICES = 5, 18, 64
 WORD_SHARE, PAIR_SHARE = 1e-5, 2e-5
-_hash: dict = {}
 
 
-def _hashed() -> WordHash:
-    return _hash.setdefault(0, WordHash(800_000))
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[list(SPACES)] = True
+_VALUES = np.random.default_rng(101).integers(0, 1 << 64, 256, dtype=np.uint64)
+_STEP, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+CLOSE = 0xFF  # a byte that no text holds: it closes each text and stands for END
+_powers: dict = {}
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the step and of its inverse, modulo 2**64."""
+    if len(_powers.get(_STEP, ())) < n:
+        for base in (_STEP, _BACK):
+            run = np.full(n, base, dtype=np.uint64)
+            run[0] = 1
+            with np.errstate(over="ignore"):
+                _powers[base] = np.multiply.accumulate(run)
+    return _powers[_STEP][:n], _powers[_BACK][:n]
+
+
+def word_hashes(texts: list[bytes]) -> np.ndarray:
+    """Hashes of all words (A-Z lower-cased) of many texts, END after each text: a polynomial over random byte values
+    from one running sum, scrambled. No word is looked up, so memory does not grow with the vocabulary."""
+    raw = np.frombuffer(b" \xff ".join([*texts, b""]).translate(TO_LOWER), dtype=np.uint8)
+    inside = np.zeros(len(raw) + 2, dtype=np.int8)
+    inside[1:-1] = ~_SPACE[raw]
+    edge = np.diff(inside)
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    step, back = _power(len(raw))
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum(_VALUES[raw] * step, out=total[1:])
+        out = scrambled((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    out = np.where(out <= 2, out + np.uint64(3), out)
+    out[raw[start] == CLOSE] = END
+    return out
 
 
 def held_out(doc_id):
@@ -50,16 +82,16 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def _block(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """(word hashes of all texts, each closed by END; how many tokens each text has)."""
-    split = [x.translate(TO_LOWER).split() for x in byte_texts(batch.column("text"))]
-    n = np.array([len(x) + 1 for x in split], dtype=np.int64)
-    words = _hashed()([w for x in split for w in x])
-    out = np.empty(int(n.sum()), dtype=np.uint64)
-    ends = np.cumsum(n) - 1
-    inside = np.ones(len(out), dtype=bool)
-    inside[ends] = False
-    out[inside] = np.where(words <= 2, words + np.uint64(3), words)
-    out[ends] = END
-    return out, n
+    texts, most, parts = byte_texts(batch.column("text")), 1 << 20, []
+    at = size = 0
+    for k, x in enumerate(texts):
+        size += len(x)
+        if size > most or k == len(texts) - 1:
+            parts.append(word_hashes(texts[at : k + 1]))
+            at, size = k + 1, 0
+    out = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
+    ends = np.flatnonzero(out == END)
+    return out, np.diff(ends, prepend=-1)
 
 
 def _before(tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -88,8 +120,8 @@ def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _split(keys: np.ndarray, part: np.ndarray, parts: int):
-    """(partition, index array) of each partition that has keys; indexes are in the order of the keys."""
-    order = np.lexsort((keys, part))
+    """(partition, index array) of each partition that has keys; indexes keep their order."""
+    order = np.argsort(part.astype(np.uint16 if parts < 65536 else np.int32), kind="stable")
     cuts = np.searchsorted(part[order], np.arange(parts + 1))
     return ((p, order[cuts[p] : cuts[p + 1]]) for p in range(parts) if cuts[p] < cuts[p + 1])
 
@@ -105,7 +137,7 @@ def word_counts(rows: DataFrame, parts: int) -> DataFrame:
                 yield p, w[at].tobytes(), train[at].tobytes(), every[at].tobytes()
 
         for whole in batches:
-            for batch in pieces_of(whole, 12 << 20, 20_000):
+            for batch in pieces_of(whole, 3 << 20, 60_000):
                 tokens, n = _block(batch)
                 learn = ~batch.column("held").to_numpy(zero_copy_only=False)
                 docs += int(learn.sum())
@@ -114,7 +146,7 @@ def word_counts(rows: DataFrame, parts: int) -> DataFrame:
                 size += len(found[-1][0])
                 for k, cells in enumerate(_cells(mixed(_before(tokens, n)[mine], tokens[mine]))):
                     sketch[k] += np.bincount(cells, minlength=1 << SKETCH)
-                if size > 2_000_000:
+                if size > 1_000_000:
                     yield _packed(list(flush()))
                     found, size = [], 0
         out = list(flush()) if found else []
@@ -198,9 +230,11 @@ def _pairs(shared: Shared, tokens: np.ndarray, n: np.ndarray):
     """(before, pair hash, frequent word, its count, hot pair) of each token."""
     before = _before(tokens, n)
     often, count = shared.find(tokens)
-    first, _ = shared.find(before)
+    first = np.ones(len(tokens), dtype=bool)
+    first[1:] = often[:-1]
+    first[np.cumsum(n) - n] = True
     pair = mixed(before, tokens)
-    return before, pair, often, count, shared.hot(pair, often & (first | (before == START)))
+    return before, pair, often, count, shared.hot(pair, often & first)
 
 
 PACKET = "p int, kind int, a binary, b binary, c binary, d binary, e binary, f binary, g binary"
@@ -213,7 +247,7 @@ def pair_packets(rows: DataFrame, bound, parts: int) -> DataFrame:
         shared = bound.value
         hot_counts: dict[int, list] = {}
         for whole in batches:
-            for batch in pieces_of(whole, 12 << 20, 60_000):
+            for batch in pieces_of(whole, 3 << 20, 60_000):
                 tokens, n = _block(batch)
                 keys, held = batch.column("row").to_numpy(), batch.column("held").to_numpy(zero_copy_only=False)
                 text = np.repeat(np.arange(len(n)), n)
@@ -230,9 +264,12 @@ def pair_packets(rows: DataFrame, bound, parts: int) -> DataFrame:
                 part = np.where(often[live], _place(pair[live], parts), _place(w, parts))
                 out = []
                 for p, at in _split(w, part, parts):
+                    at = at[np.argsort(w[at], kind="stable")]
                     second, runs = np.unique(w[at], return_counts=True)
                     firsts, i = np.unique(v[at], return_inverse=True)
-                    docs, j = np.unique(t[at], return_inverse=True)
+                    used = np.zeros(len(n), dtype=np.int64)
+                    used[t[at]] = 1
+                    docs, j = np.flatnonzero(used), (np.cumsum(used) - 1)[t[at]]
                     out.append((p, 1, keys[docs].tobytes(), np.packbits(held[docs]).tobytes(), second.tobytes(), runs.astype("<u4").tobytes(), firsts.tobytes(), i.astype("<u2" if len(firsts) < 65536 else "<u4").tobytes(), j.astype("<u2").tobytes()))
                 yield _batch(out)
         if hot_counts:
@@ -247,7 +284,7 @@ def pair_packets(rows: DataFrame, bound, parts: int) -> DataFrame:
     return rows.select("row", "held", "text").mapInArrow(run, PACKET)
 
 
-PARTIAL = "kind string, k long, j long, x float, y float, n0 int, n1 int, n2 int, n3 int, n4 int, n5 int, n6 int"
+PARTIAL = "kind string, k long, j long, x float, y float, n0 long, n1 int, n2 int, n3 int, n4 int, n5 int, n6 int"
 
 
 def _partial(kind: str, k: np.ndarray, j=None, x=None, y=None, n=()) -> pa.Table:
@@ -257,79 +294,126 @@ def _partial(kind: str, k: np.ndarray, j=None, x=None, y=None, n=()) -> pa.Table
     for name, v in (("x", x), ("y", y)):
         cols[name] = pa.array(v.astype(np.float32)) if v is not None else pa.nulls(size, pa.float32())
     for i in range(7):
-        cols[f"n{i}"] = pa.array(n[i].astype(np.int32)) if i < len(n) else pa.nulls(size, pa.int32())
+        kind_of = pa.int64() if i == 0 else pa.int32()
+        cols[f"n{i}"] = pa.array(n[i].astype(np.int64)).cast(kind_of) if i < len(n) else pa.nulls(size, kind_of)
     return pa.table(cols)
 
 
-def scored_packets(packets: DataFrame, words: DataFrame, bound) -> DataFrame:
+def scored_packets(packets: DataFrame, words: DataFrame, bound, tasks: int) -> DataFrame:
     """Partial rows. doc: score known so far (x), base (y), known rare words (n0), pairs seen 1 to 5 times (n1..n5).
     ctx: for a first word, P of its seen successors (x) and their numbers by count (n1..n5). open: an unseen pair's
     first word and row with how many (n0). types: pairs seen 1 to 6 times. hot: a hot pair's count and words."""
     names = ["p", "kind", *"abcdefg"]
     own = words.where("p >= 0").select("p", F.lit(0).alias("kind"), F.col("w").alias("a"), F.col("train").alias("b"), *[F.lit(None).cast("binary").alias(x) for x in "cdefg"])
 
-    def score(key, group):
-        shared = bound.value
-        kind = group.column("kind").to_numpy()
-        cols = [group.column(x) for x in "abcdefg"]
-        uw, uc = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-        v, w, t, h, hots = [], [], [], [], []
-        for i in range(len(kind)):
-            a, b, c, d, e, f, g = (x[i].as_py() for x in cols)
-            if kind[i] == 0:
-                uw, uc = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.int64)
-            elif kind[i] == 2:
-                hots.append([np.frombuffer(x, dtype=y) for x, y in ((a, np.uint64), (b, np.int64), (c, np.uint64), (d, np.uint64))])
-            else:
-                keys, firsts = np.frombuffer(a, dtype=np.int64), np.frombuffer(e, dtype=np.uint64)
-                j = np.frombuffer(g, dtype="<u2")
-                w.append(np.repeat(np.frombuffer(c, dtype=np.uint64), np.frombuffer(d, dtype="<u4")))
-                v.append(firsts[np.frombuffer(f, dtype="<u2" if len(firsts) < 65536 else "<u4")])
-                t.append(keys[j])
-                h.append(np.unpackbits(np.frombuffer(b, dtype=np.uint8), count=len(keys)).astype(bool)[j])
-        out = []
-        for k, c, v1, w1 in hots:
-            out.append(_partial("hot", v1, j=w1, n=(np.minimum(c, 1 << 30),)))
-        if w:
-            v, w, t, h = (np.concatenate(x) for x in (v, w, t, h))
-            order = np.argsort(mixed(v, w), kind="stable")
-            v, w, t, h = v[order], w[order], t[order], h[order]
-            first = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (v[1:] != v[:-1]))))
-            c12 = np.add.reduceat((~h).astype(np.int64), first)
-            run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(w))))
-            w2 = w[first]
-            often, c2 = shared.find(w2)
-            if len(uw):
-                at = np.minimum(np.searchsorted(uw, w2), len(uw) - 1)
-                c2 = np.where(~often & (uw[at] == w2), uc[at], c2)
-            p1 = shared.unigram(c2)
-            seen = c12 > 0
-            out.append(_partial("types", np.zeros(1, dtype=np.int64), n=[np.zeros(1)] + [np.array([(c12 == r).sum()]) for r in range(1, TOP + 2)]))
-            v1 = v[first][seen]
-            ctx = _summed(v1, p1[seen], *((c12[seen] == r).astype(np.int64) for r in range(1, TOP + 1)))
-            out.append(_partial("ctx", ctx[0], x=ctx[1], n=(np.zeros(len(ctx[0])), *ctx[2:])))
-            value = np.where(seen, np.log10(np.maximum(c12, 1)), np.log10(p1)) - np.where(often, 0, np.log10(c2 + 1.0))
-            base = np.where(often, 0.0, np.log10(c2 + 0.5))
-            rows, back = np.unique(t, return_inverse=True)
-            by = lambda x: np.bincount(back, weights=x[run], minlength=len(rows))
-            out.append(_partial("doc", rows, x=by(value), y=by(base), n=[by((~often & (c2 > 0)).astype(float))] + [by((c12 == r).astype(float)) for r in range(1, TOP + 1)]))
-            un = ~seen[run]
-            if un.any():
-                one = mixed(v[un], t[un].view(np.uint64))
-                _, at, n = np.unique(one, return_index=True, return_counts=True)
-                out.append(_partial("open", v[un][at], j=t[un][at], n=(n,)))
-        return pa.concat_tables(out) if out else _partial("doc", np.zeros(0, dtype=np.int64))
+    def score(batches):
+        shared, now, held = bound.value, None, []
+        sums = {"doc": _Sums(), "ctx": _Sums(), "types": _Sums()}
 
-    both = packets.select(*names).unionByName(own.select(*names))
-    return both.groupBy("p").applyInArrow(score, PARTIAL)
+        def close():
+            for kind, found in _scored(shared, held):
+                if kind in sums:
+                    sums[kind].add(found)
+                else:
+                    yield from found.to_batches()
+            for kind, x in sums.items():
+                if x.size > 400_000:
+                    yield from x.table(kind).to_batches()
 
+        for batch in batches:
+            for row in zip(*(batch.column(x).to_pylist() for x in names)):
+                if row[0] != now and held:
+                    yield from close()
+                    held = []
+                now = row[0]
+                held.append(row[1:])
+        if held:
+            yield from close()
+        for kind, x in sums.items():
+            yield from x.table(kind).to_batches()
 
-def scores(docs: DataFrame, part_bytes: int = 18 << 20, least_parts: int = 64) -> DataFrame:
+    both = packets.select(*names).unionByName(own.select(*names))
+    return both.repartition(tasks, F.col("p")).sortWithinPartitions("p").mapInArrow(score, PARTIAL)
+
+
+class _Sums:
+    """Sums by key over the partitions that one task works through; emptied when they are passed on."""
+
+    def __init__(self):
+        self.parts, self.size = [], 0
+
+    def add(self, part: tuple) -> None:
+        self.parts.append(part)
+        self.size += len(part[0])
+        if len(self.parts) > 8:
+            self.parts = [_summed(*(np.concatenate(x) for x in zip(*self.parts)))]
+            self.size = len(self.parts[0][0])
+
+    def table(self, kind: str) -> pa.Table:
+        if not self.parts:
+            return _partial(kind, np.zeros(0, dtype=np.int64))
+        k, x, y, *n = _summed(*(np.concatenate(x) for x in zip(*self.parts)))
+        self.parts, self.size = [], 0
+        return _partial(kind, k, x=x, y=y, n=n)
+
+
+def _scored(shared: Shared, packets: list):
+    """What one partition's packets give, by kind: sums as (key, x, y, n0..n6), or tables."""
+    uw, uc = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    v, w, t, h = [], [], [], []
+    for kind, a, b, c, d, e, f, g in packets:
+        if kind == 0:
+            uw, uc = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.int64)
+        elif kind == 2:
+            yield "hot", _partial("hot", np.frombuffer(c, dtype=np.uint64), j=np.frombuffer(d, dtype=np.uint64), n=(np.frombuffer(b, dtype=np.int64),))
+        else:
+            keys, firsts = np.frombuffer(a, dtype=np.int64), np.frombuffer(e, dtype=np.uint64)
+            j = np.frombuffer(g, dtype="<u2")
+            w.append(np.repeat(np.frombuffer(c, dtype=np.uint64), np.frombuffer(d, dtype="<u4")))
+            v.append(firsts[np.frombuffer(f, dtype="<u2" if len(firsts) < 65536 else "<u4")])
+            t.append(keys[j])
+            h.append(np.unpackbits(np.frombuffer(b, dtype=np.uint8), count=len(keys)).astype(bool)[j])
+    if not w:
+        return
+    v, w, t, h = (np.concatenate(x) for x in (v, w, t, h))
+    order = np.argsort(mixed(v, w), kind="stable")
+    v, w, t, h = v[order], w[order], t[order], h[order]
+    first = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (v[1:] != v[:-1]))))
+    c12 = np.add.reduceat((~h).astype(np.int64), first)
+    run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(w))))
+    w2 = w[first]
+    often, c2 = shared.find(w2)
+    if len(uw):
+        at = np.minimum(np.searchsorted(uw, w2), len(uw) - 1)
+        c2 = np.where(~often & (uw[at] == w2), uc[at], c2)
+    p1 = shared.unigram(c2)
+    seen = c12 > 0
+    zero = lambda n: np.zeros(n, dtype=np.int64)
+    by_count = lambda of: [(of == r).astype(np.int64) for r in range(1, TOP + 2)]
+    yield "types", (zero(1), np.zeros(1), np.zeros(1), zero(1), *(x.sum(keepdims=True) for x in by_count(c12)))
+    v1 = v[first][seen]
+    yield "ctx", _summed(v1, p1[seen], np.zeros(len(v1)), zero(len(v1)), *by_count(c12[seen]))
+    value = np.where(seen, np.log10(np.maximum(c12, 1)), np.log10(p1)) - np.where(often, 0, np.log10(c2 + 1.0))
+    base = np.where(often, 0.0, np.log10(c2 + 0.5))
+    rows, back = np.unique(t, return_inverse=True)
+    by = lambda x: np.bincount(back, weights=x[run], minlength=len(rows))
+    whole = lambda x: by(x.astype(float)).astype(np.int64)
+    yield "doc", (rows, by(value), by(base), whole(~often & (c2 > 0)), *(whole(x) for x in by_count(c12)))
+    un = ~seen[run]
+    if un.any():
+        one = mixed(v[un], t[un].view(np.uint64))
+        _, at, n = np.unique(one, return_index=True, return_counts=True)
+        yield "open", _partial("open", v[un][at], j=t[un][at], n=(n,))
+
+
+def scores(docs: DataFrame, part_bytes: int = 8 << 20, task_bytes: int = 64 << 20, batch_bytes: int = 8 << 20, least_parts: int = 64) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), logarithms to base 10."""
     spark = docs.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
     rows = _rows(docs)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(least_parts, -(-int(size) // part_bytes))
+    tasks = min(parts, max(spark.sparkContext.defaultParallelism, int(size) // task_bytes))
     words = word_counts(rows, parts)
 
     def totals(batches):
@@ -361,7 +445,7 @@ def scores(docs: DataFrame, part_bytes: int = 18 << 20, least_parts: int = 64) -
     by = np.argsort(w)
     shared = Shared({"docs": n_docs, **got}, w[by], c[by], sketch, np.array([0, *(got[f"r{r}"] for r in range(1, TOP + 2))], dtype=float))
     bound = spark.sparkContext.broadcast(shared)
-    part = cut(scored_packets(pair_packets(rows, bound, parts), words, bound))
+    part = cut(scored_packets(pair_packets(rows, bound, parts), words, bound, tasks), "kind")
     gc.collect()  # the packets' shuffle files may go now
 
     types = part.where("kind = 'types'").agg(*[F.coalesce(F.sum(f"n{r}"), F.lit(0)) for r in range(1, TOP + 2)]).first()
@@ -377,7 +461,7 @@ def scores(docs: DataFrame, part_bytes: int = 18 << 20, least_parts: int = 64) -
     def local(batches):
         shared, (pairs, counts) = bound.value, hot_pairs.value
         for whole in batches:
-            for batch in pieces_of(whole, 12 << 20, 60_000):
+            for batch in pieces_of(whole, 3 << 20, 60_000):
                 tokens, n = _block(batch)
                 before, pair, often, count, hot = _pairs(shared, tokens, n)
                 value = np.where(often & (tokens != END), -np.log10(count + 1.0), 0.0)
