@@ -75,6 +75,31 @@ def op10_chat_grammar_round_trip(spark, sf_dir):
     return chat.read_back(chat.format_turns(turns.unionByName(own)))
 
 
+_OWN = "(SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')"
+_ESCAPES = " + ".join(f"(length(text) - length(replace(text, {c}, ''))) // {n}" for c, n in [("chr(92)", 1), *((f"'{x}'", len(x)) for x in chat.CONTROL)])
+OP10_SQL = f"""
+WITH t AS (
+  SELECT *, CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 11 ELSE 19 + length(role) END AS frame,
+    CASE role WHEN 'user' THEN ' [/INST]' WHEN 'assistant' THEN ' </s>' ELSE ' [/ROLE]' END AS closing, {_ESCAPES} AS escapes
+  FROM {_OWN} x)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(frame + length(text) + CASE WHEN contains(text, chr(92)) OR contains(text, closing) THEN escapes ELSE 0 END) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+OP7_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS s FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a, n b
+  WHERE a.vec_id <> b.vec_id AND a.s > 0 AND b.s > 0 AND list_dot_product(a.e, b.e) / (a.s * b.s) >= 0.9),
+r AS (SELECT vec_id AS a, vec_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+k AS (SELECT a, count(*) AS links FROM l GROUP BY a)
+SELECT r.a AS vec_id, CAST(coalesce(max(k.links), 0) AS BIGINT) AS n_links, min(r.b) AS component_id, r.a = min(r.b) AS kept
+FROM r LEFT JOIN k ON r.a = k.a GROUP BY r.a
+"""
+
 QUERIES = {
     "op1_best_two_fit_packing": op1_best_two_fit_packing,
     "op2_tokeniser_fertility": op2_tokeniser_fertility,
@@ -87,4 +112,4 @@ QUERIES = {
     "op9_ftrl_toxicity": op9_ftrl_toxicity,
     "op10_chat_grammar_round_trip": op10_chat_grammar_round_trip,
 }
-ORACLES = {"op5_line_dedup": OP5_SQL}
+ORACLES = {"op5_line_dedup": OP5_SQL, "op7_metric_range_join": OP7_SQL, "op10_chat_grammar_round_trip": OP10_SQL}
