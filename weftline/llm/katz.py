@@ -137,7 +137,7 @@ def word_counts(rows: DataFrame, parts: int) -> DataFrame:
                 yield p, w[at].tobytes(), train[at].tobytes(), every[at].tobytes()
 
         for whole in batches:
-            for batch in pieces_of(whole, 3 << 20, 60_000):
+            for batch in pieces_of(whole, 12 << 20, 60_000):
                 tokens, n = _block(batch)
                 learn = ~batch.column("held").to_numpy(zero_copy_only=False)
                 docs += int(learn.sum())
@@ -242,15 +242,17 @@ PACKET = "p int, kind int, a binary, b binary, c binary, d binary, e binary, f b
 
 def pair_packets(rows: DataFrame, bound, parts: int) -> DataFrame:
     """Packed pairs of each block by partition: kind 1 with row keys, held flags, second words and how often each
-    follows, first words as a dictionary with places, and places of the rows; kind 2 with hot pairs' training counts."""
+    follows, first words as a dictionary with places, and steps between places of the rows; kind 2 with hot pairs' training counts."""
     def run(batches):
-        shared = bound.value
+        import zstandard
+
+        shared, press = bound.value, zstandard.ZstdCompressor(level=1).compress
         hot_counts: dict[int, list] = {}
         for whole in batches:
-            for batch in pieces_of(whole, 3 << 20, 60_000):
+            for batch in pieces_of(whole, 12 << 20, 60_000):
                 tokens, n = _block(batch)
                 keys, held = batch.column("row").to_numpy(), batch.column("held").to_numpy(zero_copy_only=False)
-                text = np.repeat(np.arange(len(n)), n)
+                text = np.repeat(np.arange(len(n), dtype=np.int32), n)
                 before, pair, often, _, hot = _pairs(shared, tokens, n)
                 learn = hot & ~held[text]
                 if learn.any():
@@ -270,7 +272,7 @@ def pair_packets(rows: DataFrame, bound, parts: int) -> DataFrame:
                     used = np.zeros(len(n), dtype=np.int64)
                     used[t[at]] = 1
                     docs, j = np.flatnonzero(used), (np.cumsum(used) - 1)[t[at]]
-                    out.append((p, 1, keys[docs].tobytes(), np.packbits(held[docs]).tobytes(), second.tobytes(), runs.astype("<u4").tobytes(), firsts.tobytes(), i.astype("<u2" if len(firsts) < 65536 else "<u4").tobytes(), j.astype("<u2").tobytes()))
+                    out.append((p, 1, keys[docs].tobytes(), np.packbits(held[docs]).tobytes(), second.tobytes(), press(runs.astype("<u4").tobytes()), firsts.tobytes(), press(i.astype("<u2" if len(firsts) < 65536 else "<u4").tobytes()), press(np.diff(j, prepend=0).astype("<u2").tobytes())))
                 yield _batch(out)
         if hot_counts:
             k = np.array(list(hot_counts), dtype=np.uint64)
@@ -359,6 +361,9 @@ class _Sums:
 
 def _scored(shared: Shared, packets: list):
     """What one partition's packets give, by kind: sums as (key, x, y, n0..n6), or tables."""
+    import zstandard
+
+    plain = zstandard.ZstdDecompressor().decompress
     uw, uc = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     v, w, t, h = [], [], [], []
     for kind, a, b, c, d, e, f, g in packets:
@@ -368,9 +373,9 @@ def _scored(shared: Shared, packets: list):
             yield "hot", _partial("hot", np.frombuffer(c, dtype=np.uint64), j=np.frombuffer(d, dtype=np.uint64), n=(np.frombuffer(b, dtype=np.int64),))
         else:
             keys, firsts = np.frombuffer(a, dtype=np.int64), np.frombuffer(e, dtype=np.uint64)
-            j = np.frombuffer(g, dtype="<u2")
-            w.append(np.repeat(np.frombuffer(c, dtype=np.uint64), np.frombuffer(d, dtype="<u4")))
-            v.append(firsts[np.frombuffer(f, dtype="<u2" if len(firsts) < 65536 else "<u4")])
+            j = np.cumsum(np.frombuffer(plain(g), dtype="<u2"), dtype=np.uint16)
+            w.append(np.repeat(np.frombuffer(c, dtype=np.uint64), np.frombuffer(plain(d), dtype="<u4")))
+            v.append(firsts[np.frombuffer(plain(f), dtype="<u2" if len(firsts) < 65536 else "<u4")])
             t.append(keys[j])
             h.append(np.unpackbits(np.frombuffer(b, dtype=np.uint8), count=len(keys)).astype(bool)[j])
     if not w:
@@ -406,7 +411,7 @@ def _scored(shared: Shared, packets: list):
         yield "open", _partial("open", v[un][at], j=t[un][at], n=(n,))
 
 
-def scores(docs: DataFrame, part_bytes: int = 8 << 20, task_bytes: int = 64 << 20, batch_bytes: int = 8 << 20, least_parts: int = 64) -> DataFrame:
+def scores(docs: DataFrame, part_bytes: int = 14 << 20, task_bytes: int = 64 << 20, batch_bytes: int = 12 << 20, least_parts: int = 64) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), logarithms to base 10."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
@@ -445,8 +450,11 @@ def scores(docs: DataFrame, part_bytes: int = 8 << 20, task_bytes: int = 64 << 2
     by = np.argsort(w)
     shared = Shared({"docs": n_docs, **got}, w[by], c[by], sketch, np.array([0, *(got[f"r{r}"] for r in range(1, TOP + 2))], dtype=float))
     bound = spark.sparkContext.broadcast(shared)
+    gc.collect()  # the counts' shuffle files may go now
+    spark.sparkContext._jvm.System.gc()
     part = cut(scored_packets(pair_packets(rows, bound, parts), words, bound, tasks), "kind")
     gc.collect()  # the packets' shuffle files may go now
+    spark.sparkContext._jvm.System.gc()
 
     types = part.where("kind = 'types'").agg(*[F.coalesce(F.sum(f"n{r}"), F.lit(0)) for r in range(1, TOP + 2)]).first()
     hot = part.where("kind = 'hot'").groupBy("k", "j").agg(F.sum("n0").alias("c")).toArrow()  # bounded by PAIR_SHARE
@@ -461,7 +469,7 @@ def scores(docs: DataFrame, part_bytes: int = 8 << 20, task_bytes: int = 64 << 2
     def local(batches):
         shared, (pairs, counts) = bound.value, hot_pairs.value
         for whole in batches:
-            for batch in pieces_of(whole, 3 << 20, 60_000):
+            for batch in pieces_of(whole, 12 << 20, 60_000):
                 tokens, n = _block(batch)
                 before, pair, often, count, hot = _pairs(shared, tokens, n)
                 value = np.where(often & (tokens != END), -np.log10(count + 1.0), 0.0)
