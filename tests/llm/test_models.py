@@ -43,6 +43,31 @@ def test_fertility_rejects_what_stands_out(spark):
     assert len(kept & set(range(80))) >= 79 and not kept & {80, 81}
 
 
+LANGUAGES = {
+    "en": "the of and house water garden window people company number great small under over between morning",
+    "de": "Geschwindigkeit Wissenschaft Verantwortung Unternehmen Gesellschaft zwischen Entscheidung Nachbarschaft und der die wir",
+    "zh": "中国 人民 大学 城市 时间 工作 问题 社会 发展 经济 世界 学生 生活 国家",
+    None: "0 1 2 3 4 5 6 7 8 9 a b c d e f g h",
+}
+
+
+def test_fertility_of_rare_languages(spark):
+    def bad_kept(size):
+        rng = np.random.default_rng(8)
+        rows, bad = [], set()
+        for k, (lang, words) in enumerate(LANGUAGES.items()):
+            rows += [(1000 * k + i, " ".join(rng.choice(words.split(), 80)), lang) for i in range(size - 2)]
+            if lang in ("en", "de"):  # as short as the words of the other two
+                rows.append((1000 * k + 900, " ".join("Q%x#" % x for x in rng.integers(16**6, 16**7, 120)), lang))
+                bad.add(1000 * k + 900)
+        kept = {r.doc_id for r in fertility.keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+        return len(kept - bad) / (len(rows) - len(bad)), sorted(kept & bad)
+
+    for size in (12, 49, 50):
+        good, bad = bad_kept(size)
+        assert good >= 0.97 and not bad, (size, good, bad)
+
+
 def test_mixing_meets_targets(spark, docs, rows, empty):
     got = mixing.taken_words(docs, block_words=8).collect()
     assert len(got) == len(rows)

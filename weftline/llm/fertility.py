@@ -5,8 +5,12 @@ token in each, its share of byte-fallback tokens and the entropy of its tokens a
 language; the bands come from all documents of the language that pass the base rules (fences at a multiple of
 the spread beyond the quartiles), so no value is fitted to one corpus.
 
-Nulls: a null text has no words and fails; a null language is a language of its own, and one with fewer than
-`least` passing documents takes the bands of the whole corpus. Repeated rows are judged alike, each in its own
+A language with few documents borrows from the others, the more the fewer it has, and no count switches it over:
+its quartiles' distances from the median are shrunk towards those inside the other languages, and its median
+towards the languages' centre as far as its own error exceeds the spread between languages. So its band is about
+as wide as one language's at any size, never as wide as all languages together.
+
+Nulls: a null text has no words and fails; a null language is a language of its own. Repeated rows are judged alike, each in its own
 row; empty tables give no rows. Whole texts are read, however long. `judged` returns its own
 columns only; `keep_good` returns the input's columns as they are, whatever their names.
 """
@@ -126,31 +130,52 @@ def measured(docs: DataFrame, piece_path: str | None = None, rank_path: str | No
     return docs.select(F.col("doc_id").cast("long"), lang.alias("lang"), r1.alias("r1"), r2.alias("r2"), "text").mapInArrow(run, ROWS)
 
 
+def _bands(own: DataFrame, reach: float, least: int) -> DataFrame:
+    """band (the language) with low, high and mid of each measure; own: lang, n and the quartiles of each measure.
+
+    Distances from the median to the quartiles are means of the language's own, weighing n, and of the pooled ones,
+    weighing `least`; languages count in the pool as n - 1 (one document shows no spread). Medians are shrunk by
+    empirical Bayes: own error (1.57 of the squared deviation over n) against the variance between languages, where
+    a language weighs n / (n + least), so that a stray one hardly counts."""
+    over = lambda x, w: F.coalesce(F.sum(x * w) / F.nullif(F.sum(w), F.lit(0.0)), F.lit(0.0))
+    n = F.col("n").cast("double")
+    weight, inside = n / (n + least), (n - 1.0)
+    parts = {m: (F.col(m)[1] - F.col(m)[0], F.col(m)[1], F.col(m)[2] - F.col(m)[1]) for m in MEASURES}
+    pool = own.agg(*[x for m, (down, mid, up) in parts.items() for x in (over(down, inside).alias(f"{m}_down"), over(up, inside).alias(f"{m}_up"), over(mid, weight).alias(f"{m}_centre"), over(mid * mid, weight).alias(f"{m}_square"))], over(1.57 / n, weight).alias("share"))
+    both = own.crossJoin(F.broadcast(pool))
+    out = [F.col("lang").alias("band")]
+    for m, (down, mid, up) in parts.items():
+        centre = F.col(f"{m}_centre")
+        deviation = F.greatest(F.col(f"{m}_down") + F.col(f"{m}_up"), 0.02 * F.abs(centre), F.lit(0.002)) / 1.349
+        between = F.greatest(F.lit(0.0), F.col(f"{m}_square") - centre * centre - F.col("share") * deviation * deviation)
+        trust = between / (between + 1.57 * deviation * deviation / n)
+        middle = trust * mid + (1.0 - trust) * centre
+        low, high = (middle + sign * (n * x + least * F.col(f"{m}_{name}")) / (n + least) for sign, x, name in ((-1.0, down, "down"), (1.0, up, "up")))
+        spread = F.greatest(high - low, 0.02 * F.abs(middle), F.lit(0.002)) * reach
+        out += [(low - spread).alias(f"{m}_low"), (high + spread).alias(f"{m}_high"), middle.alias(f"{m}_mid")]
+    return both.select(*out)
+
+
 def judged(docs: DataFrame, reach: float = 4.0, least: int = 50, prior: float = 100.0) -> DataFrame:
     """measured() with base_failed and kept.
 
     A document is kept if the base rules pass and each measure lies in its language's band
     [q1 - reach * iqr, q3 + reach * iqr]; byte share and entropy have one open side (more fallback and less
-    variety are bad). Spreads count as 2% of the median at least, so that a uniform corpus rejects nothing. Short
+    variety are bad). `least` is the number of documents at which a language's own spread and the pooled one weigh the
+    same (_bands). Spreads count as 2% of the median at least, so that a uniform corpus rejects nothing. Short
     texts vary more: `prior` tokens at the language's median are added to each text before it is compared."""
     rows = cut(measured(docs).withColumn("base_failed", F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words")))
     quarts = [F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(2000)).alias(m) for m in MEASURES]
-    bands = rows.where(~F.col("base_failed")).rollup("lang").agg(F.grouping("lang").alias("all"), F.count(F.lit(1)).alias("n"), *quarts)
-    fences = []
-    for m in MEASURES:
-        spread = F.greatest(F.col(m)[2] - F.col(m)[0], 0.02 * F.abs(F.col(m)[1]), F.lit(0.002)) * reach
-        fences += [(F.col(m)[0] - spread).alias(f"{m}_low"), (F.col(m)[2] + spread).alias(f"{m}_high"), F.col(m)[1].alias(f"{m}_mid")]
-    bands = cut(bands.select(F.col("lang").alias("band"), "all", "n", *fences))
+    own = cut(rows.where(~F.col("base_failed")).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *quarts))
+    bands = cut(_bands(own, reach, least))
     sides = [f"{m}_{x}" for m in MEASURES for x in ("low", "high", "mid")]
-    own = bands.where((F.col("all") == 0) & (F.col("n") >= least)).select("band", *sides)
-    whole = bands.where(F.col("all") == 1).select(*[F.col(x).alias(f"all_{x}") for x in sides])
-    both = rows.join(own, F.col("lang").eqNullSafe(F.col("band")), "left").join(F.broadcast(whole.limit(1)), F.lit(True), "left")
-    side = {x: F.coalesce(x, f"all_{x}") for x in sides}
+    both = rows.join(bands, F.col("lang").eqNullSafe(F.col("band")), "left")
+    side = {x: F.col(x) for x in sides}
     held = {m: (F.col(m) * F.col("n_tokens") + side[f"{m}_mid"] * prior) / (F.col("n_tokens") + prior) for m in MEASURES}
     good = (held["piece_chars"] >= side["piece_chars_low"]) & (held["piece_chars"] <= side["piece_chars_high"])
     good &= (held["bpe_chars"] >= side["bpe_chars_low"]) & (held["bpe_chars"] <= side["bpe_chars_high"])
     good &= (held["byte_share"] <= side["byte_share_high"]) & (held["entropy"] >= side["entropy_low"])
-    return both.withColumn("kept", ~F.col("base_failed") & F.coalesce(good, F.lit(False))).drop("band", *sides, *[f"all_{x}" for x in sides])
+    return both.withColumn("kept", ~F.col("base_failed") & F.coalesce(good, F.lit(False))).drop("band", *sides)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
