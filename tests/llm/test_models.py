@@ -85,6 +85,34 @@ def test_mixing_meets_targets(spark, docs, rows, empty):
     assert mixing.taken_words(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
 
 
+def test_mixing_gives_small_sources_their_words(spark):
+    rows = [(100 * s + k, " ".join(f"w{s}_{k}_{j}" for j in range(n)), f"s{s:02d}") for s in range(30) for k, n in enumerate((30, 45, 25 + 60 * (s % 4)))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    by, target = Counter(), {}
+    for r in mixing.taken_words(frame).collect():
+        by[r.doc_id // 100] += r.taken
+        target[r.doc_id // 100] = r.target
+    assert len(by) == 30 and all(0 < t for t in by.values())
+    assert all(abs(by[s] - target[s]) <= 0.5 for s in by)
+    texts = Counter()
+    for r in mixing.mixed_documents(frame).collect():
+        texts[r.doc_id // 100] += len(WORD.findall(r.text))
+    assert texts == by
+
+
+def test_slot_plan_meets_every_count_of_words():
+    size = np.repeat([1, 7, 8, 9, 100, 257], 40)
+    want = np.minimum(np.tile(np.arange(40) * 7, 6), 3 * size)
+    quota, last = mixing.slot_plan(size, want, 8, 17)
+    blocks = -(-size // 8)
+    for i in range(len(size)):
+        at = np.arange(quota[i])
+        block = mixing.permuted(at % blocks[i], np.full(len(at), blocks[i]), np.full(len(at), i + 1 + 17 * 1000003)) if len(at) else at
+        words = np.minimum(8, size[i] - block * 8)
+        words[-1:] = np.minimum(words[-1:], last[i])
+        assert words.sum() == want[i] and (words > 0).all()
+
+
 def test_targets_stop_at_the_cap():
     assert mixing.targets([("a", 10), ("b", 100), ("c", 10)], (1, 2, 3), 3) == pytest.approx([30, 60, 30])
     out = mixing.targets([("a", 100), ("b", 10)], (1.0, 2.0, 3.0), 3)
@@ -108,6 +136,12 @@ def test_permutation_is_one():
         assert sorted(mixing.permuted(at, np.full(n, n), np.full(n, 5))) == list(range(n))
 
 
+def test_permutation_has_its_inverse():
+    for n in (1, 2, 3, 17, 1000):
+        at, size, seed = np.arange(n), np.full(n, n), np.full(n, 5)
+        assert (mixing.permuted(mixing.permuted(at, size, seed), size, seed, back=True) == at).all()
+
+
 def test_katz_equals_brute_force(spark, docs, rows, empty):
     got = {}
     for r in katz.scores(docs, least_parts=4).collect():

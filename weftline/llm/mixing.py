@@ -3,7 +3,8 @@
 Words of each source are laid end to end and cut into blocks of fixed length. Output shards draw how many
 blocks they take from each source (multinomial over what the sources have left to give, so that the totals are
 met exactly); a source's n-th slot goes through a pseudorandom permutation of its block numbers, pass after
-pass; slots and blocks are joined by (source, block).
+pass; slots and blocks are joined by (source, block). A source's last slot takes only as many of its block's first
+words as the target leaves, so that each source gives its target to the word, however small it is.
 
 Nulls: a null text has no words; a null source is the last source. Ties and repeated rows: rows that agree in
 (doc_id, text) are interchangeable, and each has its own words. Documents without words are kept with nothing
@@ -25,22 +26,25 @@ from weftline.llm.common import byte_texts, cut, pieces_of, row_hash, salted_pre
 _word = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def permuted(at: np.ndarray, size: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    """A pseudorandom permutation of 0..size-1 for each seed: a four-round Feistel network, walked until inside."""
+def permuted(at: np.ndarray, size: np.ndarray, seed: np.ndarray, back: bool = False) -> np.ndarray:
+    """A pseudorandom permutation of 0..size-1 for each seed: a four-round Feistel network, walked until inside.
+
+    back: its inverse."""
     at, size, seed = at.astype(np.uint64), size.astype(np.uint64), seed.astype(np.uint64)
     bits = np.maximum(np.ceil(np.log2(np.maximum(size, 2).astype(np.float64)) / 2), 1).astype(np.uint64)
     mask = (np.uint64(1) << bits) - np.uint64(1)
     out, todo = at.copy(), np.arange(len(at))
-    first = True
     while len(todo):
         x, b, m, s = out[todo], bits[todo], mask[todo], seed[todo]
         left, right = x >> b, x & m
         with np.errstate(over="ignore"):
             for r in range(4):
-                left, right = right, left ^ (scrambled(right + s * np.uint64(0x9E3779B97F4A7C15) + np.uint64(r + 1)) & m)
+                if back:
+                    left, right = right ^ (scrambled(left + s * np.uint64(0x9E3779B97F4A7C15) + np.uint64(4 - r)) & m), left
+                else:
+                    left, right = right, left ^ (scrambled(right + s * np.uint64(0x9E3779B97F4A7C15) + np.uint64(r + 1)) & m)
         out[todo] = (left << b) | right
         todo = todo[out[todo] >= size[todo]]
-        first = False
     return out.astype(np.int64)
 
 
@@ -73,6 +77,27 @@ def targets(totals: list[tuple[str | None, int]], weights: tuple[float, ...], mo
     return np.minimum(out, most * size).tolist()
 
 
+def slot_plan(size: np.ndarray, want: np.ndarray, block_words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per source: how many slots meet its wanted words, and how many words of its block the last one takes.
+
+    Whole passes over a source give `size` words each; the rest is met block by block in permuted order. All
+    blocks are full but the highest, whose place in that order decides whether one slot more is needed."""
+    blocks = -(-size // block_words)
+    words = np.rint(want).astype(np.int64)
+    passes = np.where(size > 0, words // np.maximum(size, 1), 0)
+    rest = np.where(size > 0, words - passes * size, 0)
+    missing = blocks * block_words - size
+    place = permuted(np.maximum(blocks - 1, 0), np.maximum(blocks, 1), _seeds(np.arange(len(size)), seed), back=True)
+    slots = -(-rest // block_words)
+    slots += slots * block_words - np.where(place < slots, missing, 0) < rest
+    before = (slots - 1) * block_words - np.where(place < slots - 1, missing, 0)
+    return passes * blocks + slots, np.where(rest > 0, rest - before, block_words)
+
+
+def _seeds(source: np.ndarray, seed: int) -> np.ndarray:
+    return source.astype(np.int64) + 1 + seed * 1000003
+
+
 def shard_plan(quota: np.ndarray, shards: int, seed: int) -> np.ndarray:
     """Slots per (shard, source): each shard draws its sources from a multinomial over the quotas left; the last takes the rest."""
     rng, left = np.random.default_rng(seed), quota.astype(np.int64).copy()
@@ -93,8 +118,9 @@ def shard_plan(quota: np.ndarray, shards: int, seed: int) -> np.ndarray:
 def mix(docs: DataFrame, block_words: int = 128, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, shards: int = 64, seed: int = 17, most_sources: int = 100_000):
     """(documents, slots, spans).
 
-    documents: doc_id, row, source_no, size, source_size, target. slots: shard, slot, source_no, block.
-    spans: source_no, block, doc_id, row, copy_no, first (word of the document), words. Joined by (source_no,
+    documents: doc_id, row, source_no, size, source_size, target. slots: shard, slot, source_no, block, part (words
+    taken from the block's beginning where the slot is cut, else null). spans: source_no, block, doc_id, row,
+    copy_no, first (word of the document), words, at (words of the block before the span). Joined by (source_no,
     block), slots and spans are the mixture."""
     spark = docs.sparkSession
     rows = cut(sizes(docs))
@@ -105,9 +131,7 @@ def mix(docs: DataFrame, block_words: int = 128, weights: tuple[float, ...] = (1
     want = np.array(targets(totals, weights, most))
     size = np.array([n for _, n in totals], dtype=np.int64)
     blocks = -(-size // block_words)
-    passes = np.where(size > 0, np.floor(want / np.maximum(size, 1) + 1e-9), 0).astype(np.int64)
-    more = np.rint((want - passes * size) / block_words).astype(np.int64)
-    quota = passes * blocks + np.clip(more, 0, np.where(passes < most, blocks, 0))
+    quota, last = slot_plan(size, want, block_words, seed)
     table = spark.createDataFrame([(s, i, int(n), float(t)) for i, ((s, n), t) in enumerate(zip(totals, want.tolist()))], "name string, source_no int, source_size long, target double")
     known = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("name"))).drop("name", "source")
     placed = cut(salted_prefix(known, ["source_no"], F.col("size"), ["doc_id", "r1", "r2"], "start"))
@@ -115,6 +139,7 @@ def mix(docs: DataFrame, block_words: int = 128, weights: tuple[float, ...] = (1
     spans = placed.where("size > 0").select("source_no", covered, "doc_id", "r1", "r2", "start", "size")
     first = F.greatest(F.lit(0), F.col("block") * block_words - F.col("start"))
     spans = spans.withColumn("first", first).withColumn("words", F.least("size", (F.col("block") + 1) * block_words - F.col("start")) - F.col("first"))
+    spans = spans.withColumn("at", F.greatest(F.lit(0), F.col("start") - F.col("block") * block_words))
 
     plan = shard_plan(quota, shards, seed) if len(quota) else np.zeros((shards, 0), dtype=np.int64)
     flat = plan.reshape(-1)
@@ -129,25 +154,28 @@ def mix(docs: DataFrame, block_words: int = 128, weights: tuple[float, ...] = (1
             source = cell % n_sources
             nth = before[cell] + slot - bounds[cell]
             n = blocks[source]
-            block = permuted(nth % n, n, (source + 1 + seed * 1000003).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array((cell // n_sources).astype(np.int32)), pa.array(slot), pa.array(source.astype(np.int32)), pa.array(block)], names=["shard", "slot", "source_no", "block"])
+            block = permuted(nth % n, n, _seeds(source, seed))
+            whole = (nth < quota[source] - 1) | (last[source] >= np.minimum(block_words, size[source] - block * block_words))
+            yield pa.RecordBatch.from_arrays([pa.array((cell // n_sources).astype(np.int32)), pa.array(slot), pa.array(source.astype(np.int32)), pa.array(block), pa.array(last[source], mask=whole)], names=["shard", "slot", "source_no", "block", "part"])
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    slots = spark.range(0, int(flat.sum()), 1, parts).mapInArrow(draw, "shard int, slot long, source_no int, block long")
+    slots = spark.range(0, int(flat.sum()), 1, parts).mapInArrow(draw, "shard int, slot long, source_no int, block long, part long")
     return placed, slots, spans
 
 
 def _hits(slots: DataFrame, spans: DataFrame) -> DataFrame:
-    """Spans of the blocks that slots take, with how many times."""
-    often = slots.groupBy(F.col("source_no").alias("s"), F.col("block").alias("b")).agg(F.count(F.lit(1)).alias("times"))
-    return spans.join(often, (F.col("source_no") == F.col("s")) & (F.col("block") == F.col("b"))).drop("s", "b")
+    """Spans of the blocks that slots take, with how many times as a whole, and how many words once more (part)."""
+    often = slots.groupBy(F.col("source_no").alias("s"), F.col("block").alias("b")).agg(F.count_if(F.col("part").isNull()).alias("times"), F.coalesce(F.max("part"), F.lit(0)).alias("upto"))
+    both = spans.join(often, (F.col("source_no") == F.col("s")) & (F.col("block") == F.col("b"))).drop("s", "b")
+    both = both.withColumn("part", F.greatest(F.lit(0), F.least("words", F.col("upto") - F.col("at")))).drop("upto", "at")
+    return both.where("times > 0 OR part > 0")
 
 
 def taken_words(docs: DataFrame, **how) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken (words the mix takes, repeats counted)."""
     placed, slots, spans = mix(docs, **how)
     own = ["doc_id", "r1", "r2", "size", "start", "source_no"]
-    both = _hits(slots, spans).select(*own, (F.col("times") * F.col("words")).alias("n")).union(placed.select(*own, F.lit(0).cast("long")))
+    both = _hits(slots, spans).select(*own, (F.col("times") * F.col("words") + F.col("part")).alias("n")).union(placed.select(*own, F.lit(0).cast("long")))
     out = both.groupBy(*own).agg(F.sum("n").alias("taken"), F.count_if(F.col("n") == 0).alias("rows"))
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col("rows"), F.lit(1)))))
     source = placed.groupBy("source_no").agg(F.max("source_size").alias("source_size"), F.max("target").alias("target"))
@@ -159,7 +187,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     lines of its own; rows of which nothing is taken go, and n_chars follows the text. A whole pass is the text
     as it was. Other columns stay."""
     _, slots, spans = mix(docs, **how)
-    per = _hits(slots, spans).groupBy("r1", "r2", "start", "size").agg(F.sort_array(F.collect_list(F.struct("first", "words", "times"))).alias("takes"))
+    per = _hits(slots, spans).groupBy("r1", "r2", "start", "size").agg(F.sort_array(F.collect_list(F.struct("first", "words", "times", "part"))).alias("takes"))
     per = per.groupBy(F.col("r1").alias("m1"), F.col("r2").alias("m2")).agg(F.collect_list("takes").alias("copies"))
     r1, r2 = row_hash(docs)
     rows = docs.withColumn("__r1", r1).withColumn("__r2", r2).dropDuplicates(["__r1", "__r2"])
@@ -185,13 +213,14 @@ def _cut_out(text: bytes, takes: list[dict]) -> str:
     """The words taken of a text: each pass over it, with runs of neighbouring spans as they stand in the text."""
     at = [m.span() for m in _word.finditer(text)]
     out = []
-    for turn in range(max(x["times"] for x in takes)):
+    for turn in range(max(x["times"] + (x["part"] > 0) for x in takes)):
         runs: list[list[int]] = []
         for x in takes:
-            if x["times"] > turn:
+            words = x["words"] if x["times"] > turn else x["part"] if x["times"] == turn else 0
+            if words:
                 if runs and runs[-1][1] == x["first"]:
-                    runs[-1][1] += x["words"]
+                    runs[-1][1] += words
                 else:
-                    runs.append([x["first"], x["first"] + x["words"]])
+                    runs.append([x["first"], x["first"] + words])
         out += [text[at[a][0] : at[b - 1][1]] if (a, b) != (0, len(at)) else text for a, b in runs]
     return b"\n".join(out).decode("utf-8", "replace")
