@@ -263,6 +263,25 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() >= 2
 
 
+def test_hybrid_searches_documents_without_vectors(spark, tmp_path):
+    from weftline.plans import registry
+
+    docs = [(0, "red house"), (1, "blue sky"), (50, "green tree"), (100, "red green house"), (777, "green tree"), (778, None)]
+    vectors = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (150, [0.0, 1.0])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {}
+    for r in registry.rrf_hybrid(spark, str(tmp_path)).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.id, r.score))
+    assert {q: sorted(x) for q, x in got.items()} == {
+        0: [(1, 0, 1.0), (2, 1, 0.333333333), (3, 100, 0.333333333), (4, 150, 0.25)],
+        50: [(1, 50, 0.5), (2, 777, 0.333333333), (3, 100, 0.25)],
+        100: [(1, 100, 0.5), (2, 0, 0.333333333), (3, 50, 0.25), (4, 777, 0.2)],
+        150: [(1, 1, 0.5), (2, 150, 0.333333333), (3, 0, 0.25)],
+    }
+    assert {(r.query_id, r.id) for r in registry.score_floor(spark, str(tmp_path)).collect()} == {(q, i) for q, x in got.items() for _, i, s in x if s >= 0.3}
+
+
 def test_registry_is_importable():
     import __spark_entry__ as e
 

@@ -131,8 +131,10 @@ SELECT query_id, id, score, rank FROM g"""
 
 
 def _hybrid(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id")
-    docs = table(spark, sf_dir, "documents").join(e, F.col("doc_id") == F.col("vec_id"), "left_semi").select(F.col("doc_id").alias("id"), "text")
+    """All documents and all vectors are searched; a question with only a text or only a vector has one list.
+
+    _HYBRID, the SQL, keeps to documents that have a vector, so the two differ wherever some have none."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     questions = docs.where("id % 50 = 0").select(F.col("id").alias("query_id"), "text")
     sparse = retrieval.sparse_topk(encoding.sparse_terms(docs, "id"), encoding.sparse_terms(questions, "query_id"))
     return retrieval.rrf(_dense(spark, sf_dir), sparse).select("query_id", "id", "score", "rank")
