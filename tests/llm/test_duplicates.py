@@ -55,6 +55,14 @@ def test_near_duplicates_equal_brute_force(spark, docs, rows, empty):
     assert kept.columns == docs.columns and kept.where("doc_id IS NULL").count() == 1
 
 
+def test_one_row_of_each_group_stays(spark):
+    texts = [" ".join(f"{k}_{i}" for i in range(40)) for k in "abcd"]
+    rows = [(4, texts[0]), (4, texts[0]), (3, texts[0] + " more"), (None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (9, texts[3]), (None, ""), (11, None)]
+    kept = neardup.first_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(3, texts[0] + " more"), (None, texts[1]), (7, texts[2]), (7, texts[3]), (None, ""), (11, None)]
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, want))
+
+
 def test_chain_of_near_copies_without_a_hub(spark):
     rng = np.random.default_rng(4)
     base = [f"a{i}" for i in rng.permutation(100)]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import TO_LOWER, WordHash, byte_texts, components, cut, mixed, pieces_of, scrambled
+from weftline.llm.common import TO_LOWER, WordHash, byte_texts, components, cut, mixed, pieces_of, row_hash, scrambled
 
 SKETCH_BITS, FILTER_BITS = 1024, 1 << 24
 _hash: dict = {}
@@ -247,6 +247,14 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
 
 def first_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs whose doc_id is kept, with docs' own columns; rows with a null doc_id all stay."""
-    kept = near_duplicates(docs, **how).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    """One row of docs for each group of near-duplicates, with docs' own columns: the one with the smallest doc_id,
+    null ids last. Rows are told apart by a number of their own, so repeated rows and rows with a null or shared
+    doc_id each take part."""
+    r1, r2 = row_hash(docs)
+    rows = cut(docs.withColumn("__r1", r1).withColumn("__r2", r2).withColumn("__row", F.monotonically_increasing_id()))
+    found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), **how).select(F.col("doc_id").alias("__at"), F.col("component_id").alias("__part"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), "__r1", "__r2", "__row")
+    known = cut(rows.select("__row", order.alias("__order")).join(found, F.col("__row") == F.col("__at")).drop("__row"))
+    best = known.groupBy(F.col("__part").alias("__p")).agg(F.min("__order").alias("__best"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    gone = known.join(best, F.col("__part") == F.col("__p")).where(F.col("__at") != F.col("__best.__row")).select("__at")
+    return rows.join(gone, F.col("__row") == F.col("__at"), "left_anti").drop("__r1", "__r2", "__row")
