@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from weftline.llm import fertility, katz, mixing, resampling, toxicity
+from weftline.llm import fertility, mixing, resampling, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -142,40 +142,6 @@ def test_permutation_has_its_inverse():
         assert (mixing.permuted(mixing.permuted(at, size, seed), size, seed, back=True) == at).all()
 
 
-def test_katz_equals_brute_force(spark, docs, rows, empty):
-    got = {}
-    for r in katz.scores(docs, least_parts=4).collect():
-        got.setdefault(r.doc_id, []).append(r)
-    tokens = [(r[0], WORD.findall((r[1] or "").translate(UP)) + [None]) for r in rows]
-    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
-    uni, pair = Counter(), Counter()
-    for i, t in tokens:
-        if not held(i):
-            uni.update(t)
-            pair.update(zip(["<s>", *t[:-1]], t))
-    n, v = sum(uni.values()), len(uni)
-    d1, d2 = (katz.discounts(np.array([0] + [sum(c == k for c in x.values()) for k in range(1, 7)], dtype=float)) for x in (uni, pair))
-    disc = lambda d, c: (d[c] if c <= 5 else 1) * c
-    left = 1 - sum(disc(d1, c) for c in uni.values()) / (n + 1)
-    p = lambda w: disc(d1, uni[w]) / (n + 1) if uni[w] else left
-    ctx, num, den = Counter(), Counter(), Counter()
-    for (a, b), c in pair.items():
-        ctx[a] += c
-    for (a, b), c in pair.items():
-        num[a] += disc(d2, c) / (ctx[a] + 1)
-        den[a] += p(b)
-    prob = lambda a, b: disc(d2, pair[a, b]) / (ctx[a] + 1) if pair[a, b] else (p(b) * (1 - num[a]) / (1 - den[a]) if ctx[a] else p(b))
-    assert sum(map(p, uni)) + left == pytest.approx(1)
-    assert sum(prob("<s>", w) for w in uni) + (1 - num["<s>"]) / (1 - den["<s>"]) * left == pytest.approx(1)
-    assert sum(map(len, got.values())) == len(rows)
-    for i, t in tokens:
-        for r in got[i]:
-            assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(t), sum(uni[w] > 0 for w in t), n, held(i))
-            assert r.base_score == pytest.approx(sum(np.log10((uni[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), rel=1e-5)
-            assert r.score == pytest.approx(sum(np.log10(prob(a, b)) for a, b in zip(["<s>", *t[:-1]], t)), rel=1e-5)
-    assert katz.scores(empty).count() == 0
-
-
 @pytest.fixture(scope="module")
 def marked(spark):
     rng = np.random.default_rng(2)

@@ -1,37 +1,49 @@
-"""Katz backoff language model over all documents: Good-Turing discounted counts, exactly normalised backoff.
-
-P(w | v) = d(c(v w)) c(v w) / (c(v) + 1) for pairs seen in training, else alpha(v) P(w); P(w) = d(c(w)) c(w) /
-(N + 1) for known words, else the mass that is left. d is the Good-Turing (Katz) discount for counts up to 5. The one
-extra count leaves mass for what is unseen even where every count is above that range; alpha(v)
-shares the left mass exactly over the unseen successors: (1 + sum of r (1 - d_r) m_r(v)) / (c(v) + 1) / (1 - sum of
-P(w) over seen w), with m_r(v) the number of successors seen r times.
-
-Tables are partitioned, none is gathered: word counts and pair counts live in partitions of the second word, with
-the pairs of one block of documents in one packed row per partition; a document's score returns as partial sums.
-Every sum is linear in the discounts, so pairs are shuffled once. Words of more than a 1e-5 share (at most 100,000)
-are known to every task, and their pairs are dealt by pair; pairs of words above a 2e-5 share (found by a count-min
-sketch of fixed size, counted exactly) are scored where the text is, so no key is hot.
-
-Words are known by 64-bit hashes. Nulls: a null text is empty (one end token); a null id hashes as a null and
-trains. Repeated rows train and are scored each. Empty tables give no rows. Texts are read whole, in blocks of
-bounded size; a longer text is a block of its own. Other columns are ignored.
+r"""Katz backoff language model over all documents: Good-Turing discounted n-gram counts, exactly normalised backoff.
+
+For a context h of words and its shortening h' (without its first word):
+
+    P(w | h) = d(c(h w)) c(h w) / D(h)            if h w was seen in training,
+               alpha(h) P(w | h')                  if h was seen, but not h w,
+               P(w | h')                           if h was never seen,
+    P(w)     = d(c(w)) c(w) / D,  or the mass that is left for an unknown word.
+
+d is the Good-Turing (Katz) discount of counts up to 5, by order. alpha(h) = left(h) / (1 - sum of P(w | h') over
+the seen w), left(h) = 1 - sum of P(w | h) over them, so every context sums to one over the known words and the
+unknown one. D(h) is the context's count; where none of its successors has a count up to 5, nothing would be left,
+and one is added to D(h). Texts begin with `order` - 1 start marks and end with one end token.
+
+Texts become blocks of word numbers, written once. Level by level (words, pairs, triples, ...) a block asks for its
+distinct n-grams: a packet for each partition holds them with the block's training counts, the partition adds up
+what all blocks send, writes its part of the model, and replies with the counts and, where the block needs them, with
+the sums that make the backoff weight. So each level is one shuffle of distinct n-grams and one of replies, scores
+are added in the block that holds the text, in double precision, and nothing depends on how many documents there are.
+Contexts belong to one partition each; the successors of contexts of more than `hot_share` of all tokens (fewer than
+1 / hot_share of them) are dealt over all partitions, and only their sums are gathered.
+
+The model is stored as tables, a row per partition and level: words with counts, contexts with successors and counts,
+discounted and backoff masses (`model_tables`). Packets hold about block_tokens * part_tokens / all tokens n-grams;
+for corpora of many terabytes raise both with the memory of the executors.
+
+Words are known by 64-bit hashes, n-grams by the numbers of their words. Nulls: a null text is empty (one end token);
+a row with a null id trains. Repeated rows train and are scored each. Empty tables give no rows. Texts are read whole;
+a text longer than a block is a block of its own. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import gc
+import struct
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import SPACES, TO_LOWER, byte_texts, cut, mixed, pieces_of, scrambled
-
-START, END = np.uint64(2), np.uint64(1)
-TOP, SKETCH, SLICES = 5, 18, 64
-WORD_SHARE, PAIR_SHARE = 1e-5, 2e-5
+from weftline.llm.common import SPACES, TO_LOWER, Scratch, byte_texts, mixed, pieces_of, scrambled
 
+END = np.uint64(1)  # the end token's hash
+START_NO, END_NO, UNKNOWN_NO, FIRST_NO = 0, 1, 2, 3  # word numbers
+TOP = 5
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[list(SPACES)] = True
@@ -64,7 +76,8 @@ def word_hashes(texts: list[bytes]) -> np.ndarray:
     with np.errstate(over="ignore"):
         total = np.zeros(len(raw) + 1, dtype=np.uint64)
         np.cumsum(_VALUES[raw] * step, out=total[1:])
-        out = scrambled((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+        length = (end - start).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+        out = scrambled((total[end] - total[start]) * back[start] + length)
     out = np.where(out <= 2, out + np.uint64(3), out)
     out[raw[start] == CLOSE] = END
     return out
@@ -74,117 +87,95 @@ def held_out(doc_id):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 1, F.lit(False))
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    ident = F.col("doc_id").cast("long")
-    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.coalesce("text", F.lit("")))
-    return docs.select(ident.alias("doc_id"), key.alias("row"), held_out(F.col("doc_id")).alias("held"), "text")
+# ---- numbers as bytes
 
 
-def _block(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """(word hashes of all texts, each closed by END; how many tokens each text has)."""
-    texts, most, parts = byte_texts(batch.column("text")), 1 << 20, []
-    at = size = 0
-    for k, x in enumerate(texts):
-        size += len(x)
-        if size > most or k == len(texts) - 1:
-            parts.append(word_hashes(texts[at : k + 1]))
-            at, size = k + 1, 0
-    out = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
-    ends = np.flatnonzero(out == END)
-    return out, np.diff(ends, prepend=-1)
+def pack(x: np.ndarray, rising: bool = False) -> bytes:
+    """Non-negative whole numbers by byte planes, compressed; rising: their steps instead."""
+    import zstandard
 
+    x = np.ascontiguousarray(x).astype("<u8")
+    if rising and len(x):
+        x = np.diff(x, prepend=x.dtype.type(0))
+    width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+    planes = x.view(np.uint8).reshape(-1, 8)[:, :width].T
+    body = planes.tobytes()
+    pressed = zstandard.ZstdCompressor(level=1).compress(body) if len(body) > 64 else body
+    small = len(pressed) < len(body)
+    return struct.pack("<IBB", len(x), width, small) + (pressed if small else body)
 
-def _before(tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The token before each token; START at a text's first."""
-    out = np.empty_like(tokens)
-    out[1:] = tokens[:-1]
-    out[np.cumsum(n) - n] = START
-    return out
 
+def unpack(raw: bytes, rising: bool = False) -> np.ndarray:
+    import zstandard
 
-def _cells(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        return (pair >> np.uint64(64 - SKETCH)).astype(np.int64), ((pair * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - SKETCH)).astype(np.int64)
+    n, width, small = struct.unpack_from("<IBB", raw)
+    body = zstandard.ZstdDecompressor().decompress(raw[6:]) if small else raw[6:]
+    out = np.zeros((n, 8), dtype=np.uint8)
+    if width:
+        out[:, :width] = np.frombuffer(body, dtype=np.uint8).reshape(width, n).T
+    out = out.view("<u8").reshape(-1).view(np.int64)
+    return np.cumsum(out) if rising else out
 
 
-def _place(h: np.ndarray, parts: int) -> np.ndarray:
-    return (scrambled(h) % np.uint64(parts)).astype(np.int32)
+def _doubles(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype="<f8")
 
 
-def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys in order, and the sums of the values by key."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, dtype=np.int64)
-    return keys[first], *(np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values)
+# ---- grouping
 
 
-def _split(keys: np.ndarray, part: np.ndarray, parts: int):
-    """(partition, index array) of each partition that has keys; indexes keep their order."""
-    order = np.argsort(part.astype(np.uint16 if parts < 65536 else np.int32), kind="stable")
-    cuts = np.searchsorted(part[order], np.arange(parts + 1))
-    return ((p, order[cuts[p] : cuts[p + 1]]) for p in range(parts) if cuts[p] < cuts[p + 1])
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order that sorts key, where each distinct value begins in that order, number of the value of each element)."""
+    order = np.argsort(key)
+    ranked = key[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    of = np.empty(len(key), dtype=np.int64)
+    of[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), of
 
 
-def word_counts(rows: DataFrame, parts: int) -> DataFrame:
-    """One row per partition of words (p, w, train, all as packed arrays), and rows p < 0 for the sketch and totals."""
-    def count(batches):
-        found, sketch, docs, size = [], np.zeros((2, 1 << SKETCH), dtype=np.int64), 0, 0
+def _joined(columns: list[np.ndarray]) -> np.ndarray:
+    """One whole number for each row of the columns, in the same order and equal only for equal rows."""
+    key = columns[0]
+    for col in columns[1:]:
+        wide = int(col.max()) + 1 if len(col) else 1
+        if len(key) and (int(key.max()) + 1) * wide >= 1 << 62:
+            key = _groups(key)[2]
+            if (int(key.max()) + 1) * wide >= 1 << 62:
+                col = _groups(col)[2]
+                wide = int(col.max()) + 1
+        key = key * wide + col
+    return key
 
-        def flush():
-            w, train, every = _summed(*(np.concatenate(x) for x in zip(*found)))
-            for p, at in _split(w, _place(w, parts), parts):
-                yield p, w[at].tobytes(), train[at].tobytes(), every[at].tobytes()
 
-        for whole in batches:
-            for batch in pieces_of(whole, 12 << 20, 60_000):
-                tokens, n = _block(batch)
-                learn = ~batch.column("held").to_numpy(zero_copy_only=False)
-                docs += int(learn.sum())
-                mine = np.repeat(learn, n)
-                found.append(_summed(tokens, mine.astype(np.int64), np.ones(len(tokens), dtype=np.int64)))
-                size += len(found[-1][0])
-                for k, cells in enumerate(_cells(mixed(_before(tokens, n)[mine], tokens[mine]))):
-                    sketch[k] += np.bincount(cells, minlength=1 << SKETCH)
-                if size > 1_000_000:
-                    yield _packed(list(flush()))
-                    found, size = [], 0
-        out = list(flush()) if found else []
-        step = (1 << SKETCH) // SLICES
-        out += [(-1 - s, sketch[:, s * step : (s + 1) * step].tobytes(), np.array([docs if s == 0 else 0]).tobytes(), b"") for s in range(SLICES)]
-        yield _packed(out)
-
-    def _packed(rows):
-        p, *cols = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["p", "w", "train", "every"])
-
-    def add(batches):
-        # rows of one p follow each other, so one partition of words is held at a time; sketch slices add up in place
-        sums: dict[int, list] = {}
-        now, held = None, []
+def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, first) if len(first) else values[:0]
 
-        def close():
-            w, train, every = _summed(*(np.concatenate(x) for x in zip(*held)))
-            return _packed([(now, w.tobytes(), train.tobytes(), every.tobytes())])
 
-        for batch in batches:
-            for p, w, train, every in zip(*(batch.column(k).to_pylist() for k in ("p", "w", "train", "every"))):
-                if p < 0:
-                    a, b = np.frombuffer(w, dtype=np.int64), np.frombuffer(train, dtype=np.int64)
-                    sums[p] = [sums[p][0] + a, sums[p][1] + b] if p in sums else [a, b]
-                    continue
-                if p != now and held:
-                    yield close()
-                    held = []
-                now = p
-                held.append((np.frombuffer(w, dtype=np.uint64), np.frombuffer(train, dtype=np.int64), np.frombuffer(every, dtype=np.int64)))
-        if held:
-            yield close()
-        if sums:
-            yield _packed([(p, a.tobytes(), b.tobytes(), b"") for p, (a, b) in sums.items()])
+def _runs(starts: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(starts, n))
 
-    packed = rows.select("held", "text").mapInArrow(count, "p int, w binary, train binary, every binary")
-    return cut(packed.repartition(F.col("p")).sortWithinPartitions("p").mapInArrow(add, "p int, w binary, train binary, every binary"))
+
+def _hash_of(columns: list[np.ndarray]) -> np.ndarray:
+    out = scrambled(columns[0].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    for col in columns[1:]:
+        out = mixed(out, col.astype(np.uint64))
+    return out
+
+
+def _split(place: np.ndarray, parts: int):
+    """(partition, index array) of each partition that has elements; indexes keep their order."""
+    order = np.argsort(place.astype(np.uint16 if parts < 65536 else np.int32), kind="stable")
+    cuts = np.searchsorted(place[order], np.arange(parts + 1))
+    return ((p, order[cuts[p] : cuts[p + 1]]) for p in range(parts) if cuts[p] < cuts[p + 1])
+
+
+def _place(h: np.ndarray, parts: int) -> np.ndarray:
+    return (scrambled(h) % np.uint64(parts)).astype(np.int32)
+
+
+# ---- the model's numbers
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -201,312 +192,573 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return np.maximum(d, 1e-3)
 
 
+class Level:
+    """What all tasks know of one order: discounts, and the sums of the few hot contexts of the order above it."""
+
+    def __init__(self, types: np.ndarray):
+        self.d = discounts(types)
+        self.hot: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None  # keys, masses, numbers of successors by count
+
+    def seen(self, c: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """P of n-grams that were seen c times, total being the context's D."""
+        return np.where(c <= TOP, self.d[np.minimum(c, TOP)], 1.0) * c / total
+
+    def left(self, m: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """What contexts leave for unseen successors; m[:, r]: how many of theirs were seen r times."""
+        r = np.arange(1, TOP + 1)
+        mass = (m[:, 1:] * (r * (1 - self.d[1:]))).sum(axis=1)
+        return np.where(m[:, 1:].any(axis=1), mass, 1.0) / total
+
+    def find_hot(self, keys: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.hot[0], keys)
+
+
 class Shared:
-    """What every task knows: totals, frequent words with counts, the sketch, unigram discounts. Its size is bounded."""
+    """Totals, discounts of the levels done so far, and limits; of bounded size."""
 
-    def __init__(self, totals: dict, words: np.ndarray, counts: np.ndarray, sketch: np.ndarray, n: np.ndarray):
-        self.docs, self.train, self.types = totals["docs"], totals["train"], totals["types"]
-        self.words, self.counts, self.sketch, self.d = words, counts, sketch, discounts(n)
-        r = np.arange(TOP + 1)
-        self.left = (1 + float(((1 - self.d) * r * n[: TOP + 1]).sum())) / (self.train + 1)
+    def __init__(self, parts: int, docs: int, train: int, hot_share: float):
+        self.parts, self.docs, self.train, self.bar = parts, docs, train, hot_share * train
+        self.levels: list[Level] = []
+        self.types = 0
+        self.total = np.ones(1)  # D of the empty context
+        self.unknown = 1.0
 
-    def find(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(whether frequent, count)."""
-        at = np.minimum(np.searchsorted(self.words, w), max(0, len(self.words) - 1))
-        if not len(self.words):
-            return np.zeros(len(w), dtype=bool), np.zeros(len(w), dtype=np.int64)
-        often = self.words[at] == w
-        return often, np.where(often, self.counts[at], 0)
+    def words_done(self, types: np.ndarray, n_types: int) -> None:
+        self.levels = [Level(types)]
+        m = types[None, : TOP + 1]
+        self.types = n_types
+        self.total = np.array([self.train + (0 if m[:, 1:].any() else 1)], dtype=float)
+        self.unknown = float(self.levels[0].left(m, self.total)[0])
 
-    def hot(self, pair: np.ndarray, both_often: np.ndarray) -> np.ndarray:
-        a, b = _cells(pair)
-        return both_often & (np.minimum(self.sketch[0][a], self.sketch[1][b]) > max(PAIR_SHARE * self.train, TOP))
 
-    def unigram(self, c: np.ndarray) -> np.ndarray:
-        return np.where(c > 0, self.d[np.minimum(c, TOP)] ** (c <= TOP) * c / (self.train + 1), self.left)
+# ---- blocks
 
+BLOCK = "block long, ids binary, none binary, held binary, n binary, tokens binary, words binary, counts binary, levels array<binary>"
+BLOCK_NAMES = ["block", "ids", "none", "held", "n", "tokens", "words", "counts", "levels"]
+BLOCK_TYPES = [pa.int64(), *[pa.binary()] * 7, pa.list_(pa.binary())]
 
-def _pairs(shared: Shared, tokens: np.ndarray, n: np.ndarray):
-    """(before, pair hash, frequent word, its count, hot pair) of each token."""
-    before = _before(tokens, n)
-    often, count = shared.find(tokens)
-    first = np.ones(len(tokens), dtype=bool)
-    first[1:] = often[:-1]
-    first[np.cumsum(n) - n] = True
-    pair = mixed(before, tokens)
-    return before, pair, often, count, shared.hot(pair, often & first)
 
+def _batch(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
-PACKET = "p int, kind int, a binary, b binary, c binary, d binary, e binary, f binary, g binary"
 
+def blocks_of(docs: DataFrame, block_tokens: int) -> DataFrame:
+    """Blocks of whole texts: ids, held-out marks and numbers of tokens of the texts, tokens as places among the
+    block's distinct words (frequent ones first), and these words' hashes."""
 
-def pair_packets(rows: DataFrame, bound, parts: int) -> DataFrame:
-    """Packed pairs of each block by partition: kind 1 with row keys, held flags, second words and how often each
-    follows, first words as a dictionary with places, and steps between places of the rows; kind 2 with hot pairs' training counts."""
     def run(batches):
-        import zstandard
+        task, made = TaskContext.get().partitionId(), 0
+        held, texts, tokens, ids, size = [], [], [], [], 0
+
+        def close():
+            hashes = np.concatenate(tokens)
+            order, first, of = _groups(hashes)
+            count = _runs(first, len(hashes))
+            by = np.argsort(-count, kind="stable")
+            rank = np.empty(len(by), dtype=np.int64)
+            rank[by] = np.arange(len(by))
+            n = np.diff(np.flatnonzero(hashes == END), prepend=-1)
+            none = np.array([x is None for x in ids])
+            raw = np.array([0 if x is None else x for x in ids], dtype=np.int64).view(np.uint64)
+            words = hashes[order[first]][by]
+            return ((task << 32) + made, pack(raw), pack(none), pack(np.array(held)), pack(n), pack(rank[of]), words.tobytes(), None, [])
 
-        shared, press = bound.value, zstandard.ZstdCompressor(level=1).compress
-        hot_counts: dict[int, list] = {}
         for whole in batches:
-            for batch in pieces_of(whole, 12 << 20, 60_000):
-                tokens, n = _block(batch)
-                keys, held = batch.column("row").to_numpy(), batch.column("held").to_numpy(zero_copy_only=False)
-                text = np.repeat(np.arange(len(n), dtype=np.int32), n)
-                before, pair, often, _, hot = _pairs(shared, tokens, n)
-                learn = hot & ~held[text]
-                if learn.any():
-                    k, count, v, w = *_summed(pair[learn], np.ones(int(learn.sum()), dtype=np.int64)), None, None
-                    first = np.flatnonzero(learn)[np.argsort(pair[learn], kind="stable")]
-                    first = first[np.concatenate(([0], np.cumsum(count)[:-1]))]
-                    for k1, c1, v1, w1 in zip(k.tolist(), count.tolist(), before[first].tolist(), tokens[first].tolist()):
-                        hot_counts.setdefault(k1, [0, v1, w1])[0] += c1
-                live = np.flatnonzero(~hot)
-                w, v, t = tokens[live], before[live], text[live]
-                part = np.where(often[live], _place(pair[live], parts), _place(w, parts))
-                out = []
-                for p, at in _split(w, part, parts):
-                    at = at[np.argsort(w[at], kind="stable")]
-                    second, runs = np.unique(w[at], return_counts=True)
-                    firsts, i = np.unique(v[at], return_inverse=True)
-                    used = np.zeros(len(n), dtype=np.int64)
-                    used[t[at]] = 1
-                    docs, j = np.flatnonzero(used), (np.cumsum(used) - 1)[t[at]]
-                    out.append((p, 1, keys[docs].tobytes(), np.packbits(held[docs]).tobytes(), second.tobytes(), press(runs.astype("<u4").tobytes()), firsts.tobytes(), press(i.astype("<u2" if len(firsts) < 65536 else "<u4").tobytes()), press(np.diff(j, prepend=0).astype("<u2").tobytes())))
-                yield _batch(out)
-        if hot_counts:
-            k = np.array(list(hot_counts), dtype=np.uint64)
-            c, v, w = (np.array([x[m] for x in hot_counts.values()], dtype=np.int64 if m == 0 else np.uint64) for m in range(3))
-            yield _batch([(p, 2, k[at].tobytes(), c[at].tobytes(), v[at].tobytes(), w[at].tobytes(), b"", b"", b"") for p, at in _split(k, _place(k, parts), parts)])
-
-    def _batch(out):
-        cols = list(zip(*out)) or [()] * 9
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(x, pa.binary()) for x in cols[2:])], names=["p", "kind", *"abcdefg"])
-
-    return rows.select("row", "held", "text").mapInArrow(run, PACKET)
-
-
-PARTIAL = "kind string, k long, j long, x float, y float, n0 long, n1 int, n2 int, n3 int, n4 int, n5 int, n6 int"
-
-
-def _partial(kind: str, k: np.ndarray, j=None, x=None, y=None, n=()) -> pa.Table:
-    size = len(k)
-    cols = {"kind": pa.array([kind] * size, pa.string()) if size < 1000 else pa.repeat(pa.scalar(kind), size), "k": pa.array(k.view(np.int64) if k.dtype == np.uint64 else k.astype(np.int64))}
-    cols["j"] = pa.array(j.view(np.int64) if j is not None and j.dtype == np.uint64 else j) if j is not None else pa.nulls(size, pa.int64())
-    for name, v in (("x", x), ("y", y)):
-        cols[name] = pa.array(v.astype(np.float32)) if v is not None else pa.nulls(size, pa.float32())
-    for i in range(7):
-        kind_of = pa.int64() if i == 0 else pa.int32()
-        cols[f"n{i}"] = pa.array(n[i].astype(np.int64)).cast(kind_of) if i < len(n) else pa.nulls(size, kind_of)
-    return pa.table(cols)
-
-
-def scored_packets(packets: DataFrame, words: DataFrame, bound, tasks: int) -> DataFrame:
-    """Partial rows. doc: score known so far (x), base (y), known rare words (n0), pairs seen 1 to 5 times (n1..n5).
-    ctx: for a first word, P of its seen successors (x) and their numbers by count (n1..n5). open: an unseen pair's
-    first word and row with how many (n0). types: pairs seen 1 to 6 times. hot: a hot pair's count and words."""
-    names = ["p", "kind", *"abcdefg"]
-    own = words.where("p >= 0").select("p", F.lit(0).alias("kind"), F.col("w").alias("a"), F.col("train").alias("b"), *[F.lit(None).cast("binary").alias(x) for x in "cdefg"])
-
-    def score(batches):
-        shared, now, held = bound.value, None, []
-        sums = {"doc": _Sums(), "ctx": _Sums(), "types": _Sums()}
+            for batch in pieces_of(whole, 1 << 20):
+                found = word_hashes(byte_texts(batch.column("text")))
+                ends = np.flatnonzero(found == END)
+                at = 0
+                for doc_id, out, end in zip(batch.column("doc_id").to_pylist(), batch.column("held").to_pylist(), (ends + 1).tolist()):
+                    if size and size + end - at > block_tokens:
+                        yield _batch([close()], BLOCK_NAMES, BLOCK_TYPES)
+                        made += 1
+                        held, tokens, ids, size = [], [], [], 0
+                    ids.append(doc_id)
+                    held.append(out)
+                    tokens.append(found[at:end])
+                    size += end - at
+                    at = end
+                tokens = [np.concatenate(tokens)] if tokens else tokens
+        if size:
+            yield _batch([close()], BLOCK_NAMES, BLOCK_TYPES)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held"), "text")
+    return rows.mapInArrow(run, BLOCK)
+
+
+class Block:
+    """One block, with the n-grams of each level that is known so far."""
+
+    def __init__(self, row: dict):
+        self.row = row
+        self.n = unpack(row["n"])
+        self.held = unpack(row["held"]).astype(bool)
+        self.tokens = unpack(row["tokens"])
+        self.starts = np.cumsum(self.n) - self.n
+        self.learn = ~np.repeat(self.held, self.n)
+
+    def grams(self, level: int, below: "Grams | None", shared: Shared) -> "Grams":
+        return Grams(self, level, below, shared)
+
+
+class Grams:
+    """The distinct n-grams of a block at one level.
+
+    of: number of each token's n-gram. context, word, lower: of each n-gram its context (number of the level below; 0 is
+    all start marks), its last word, and the n-gram without its first word. columns: the word numbers of each."""
+
+    def __init__(self, block: Block, level: int, below: "Grams | None", shared: Shared):
+        self.level, self.below, self.shared = level, below, shared
+        if level == 1:  # places 0: START, then the block's words by number
+            self.numbers = np.concatenate(([START_NO], unpack(block.row["words"])))
+            self.c = np.concatenate(([shared.docs], unpack(block.row["counts"])))
+            self.of = block.tokens + 1
+            self.columns = [self.numbers]
+            return
+        context = np.empty_like(below.of)
+        context[1:] = below.of[:-1]
+        context[block.starts] = 0
+        words = below
+        while words.below is not None:
+            words = words.below
+        wide = len(words.numbers)
+        order, first, of = _groups(context * wide + words.of)
+        some = order[first]
+        # n-gram 0 stands for start marks alone
+        self.of = of + 1
+        self.context = np.concatenate(([0], context[some]))
+        self.word = np.concatenate(([0], words.of[some]))
+        self.lower = np.concatenate(([0], below.of[some]))
+        self.columns = [x[self.context] for x in below.columns] + [words.numbers[self.word]]
+        self.count = np.concatenate(([0], _sums(block.learn[order].astype(np.int64), first)))
+        self.hot = below.c[self.context] > shared.bar
+        self.words = words
+
+    def packets(self):
+        """(partition, numbers of the n-grams that it is asked for, numbers of their contexts, each context's run)."""
+        keys = _hash_of(self.below.columns)[self.context]
+        keys = np.where(self.hot, mixed(keys, self.words.numbers[self.word].astype(np.uint64)), keys)
+        place = _place(keys, self.shared.parts)
+        for p, at in _split(place[1:], self.shared.parts):
+            at = at + 1
+            context = self.context[at]
+            first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+            yield p, at, context[first], _runs(first, len(at))
+
+    def probabilities(self) -> np.ndarray:
+        """P of each n-gram's word after its context, once the level is answered (`answer`)."""
+        if self.level == 1:
+            return np.where(self.c > 0, self.shared.levels[0].seen(self.c, self.shared.total[0]), self.shared.unknown)
+        out = np.empty(len(self.c))
+        known = self.c > 0
+        out[known] = self.shared.levels[self.level - 1].seen(self.c[known], self.totals()[self.context[known]])
+        out[~known] = self.unseen
+        return out
+
+    def totals(self) -> np.ndarray:
+        """D of each context."""
+        return self.below.c + self.spare
+
+    def stored(self) -> bytes:
+        parts = [pack(self.c), pack(self.spare), self.unseen.astype("<f8").tobytes()]
+        return b"".join(struct.pack("<I", len(x)) + x for x in parts)
+
+    def restore(self, raw: bytes) -> None:
+        parts, at = [], 0
+        while at < len(raw):
+            size = struct.unpack_from("<I", raw, at)[0]
+            parts.append(raw[at + 4 : at + 4 + size])
+            at += 4 + size
+        self.c, self.spare, self.unseen = unpack(parts[0]), unpack(parts[1]), _doubles(parts[2])
+
+    def answer(self, replies: dict) -> None:
+        """Take the partitions' replies: counts, contexts that leave nothing, and masses of those that are needed."""
+        level = self.shared.levels[self.level - 1]
+        contexts = len(self.below.c)
+        self.c = np.zeros(len(self.context), dtype=np.int64)
+        self.spare = np.zeros(contexts, dtype=np.int64)
+        mass, m = np.zeros(contexts), np.zeros((contexts, TOP + 1), dtype=np.int64)
+        for p, at, context, run in self.packets():
+            c, spare, s, few = replies[p]
+            self.c[at] = unpack(c)
+            self.spare[context] |= unpack(spare)
+            missing = np.logical_or.reduceat(self.c[at] == 0, np.cumsum(run) - run)
+            need = context[missing & (self.below.c[context] > 0) & ~(self.below.c[context] > self.shared.bar)]
+            mass[need] = _doubles(s)
+            m[need, 1:] = unpack(few).reshape(-1, TOP)
+        hot = np.flatnonzero(self.below.c > self.shared.bar)
+        hot = hot[np.isin(hot, self.context[1:])]
+        if len(hot):
+            at = level.find_hot(_hash_of([x[hot] for x in self.below.columns]))
+            mass[hot], m[hot] = level.hot[1][at], level.hot[2][at]
+            self.spare[hot] = ~m[hot, 1:].any(axis=1)
+        self.c[0], unseen = self.shared.docs, self.c == 0
+        unseen[0] = self.shared.docs == 0
+        context = self.context[unseen]
+        left = level.left(m[context], np.maximum(self.totals()[context], 1))
+        alpha = np.where(self.below.c[context] > 0, left / (1 - mass[context]), 1.0)
+        self.unseen = alpha * self.below.probabilities()[self.lower[unseen]]
+
+
+# ---- partitions
+
+PACKET = "p int, block long, a binary, b binary, c binary, d binary, e binary, f binary, g binary"
+PACKET_NAMES = ["p", "block", *"abcdefg"]
+PACKET_TYPES = [pa.int32(), pa.int64(), *[pa.binary()] * 7]
+OUT = "kind string, p int, block long, a binary, b binary, c binary, d binary, e binary, types array<long>"
+OUT_NAMES = ["kind", "p", "block", *"abcde", "types"]
+OUT_TYPES = [pa.string(), pa.int32(), pa.int64(), *[pa.binary()] * 5, pa.list_(pa.int64())]
+
+
+def _types(c: np.ndarray) -> list[int]:
+    """How many n-grams were seen 0 to 6 times, how many at all, and how many tokens that makes."""
+    n = np.bincount(np.minimum(c, TOP + 2), minlength=TOP + 3)[: TOP + 2]
+    return [*n.tolist(), int((c > 0).sum()), int(c.sum())]
+
+
+def _word_packets(blocks: DataFrame, parts: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                block = Block(row)
+                words = np.frombuffer(row["words"], dtype=np.uint64)
+                count = np.bincount(block.tokens[block.learn], minlength=len(words))
+                yield _batch([(p, row["block"], words[at].tobytes(), pack(count[at]), *[None] * 5) for p, at in _split(_place(words, parts), parts)], PACKET_NAMES, PACKET_TYPES)
+
+    return blocks.mapInArrow(run, PACKET)
 
-        def close():
-            for kind, found in _scored(shared, held):
-                if kind in sums:
-                    sums[kind].add(found)
-                else:
-                    yield from found.to_batches()
-            for kind, x in sums.items():
-                if x.size > 400_000:
-                    yield from x.table(kind).to_batches()
 
+def _answered(packets: DataFrame, parts: int, reply) -> DataFrame:
+    """reply(p, packets of the partition) for each partition, as a table by kind."""
+
+    def run(batches):
+        now, held = None, []
         for batch in batches:
-            for row in zip(*(batch.column(x).to_pylist() for x in names)):
-                if row[0] != now and held:
-                    yield from close()
+            for row in batch.to_pylist():
+                if row["p"] != now and held:
+                    yield from reply(now, held)
                     held = []
-                now = row[0]
-                held.append(row[1:])
+                now = row["p"]
+                held.append(row)
         if held:
-            yield from close()
-        for kind, x in sums.items():
-            yield from x.table(kind).to_batches()
+            yield from reply(now, held)
 
-    both = packets.select(*names).unionByName(own.select(*names))
-    return both.repartition(tasks, F.col("p")).sortWithinPartitions("p").mapInArrow(score, PARTIAL)
+    return packets.repartitionById(parts, F.col("p")).sortWithinPartitions("p", "block").mapInArrow(run, OUT)
 
 
-class _Sums:
-    """Sums by key over the partitions that one task works through; emptied when they are passed on."""
+def _slices(sizes: list[int]):
+    at = 0
+    for n in sizes:
+        yield slice(at, at + n)
+        at += n
 
-    def __init__(self):
-        self.parts, self.size = [], 0
 
-    def add(self, part: tuple) -> None:
-        self.parts.append(part)
-        self.size += len(part[0])
-        if len(self.parts) > 8:
-            self.parts = [_summed(*(np.concatenate(x) for x in zip(*self.parts)))]
-            self.size = len(self.parts[0][0])
+def _number_words(parts: int):
+    """Partition of words: adds up their counts and numbers the known ones, frequent ones first."""
 
-    def table(self, kind: str) -> pa.Table:
-        if not self.parts:
-            return _partial(kind, np.zeros(0, dtype=np.int64))
-        k, x, y, *n = _summed(*(np.concatenate(x) for x in zip(*self.parts)))
-        self.parts, self.size = [], 0
-        return _partial(kind, k, x=x, y=y, n=n)
+    def reply(p, packets):
+        hashes = np.frombuffer(b"".join(x["a"] for x in packets), dtype=np.uint64)
+        counts = [unpack(x["b"]) for x in packets]
+        order, first, of = _groups(hashes)
+        c = _sums(np.concatenate(counts)[order], first)
+        words = hashes[order[first]]
+        by = np.lexsort((words, -c))
+        number = np.empty(len(c), dtype=np.int64)
+        number[by] = np.arange(len(c)) * parts + p + FIRST_NO
+        number[c == 0] = UNKNOWN_NO
+        number[words == END] = END_NO
+        kept = by[c[by] > 0]
+        yield _batch([("model", p, -1, words[kept].tobytes(), pack(number[kept]), pack(c[kept]), None, None, _types(c))], OUT_NAMES, OUT_TYPES)
+        number, c = number[of], c[of]
+        out = [("reply", p, x["block"], pack(number[s]), pack(c[s]), None, None, None, None) for x, s in zip(packets, _slices([len(x) for x in counts]))]
+        yield _batch(out, OUT_NAMES, OUT_TYPES)
 
+    return reply
 
-def _scored(shared: Shared, packets: list):
-    """What one partition's packets give, by kind: sums as (key, x, y, n0..n6), or tables."""
-    import zstandard
 
-    plain = zstandard.ZstdDecompressor().decompress
-    uw, uc = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    v, w, t, h = [], [], [], []
-    for kind, a, b, c, d, e, f, g in packets:
-        if kind == 0:
-            uw, uc = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.int64)
-        elif kind == 2:
-            yield "hot", _partial("hot", np.frombuffer(c, dtype=np.uint64), j=np.frombuffer(d, dtype=np.uint64), n=(np.frombuffer(b, dtype=np.int64),))
-        else:
-            keys, firsts = np.frombuffer(a, dtype=np.int64), np.frombuffer(e, dtype=np.uint64)
-            j = np.cumsum(np.frombuffer(plain(g), dtype="<u2"), dtype=np.uint16)
-            w.append(np.repeat(np.frombuffer(c, dtype=np.uint64), np.frombuffer(plain(d), dtype="<u4")))
-            v.append(firsts[np.frombuffer(plain(f), dtype="<u2" if len(firsts) < 65536 else "<u4")])
-            t.append(keys[j])
-            h.append(np.unpackbits(np.frombuffer(b, dtype=np.uint8), count=len(keys)).astype(bool)[j])
-    if not w:
-        return
-    v, w, t, h = (np.concatenate(x) for x in (v, w, t, h))
-    order = np.argsort(mixed(v, w), kind="stable")
-    v, w, t, h = v[order], w[order], t[order], h[order]
-    first = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (v[1:] != v[:-1]))))
-    c12 = np.add.reduceat((~h).astype(np.int64), first)
-    run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(w))))
-    w2 = w[first]
-    often, c2 = shared.find(w2)
-    if len(uw):
-        at = np.minimum(np.searchsorted(uw, w2), len(uw) - 1)
-        c2 = np.where(~often & (uw[at] == w2), uc[at], c2)
-    p1 = shared.unigram(c2)
-    seen = c12 > 0
-    zero = lambda n: np.zeros(n, dtype=np.int64)
-    by_count = lambda of: [(of == r).astype(np.int64) for r in range(1, TOP + 2)]
-    yield "types", (zero(1), np.zeros(1), np.zeros(1), zero(1), *(x.sum(keepdims=True) for x in by_count(c12)))
-    v1 = v[first][seen]
-    yield "ctx", _summed(v1, p1[seen], np.zeros(len(v1)), zero(len(v1)), *by_count(c12[seen]))
-    value = np.where(seen, np.log10(np.maximum(c12, 1)), np.log10(p1)) - np.where(often, 0, np.log10(c2 + 1.0))
-    base = np.where(often, 0.0, np.log10(c2 + 0.5))
-    rows, back = np.unique(t, return_inverse=True)
-    by = lambda x: np.bincount(back, weights=x[run], minlength=len(rows))
-    whole = lambda x: by(x.astype(float)).astype(np.int64)
-    yield "doc", (rows, by(value), by(base), whole(~often & (c2 > 0)), *(whole(x) for x in by_count(c12)))
-    un = ~seen[run]
-    if un.any():
-        one = mixed(v[un], t[un].view(np.uint64))
-        _, at, n = np.unique(one, return_index=True, return_counts=True)
-        yield "open", _partial("open", v[un][at], j=t[un][at], n=(n,))
-
-
-def scores(docs: DataFrame, part_bytes: int = 14 << 20, task_bytes: int = 64 << 20, batch_bytes: int = 12 << 20, least_parts: int = 64) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), logarithms to base 10."""
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
-    rows = _rows(docs)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(least_parts, -(-int(size) // part_bytes))
-    tasks = min(parts, max(spark.sparkContext.defaultParallelism, int(size) // task_bytes))
-    words = word_counts(rows, parts)
-
-    def totals(batches):
+def _gram_packets(blocks: DataFrame, level: int, bound) -> DataFrame:
+    """Packets: contexts (word numbers), hot marks, runs, words, training counts, and what their lower n-grams' P needs."""
+
+    def run(batches):
+        shared = bound.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                grams = _known(Block(row), level, shared)
+                below = grams.below
+                total = below.totals()[below.context] if level > 2 else None
+                out = []
+                for p, at, context, run in grams.packets():
+                    columns = [x[context] for x in below.columns]
+                    names = b"".join(struct.pack("<I", len(x)) + x for x in (pack(col, rising=k == 0) for k, col in enumerate(columns)))
+                    lower = grams.lower[at]
+                    # the lower n-grams of one context's seen successors share their own context
+                    own = pack(total[lower[np.cumsum(run) - run]]) if level > 2 else b""
+                    marks = (below.c[context] > shared.bar).astype(np.int64)
+                    out.append((p, row["block"], names, pack(marks), pack(run), pack(grams.words.numbers[grams.word[at]]), pack(grams.count[at]), pack(below.c[lower]), own))
+                yield _batch(out, PACKET_NAMES, PACKET_TYPES)
+
+    return blocks.mapInArrow(run, PACKET)
+
+
+def _columns(raw: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(raw):
+        size = struct.unpack_from("<I", raw, at)[0]
+        out.append(unpack(raw[at + 4 : at + 4 + size], rising=not out))
+        at += 4 + size
+    return out
+
+
+def _count_grams(level: int, bound, all_masses: bool):
+    """Partition of n-grams: adds up counts, sums the lower P of each context's seen successors, and replies.
+
+    The model's rows: contexts, numbers of successors, successors, counts, and masses (unless all_masses: only of contexts
+    with more than one successor; one successor's mass is its own lower P). A hot context's masses are in rows of their own."""
+
+    def reply(p, packets):
+        shared = bound.value
+        names = [_columns(x["a"]) for x in packets]
+        columns = [np.concatenate(x) for x in zip(*names)]
+        marks, run, word, count, low = (np.concatenate([unpack(x[k]) for x in packets]) for k in "bcdef")
+        runs_of = [len(x[0]) for x in names]
+        sizes = [int(r.sum()) for r in np.split(run, np.cumsum(runs_of)[:-1])]
+        total = np.concatenate([unpack(x["g"]) for x in packets]) if level > 2 else None
+        c_order, c_first, c_of = _groups(_joined(columns))
+        entry = np.repeat(np.arange(len(run)), run)
+        order, first, of = _groups(_joined([c_of[entry], word]))
+        some = order[first]
+        c = _sums(count[order], first)
+        seen = c > 0
+        lower = shared.levels[level - 2].seen(low[some], np.maximum(total[entry[some]], 1) if level > 2 else shared.total[0])
+        own = c_of[entry[some]]  # rising, as n-grams are in the order of their contexts
+        n = len(c_first)
+        mass = np.bincount(own[seen], weights=lower[seen], minlength=n)
+        m = np.zeros((n, TOP + 1), dtype=np.int64)
+        for r in range(1, TOP + 1):
+            m[:, r] = np.bincount(own[c == r], minlength=n)
+        there = np.bincount(own, weights=c, minlength=n) > 0
+        heads = c_order[c_first]
+        hot = marks[heads] > 0
+        spare = there & ~hot & ~m[:, 1:].any(axis=1)
+
+        kept = np.flatnonzero(there)
+        contexts = b"".join(struct.pack("<I", len(x)) + x for x in (pack(col[heads[kept]], rising=k == 0) for k, col in enumerate(columns)))
+        successors = np.bincount(own[seen], minlength=n)[kept]
+        many = kept[(all_masses | (successors > 1)) & ~hot[kept]]
+        out = [("model", p, -1, contexts, pack(successors), pack(word[some][seen]), pack(c[seen]), mass[many].astype("<f8").tobytes(), _types(c))]
+        if (some_hot := kept[hot[kept]]).size:
+            keys = _hash_of([col[heads[some_hot]] for col in columns])
+            out.append(("hot", p, -1, keys.tobytes(), mass[some_hot].astype("<f8").tobytes(), pack(m[some_hot, 1:].reshape(-1)), None, None, None))
+        missing = np.logical_or.reduceat(c[of] == 0, np.cumsum(run) - run)
+        need = missing & there[c_of] & ~hot[c_of]
+        for x, r, s in zip(packets, _slices(runs_of), _slices(sizes)):
+            ask = c_of[r][need[r]]
+            out.append(("reply", p, x["block"], pack(c[of[s]]), pack(spare[c_of[r]]), mass[ask].astype("<f8").tobytes(), pack(m[ask, 1:].reshape(-1)), None, None))
+            if len(out) >= 64:
+                yield _batch(out, OUT_NAMES, OUT_TYPES)
+                out = []
+        yield _batch(out, OUT_NAMES, OUT_TYPES)
+
+    return reply
+
+
+# ---- blocks and replies
+
+
+def _known(block: Block, level: int, shared: Shared) -> Grams:
+    """The block's n-grams of a level, with all levels below answered; those already stored are restored."""
+    grams = Grams(block, 1, None, shared)
+    for k in range(2, level + 1):
+        grams = Grams(block, k, grams, shared)
+        if k - 2 < len(block.row["levels"]):
+            grams.restore(block.row["levels"][k - 2])
+    return grams
+
+
+def _with_replies(blocks: DataFrame, answers: DataFrame, tasks: int, use, schema: str) -> DataFrame:
+    """use(block's row, replies by partition) for each block."""
+    own = blocks.select(F.col("block").alias("at"), F.lit(-1).alias("q"), *BLOCK_NAMES[1:], *[F.lit(None).cast("binary").alias(x) for x in "abcd"])
+    got = answers.where("kind = 'reply'")
+    none = [F.lit(None).cast("binary").alias(x) for x in BLOCK_NAMES[1:-1]]
+    got = got.select(F.col("block").alias("at"), F.col("p").alias("q"), *none, F.lit(None).cast("array<binary>").alias("levels"), *"abcd")
+    names = [*BLOCK_NAMES[1:], *"abcd"]
+
+    def run(batches):
+        now, replies = None, {}
         for batch in batches:
-            for p, train, every in zip(*(batch.column(k).to_pylist() for k in ("p", "train", "every"))):
-                c, a = np.frombuffer(train, dtype=np.int64), np.frombuffer(every, dtype=np.int64)
-                n = np.bincount(np.minimum(c, TOP + 2), minlength=TOP + 3)
-                yield pa.RecordBatch.from_pydict({"train": [int(c.sum())], "every": [int(a.sum())], "types": [int((c > 0).sum())], **{f"r{r}": [int(n[r])] for r in range(1, TOP + 2)}})
-
-    counted = words.where("p >= 0").mapInArrow(totals, "train long, every long, types long, " + ", ".join(f"r{r} long" for r in range(1, TOP + 2)))
-    got = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counted.columns]).first().asDict()
-    sketch, n_docs = np.zeros((2, 1 << SKETCH), dtype=np.int64), 0
-    step = (1 << SKETCH) // SLICES
-    for r in words.where("p < 0").select("p", "w", "train").collect():  # SLICES rows of fixed size
-        s = -1 - r["p"]
-        sketch[:, s * step : (s + 1) * step] = np.frombuffer(bytes(r["w"]), dtype=np.int64).reshape(2, -1)
-        n_docs += int(np.frombuffer(bytes(r["train"]), dtype=np.int64)[0])
-    bar = WORD_SHARE * got["every"]
-
-    def frequent(batches):
+            for row in batch.to_pylist():
+                if row["q"] < 0:
+                    if now is not None:
+                        yield use(now, replies)
+                    now, replies = {"block": row["at"], **{k: row[k] for k in names}}, {}
+                else:
+                    replies[row["q"]] = tuple(row[x] for x in "abcd")
+        if now is not None:
+            yield use(now, replies)
+
+    return own.unionByName(got).repartition(tasks, F.col("at")).sortWithinPartitions("at", "q").mapInArrow(run, schema)
+
+
+def _number_block(parts: int):
+    """The block with its distinct words' numbers (in their order) and counts in place of hashes."""
+
+    def use(row, replies):
+        words = np.frombuffer(row["words"], dtype=np.uint64)
+        number, c = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+        for p, at in _split(_place(words, parts), parts):
+            number[at], c[at] = unpack(replies[p][0]), unpack(replies[p][1])
+        order, first, of = _groups(number)
+        some = order[first]
+        tokens = of[unpack(row["tokens"])]
+        return _batch([(row["block"], *(row[k] for k in ("ids", "none", "held", "n")), pack(tokens), pack(number[some]), pack(c[some]), [])], BLOCK_NAMES, BLOCK_TYPES)
+
+    return use
+
+
+def _answer_block(level: int, bound):
+    def use(row, replies):
+        grams = _known(Block(row), level, bound.value)
+        grams.answer(replies)
+        return _batch([(*(row[k] for k in BLOCK_NAMES[:-1]), [*row["levels"], grams.stored()])], BLOCK_NAMES, BLOCK_TYPES)
+
+    return use
+
+
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _score_block(order: int, bound):
+    def use(row, replies):
+        shared, block = bound.value, Block(row)
+        grams = _known(block, order, shared)
+        if order > 1:
+            grams.answer(replies)
+        score = np.log10(grams.probabilities())[grams.of]
+        while grams.below is not None:
+            grams = grams.below
+        base = (np.log10(grams.c + 0.5) - np.log10(shared.train + 0.5 * (shared.types + 1)))[grams.of]
+        known = (grams.c > 0)[grams.of].astype(np.int64)
+        sums = [_sums(x, block.starts) for x in (known, base, score)]
+        ids = pa.array(unpack(row["ids"]), mask=unpack(row["none"]).astype(bool))
+        arrays = [ids, pa.array(block.held), pa.array(block.n), pa.array(sums[0]), pa.array(np.full(len(block.n), shared.train)), pa.array(sums[1]), pa.array(sums[2])]
+        return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in SCORES.split(", ")])
+
+    return use
+
+
+def _hot_sums(answers: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, masses and numbers of successors of the hot contexts: fewer than 1 / hot_share of them."""
+
+    def run(batches):
         for batch in batches:
-            for w, train, every in zip(*(batch.column(k).to_pylist() for k in ("w", "train", "every"))):
-                w, c, a = np.frombuffer(w, dtype=np.uint64), np.frombuffer(train, dtype=np.int64), np.frombuffer(every, dtype=np.int64)
-                keep = (a > bar) | (w == END)
-                yield pa.RecordBatch.from_arrays([pa.array(w[keep].view(np.int64)), pa.array(c[keep])], names=["w", "c"])
-
-    top = words.where("p >= 0").mapInArrow(frequent, "w long, c long").toArrow()  # fewer than 1 / WORD_SHARE rows
-    w, c = top.column("w").to_numpy().view(np.uint64), top.column("c").to_numpy()
-    by = np.argsort(w)
-    shared = Shared({"docs": n_docs, **got}, w[by], c[by], sketch, np.array([0, *(got[f"r{r}"] for r in range(1, TOP + 2))], dtype=float))
+            for a, b, c in zip(*(batch.column(x).to_pylist() for x in "abc")):
+                m = unpack(c).reshape(-1, TOP)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, dtype=np.int64)), pa.array(_doubles(b)), *(pa.array(m[:, r]) for r in range(TOP))], names=["k", "x", *(f"m{r + 1}" for r in range(TOP))])
+
+    rows = answers.where("kind = 'hot'").select(*"abc").mapInArrow(run, "k long, x double, " + ", ".join(f"m{r} long" for r in range(1, TOP + 1)))
+    found = rows.groupBy("k").agg(F.sum("x").alias("x"), *[F.sum(f"m{r}").alias(f"m{r}") for r in range(1, TOP + 1)]).toArrow()
+    keys = found.column("k").to_numpy().view(np.uint64)
+    by = np.argsort(keys)
+    m = np.stack([np.zeros(len(keys), dtype=np.int64), *(found.column(f"m{r}").to_numpy() for r in range(1, TOP + 1))], axis=1)
+    return keys[by], found.column("x").to_numpy()[by], m[by]
+
+
+def _all_types(answers: DataFrame) -> np.ndarray:
+    sums = [F.coalesce(F.sum(F.col("types")[i]), F.lit(0)).alias(f"t{i}") for i in range(TOP + 4)]
+    return np.array(answers.where("kind = 'model'").agg(*sums).first(), dtype=np.int64)
+
+
+def _learnt_and_scored(docs: DataFrame, order: int, block_tokens: int, part_tokens: int, hot_share: float, least_parts: int, keep_model: bool):
+    spark, scratch = docs.sparkSession, Scratch()
+    tables: list[DataFrame] = []
+    blocks = scratch.cut(blocks_of(docs, block_tokens))
+
+    def sizes(batches):
+        for batch in batches:
+            for held, n in zip(batch.column("held").to_pylist(), batch.column("n").to_pylist()):
+                held, n = unpack(held).astype(bool), unpack(n)
+                yield pa.RecordBatch.from_arrays([pa.array([int(n.sum())]), pa.array([int(n[~held].sum())]), pa.array([int((~held).sum())])], names=["n", "train", "docs"])
+
+    found = blocks.select("held", "n").mapInArrow(sizes, "n long, train long, docs long")
+    n, train, n_docs, n_blocks = found.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("n", "train", "docs")], F.count(F.lit(1))).first()
+    parts = max(least_parts, -(-int(n) // part_tokens))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-int(n_blocks) // 2))
+    shared = Shared(parts, int(n_docs), int(train), hot_share)
+
+    answers = scratch.cut(_answered(_word_packets(blocks, parts), parts, _number_words(parts)), "kind")
+    types = _all_types(answers)
+    shared.words_done(types[: TOP + 2].astype(float), int(types[TOP + 2]))
+    tables.append(answers)
+    more = scratch.cut(_with_replies(blocks, answers, tasks, _number_block(parts), BLOCK))
+    scratch.drop(blocks, *([] if keep_model or order == 1 else tables))
+    blocks = more
+    for level in range(2, order + 1):
+        bound = spark.sparkContext.broadcast(shared)
+        answers = scratch.cut(_answered(_gram_packets(blocks, level, bound), parts, _count_grams(level, bound, keep_model)), "kind")
+        shared.levels.append(Level(_all_types(answers)[: TOP + 2].astype(float)))
+        shared.levels[-1].hot = _hot_sums(answers)
+        tables.append(answers)
+        if level < order:
+            bound = spark.sparkContext.broadcast(shared)
+            more = scratch.cut(_with_replies(blocks, answers, tasks, _answer_block(level, bound), BLOCK))
+            scratch.drop(blocks, *([] if keep_model else tables))
+            blocks = more
     bound = spark.sparkContext.broadcast(shared)
-    gc.collect()  # the counts' shuffle files may go now
-    spark.sparkContext._jvm.System.gc()
-    part = cut(scored_packets(pair_packets(rows, bound, parts), words, bound, tasks), "kind")
-    gc.collect()  # the packets' shuffle files may go now
-    spark.sparkContext._jvm.System.gc()
-
-    types = part.where("kind = 'types'").agg(*[F.coalesce(F.sum(f"n{r}"), F.lit(0)) for r in range(1, TOP + 2)]).first()
-    hot = part.where("kind = 'hot'").groupBy("k", "j").agg(F.sum("n0").alias("c")).toArrow()  # bounded by PAIR_SHARE
-    hv, hw, hc = hot.column("k").to_numpy().view(np.uint64), hot.column("j").to_numpy().view(np.uint64), hot.column("c").to_numpy()
-    n2 = np.array([0, *types], dtype=float)
-    n2[1 : TOP + 2] += [(hc == r).sum() for r in range(1, TOP + 2)]
-    d = discounts(n2)
-    hp = mixed(hv, hw)
-    order = np.argsort(hp)
-    hot_pairs = spark.sparkContext.broadcast((hp[order], hc[order]))
-
-    def local(batches):
-        shared, (pairs, counts) = bound.value, hot_pairs.value
-        for whole in batches:
-            for batch in pieces_of(whole, 12 << 20, 60_000):
-                tokens, n = _block(batch)
-                before, pair, often, count, hot = _pairs(shared, tokens, n)
-                value = np.where(often & (tokens != END), -np.log10(count + 1.0), 0.0)
-                base, known = np.where(often, np.log10(count + 0.5), 0.0), (often & (count > 0)).astype(np.int64)
-                unseen = np.zeros(len(tokens), dtype=bool)
-                if hot.any():
-                    at = np.minimum(np.searchsorted(pairs, pair[hot]), max(0, len(pairs) - 1))
-                    c12 = np.where(pairs[at] == pair[hot], counts[at], 0) if len(pairs) else np.zeros(int(hot.sum()), dtype=np.int64)
-                    low = (c12 >= 1) & (c12 <= TOP)
-                    value[hot] += np.where(c12 > 0, np.log10(np.maximum(c12, 1) * np.where(low, d[np.minimum(c12, TOP)], 1.0)), np.log10(shared.unigram(count[hot])))
-                    unseen[hot] = c12 == 0
-                starts = np.cumsum(n) - n
-                sums = [np.add.reduceat(x, starts) if len(n) else x[:0] for x in (value, base, known)]
-                lone = [before[s : s + k][unseen[s : s + k]].view(np.int64).tolist() for s, k in zip(starts, n)] if unseen.any() else [[]] * len(n)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), batch.column("held"), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2].astype(np.int64)), pa.array(lone, pa.list_(pa.int64()))], names=["doc_id", "row", "held_out", "n_tokens", "value", "base", "known", "lone"])
-
-    here = rows.mapInArrow(local, "doc_id long, row long, held_out boolean, n_tokens long, value double, base double, known long, lone array<long>")
-    here = cut(here.groupBy("row").agg(F.count(F.lit(1)).alias("m"), F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), F.first("n_tokens").alias("n_tokens"), F.first("value").alias("value"), F.first("base").alias("base"), F.first("known").alias("known"), F.first("lone").alias("lone")))
-
-    extra = spark.createDataFrame(pa.table({"k": pa.array(hv.view(np.int64)), "x": pa.array(shared.unigram(shared.find(hw)[1])[: len(hv)]), "c": pa.array(hc)}).to_pandas(), "k long, x double, c long") if len(hv) else spark.createDataFrame([], "k long, x double, c long")
-    low = [F.count_if(F.col("c") == r) for r in range(1, TOP + 1)]
-    extra = extra.where("c > 0").groupBy("k").agg(F.sum("x").alias("x"), *[e.cast("long").alias(f"n{r}") for r, e in enumerate(low, 1)])
-    ctx = part.where("kind = 'ctx'").select("k", F.col("x").cast("double").alias("x"), *[F.col(f"n{r}").cast("long").alias(f"n{r}") for r in range(1, TOP + 1)]).unionByName(extra)
-    ctx = ctx.groupBy("k").agg(F.sum("x").alias("s"), *[F.sum(f"n{r}").alias(f"n{r}") for r in range(1, TOP + 1)])
-    more = sum((F.col(f"n{r}") * float(r * (1 - d[r])) for r in range(1, TOP + 1)), F.lit(1.0))
-    alpha = ctx.select(F.col("k").alias("v"), (F.log10(more) - F.log10(F.greatest(1 - F.col("s"), F.lit(1e-12)))).alias("alpha"))
-    lone = here.select(F.explode("lone").alias("k"), F.col("row").alias("j"), F.col("m").alias("n0"))
-    open_pairs = part.where("kind = 'open'").select("k", "j", F.col("n0").cast("long").alias("n0")).unionByName(lone)
-    fix = open_pairs.join(alpha, F.col("k") == F.col("v")).groupBy("j").agg(F.sum(F.col("n0") * F.col("alpha")).alias("x"))
-
-    kept = [F.lit(0).cast("double").alias("y"), F.lit(0).cast("long").alias("n0")]
-    seen = sum((F.col(f"n{r}") * float(np.log10(d[r])) for r in range(1, TOP + 1)), F.lit(0.0))
-    sums = part.where("kind = 'doc'").select(F.col("k").alias("r"), (F.col("x").cast("double") + seen).alias("x"), F.col("y").cast("double").alias("y"), F.col("n0").cast("long").alias("n0")).unionByName(fix.select(F.col("j").alias("r"), "x", *kept))
-    sums = sums.groupBy("r").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum("n0").alias("n0"))
-    out = here.join(sums, F.col("row") == F.col("r"), "left").withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("m").cast("int"))))
-    part_of = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.col("m")
-    start = float(np.log10(n_docs + 1))
-    base = F.col("base") + part_of("y") - F.col("n_tokens") * float(np.log10(max(1, shared.train) + 0.5 * (shared.types + 1)))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + part_of("n0")).cast("long").alias("n_known"), F.lit(int(shared.train)).alias("train_tokens"), base.alias("base_score"), (F.col("value") + part_of("x") - start).alias("score"))
+    out = scratch.cut(_with_replies(blocks, answers, tasks, _score_block(order, bound), SCORES))
+    scratch.keep(out, *(tables if keep_model else []))
+    return out, tables, shared
+
+
+def scores(docs: DataFrame, order: int = 3, block_tokens: int = 2_000_000, part_tokens: int = 2_000_000, hot_share: float = 1e-5, least_parts: int = 16) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), logarithms to base 10."""
+    return _learnt_and_scored(docs, order, block_tokens, part_tokens, hot_share, least_parts, False)[0]
+
 
+def model_tables(docs: DataFrame, order: int = 3, block_tokens: int = 2_000_000, part_tokens: int = 2_000_000, hot_share: float = 1e-5, least_parts: int = 16) -> list[tuple[DataFrame, DataFrame]]:
+    """For each level (n-grams, contexts) of the stored model, unpacked.
+
+    n-grams: context (word numbers), word (its number), count. contexts: context, seen (sum of P of its successors), alpha.
+    The first level has n-grams with the empty context, and the word's hash as `hash`."""
+    _, tables, shared = _learnt_and_scored(docs, order, block_tokens, part_tokens, hot_share, least_parts, True)
+    return [(_unpacked(t, k, shared), _weights(t, k, shared)) for k, t in enumerate(tables, 1)]
+
+
+def _unpacked(table: DataFrame, level: int, shared: Shared) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for a, b, c, d in zip(*(batch.column(x).to_pylist() for x in "abcd")):
+                if level == 1:
+                    hashes, word, count = np.frombuffer(a, dtype=np.int64), unpack(b), unpack(c)
+                    context = pa.array([[]] * len(word), pa.list_(pa.int64()))
+                else:
+                    word, count, of = unpack(c), unpack(d), np.repeat(np.arange(len(unpack(b))), unpack(b))
+                    hashes = np.zeros(len(word), dtype=np.int64)
+                    context = pa.array(np.stack(_columns(a), axis=1)[of].tolist(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([context, pa.array(word), pa.array(count), pa.array(hashes)], names=["context", "word", "count", "hash"])
+
+    return table.where("kind = 'model'").select(*"abcd").mapInArrow(run, "context array<long>, word long, count long, hash long")
+
+
+def _weights(table: DataFrame, level: int, shared: Shared) -> DataFrame:
+    """Contexts of one level with the probability of what was seen after them and their backoff weight."""
+    if level == 1:
+        return table.sparkSession.createDataFrame([([], 1 - shared.unknown, 1.0)], "context array<long>, seen double, alpha double")
+    rule = shared.levels[level - 1]
+
+    def run(batches):
+        for batch in batches:
+            for a, b, c, d, e in zip(*(batch.column(x).to_pylist() for x in "abcde")):
+                columns, n, count, mass = _columns(a), unpack(b), unpack(d), _doubles(e)
+                starts = np.cumsum(n) - n
+                total = _sums(count, starts)
+                m = np.stack([_sums((count == r).astype(np.int64), starts) for r in range(TOP + 1)], axis=1)
+                own = ~(total > shared.bar) if len(mass) < len(n) else np.ones(len(n), dtype=bool)
+                d_of = total + ~m[:, 1:].any(axis=1)
+                left = rule.left(m, d_of)
+                keep = np.flatnonzero(own)
+                alpha = left[keep] / (1 - mass)
+                names = pa.array(np.stack(columns, axis=1)[keep].tolist(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([names, pa.array(1 - left[keep]), pa.array(alpha)], names=["context", "seen", "alpha"])
+
+    return table.where("kind = 'model'").select(*"abcde").mapInArrow(run, "context array<long>, seen double, alpha double")
