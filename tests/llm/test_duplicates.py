@@ -93,24 +93,41 @@ def test_vectors_equal_brute_force(spark):
     x = np.vstack([base, near, chain, base[3:6], base[7:8] * 4]).astype(np.float32)
     table = [(i, v.tolist(), 0) for i, v in enumerate(x)]
     n = len(table)
-    table += [(n, None, 1), (n + 1, [0.0] * 16, 1), (n + 2, [float("nan")] * 16, 1), (n + 3, [1.0] * 3, 1), (n + 4, [1.0] * 15 + [None], 1)]
+    table += [(n, None, 1), (n + 1, [0.0] * 16, 1), (n + 2, [float("nan")] * 16, 1), (n + 3, [1.0] * 4, 1), (n + 4, [1.0] * 15 + [None], 1), (n + 5, [], 1)]
+    other = [(n + 6, [1.0, 2.0, 3.0], 1), (n + 7, [1.0, 2.0, 3.0], 1), (n + 8, [1.0, 2.0, 3.5], 1)]  # a length of their own
+    table += other
     frame = spark.createDataFrame(table, "vec_id long, embedding array<float>, n_links int")
     unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     close = unit @ unit.T >= 0.9
     np.fill_diagonal(close, False)
     comp = joined(n, [(a, b) for a, b in zip(*np.nonzero(close)) if a < b])
-    for how in ({}, {"most_copies": 1e9, "most_pivots": 16}, {"tile": 8}, {"most_copies": 1e9, "most_pivots": 16, "tile": 8}):
+    for how in ({}, {"most_pivots": 2}, {"tile": 8}, {"most_pivots": 16, "tile": 16}):
         got = {r.vec_id: r for r in vectors.near_vectors(frame, **how).collect()}
-        assert len(got) == n + 5
+        assert len(got) == n + 9
         assert all((got[i].n_links, got[i].component_id, got[i].kept) == (close[i].sum(), comp[i], comp[i] == i) for i in range(n))
-        assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i in range(n, n + 5))
+        assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i in range(n, n + 6))
+        assert all((got[i].n_links, got[i].component_id) == (2, n + 6) for i in range(n + 6, n + 9))
     assert vectors.near_vectors(frame.where("false")).count() == 0
 
 
-def test_pivot_cells_are_used_where_space_parts(spark):
+def test_doubles_stay_doubles(spark):
+    # as floats, the two are the same vector
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 1e-9]), (3, [0.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert vectors.classes(frame, "vec_id", "embedding")[1].count() == 3
+    assert sorted(tuple(r) for r in vectors.near_vectors(frame).collect()) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+
+
+def test_pivot_cells_part_the_work(spark):
+    """Far fewer guests where space parts; on the given vectors, which point everywhere alike, more than one cell still."""
     rng = np.random.default_rng(6)
-    x = np.vstack([c + rng.normal(size=(40, 8)) * 0.02 for c in rng.normal(size=(8, 8))])
-    assert len(vectors._pivots(spark.createDataFrame([(i, bytearray(v.astype("<f4").tobytes())) for i, v in enumerate(x)], "rep long, v binary"), np.sqrt(0.2), 32, 4.0)) > 1
+    x = np.vstack([c + rng.normal(size=(60, 8)) * 0.02 for c in rng.normal(size=(16, 8))]).astype("<f4")
+    _, groups = vectors.classes(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), "vec_id", "embedding")
+    pivots = vectors.plan_pivots(groups, 0.99, 64, 100)
+    assert len(pivots[8]) > 4 and vectors.members(groups, pivots, 0.99).count() < 1.5 * len(x)
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    _, groups = vectors.classes(table, "vec_id", "embedding")
+    assert all(len(p) > 1 for p in vectors.plan_pivots(groups, 0.9, 256, 4096).values())
 
 
 def test_pipeline_parts(spark, tmp_path, rows):
