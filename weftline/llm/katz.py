@@ -243,6 +243,12 @@ def _batch(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
 
+def _rows_of(batch: pa.RecordBatch):
+    """Rows as dicts, one at a time: they are large."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def blocks_of(docs: DataFrame, block_tokens: int) -> DataFrame:
     """Blocks of whole texts: ids, held-out marks and numbers of tokens of the texts, tokens as places among the
     block's distinct words (frequent ones first), and these words' hashes."""
@@ -420,7 +426,7 @@ def _types(c: np.ndarray) -> list[int]:
 def _word_packets(blocks: DataFrame, parts: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows_of(batch):
                 block = Block(row)
                 words = np.frombuffer(row["words"], dtype=np.uint64)
                 count = np.bincount(block.tokens[block.learn], minlength=len(words))
@@ -435,7 +441,7 @@ def _answered(packets: DataFrame, parts: int, reply) -> DataFrame:
     def run(batches):
         now, held = None, []
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows_of(batch):
                 if row["p"] != now and held:
                     yield from reply(now, held)
                     held = []
@@ -483,7 +489,7 @@ def _gram_packets(blocks: DataFrame, level: int, bound) -> DataFrame:
     def run(batches):
         shared = bound.value
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows_of(batch):
                 grams = _known(Block(row), level, shared)
                 below = grams.below
                 total = below.totals()[below.context] if level > 2 else None
@@ -587,7 +593,7 @@ def _with_replies(blocks: DataFrame, answers: DataFrame, tasks: int, use, schema
     def run(batches):
         now, replies = None, {}
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows_of(batch):
                 if row["q"] < 0:
                     if now is not None:
                         yield use(now, replies)
@@ -710,12 +716,12 @@ def _learnt_and_scored(docs: DataFrame, order: int, block_tokens: int, part_toke
     return out, tables, shared
 
 
-def scores(docs: DataFrame, order: int = 3, block_tokens: int = 2_000_000, part_tokens: int = 2_000_000, hot_share: float = 1e-5, least_parts: int = 16) -> DataFrame:
+def scores(docs: DataFrame, order: int = 3, block_tokens: int = 1_000_000, part_tokens: int = 1_500_000, hot_share: float = 1e-5, least_parts: int = 16) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), logarithms to base 10."""
     return _learnt_and_scored(docs, order, block_tokens, part_tokens, hot_share, least_parts, False)[0]
 
 
-def model_tables(docs: DataFrame, order: int = 3, block_tokens: int = 2_000_000, part_tokens: int = 2_000_000, hot_share: float = 1e-5, least_parts: int = 16) -> list[tuple[DataFrame, DataFrame]]:
+def model_tables(docs: DataFrame, order: int = 3, block_tokens: int = 1_000_000, part_tokens: int = 1_500_000, hot_share: float = 1e-5, least_parts: int = 16) -> list[tuple[DataFrame, DataFrame]]:
     """For each level (n-grams, contexts) of the stored model, unpacked.
 
     n-grams: context (word numbers), word (its number), count. contexts: context, seen (sum of P of its successors), alpha.
