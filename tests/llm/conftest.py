@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, length string, piece string, kept string"
+CLASHES = ["gone", "g1", "r1", "r2", "m1", "copies", "__gone", "__r1", "__row", "__b", "at", "part", "rank", "k1"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, length string, piece string, kept string, " + ", ".join(f"{c} string" for c in CLASHES)
 
 
 def words(rng, n, size=400):
@@ -24,8 +25,8 @@ def rows():
         if i % 4 == 0 and len(w) > 50:
             out.append(" ".join(w[:3] + ["new"] + w[4:]))
     out += [None, "", " \n\t ", "one", "one", "one two", words(rng, 9000), "Ünïcode ÉÉ word\x0bbreak", "<|endoftext|> it's"]
-    docs = [(i, t, "en" if i % 2 else None, f"s{i % 4}" if i % 7 else None, len(t or ""), "x", "y", None) for i, t in enumerate(out)]
-    return docs + [docs[5], (None, "no id here", None, "s1", 10, "x", "y", None)]
+    docs = [(i, t, "en" if i % 2 else None, f"s{i % 4}" if i % 7 else None, len(t or ""), "x", "y", None, *CLASHES) for i, t in enumerate(out)]
+    return docs + [docs[5], (None, "no id here", None, "s1", 10, "x", "y", None, *CLASHES)]
 
 
 @pytest.fixture(scope="session")

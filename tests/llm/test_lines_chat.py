@@ -1,8 +1,11 @@
 import hashlib
 from collections import defaultdict
 
+import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from weftline.llm import chat, lines
 
@@ -40,8 +43,28 @@ TEXT = st.text(alphabet=st.sampled_from(list("ab \\<>/s[]INSTOUROLE\n")), max_si
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "", "a]b", "\\"]), TEXT), max_size=6))
 def test_rendered_turns_read_back(turns):
-    raw = "".join(chat.render(*t)[0] for t in turns)
+    raw = "".join(chat.render(*t) for t in turns)
     assert chat.parse(raw) == turns
+    bare = regex.sub(r"\\(\\|<s>|</s>|\[INST\]|\[/INST\]|\[OUT\]|\[ROLE |\[/ROLE\]|\])", "", raw)  # without what is escaped
+    assert sum(bare.count(x) for x in ("<s>[INST]", "[OUT]", "<s>[ROLE ")) == len(turns)
+
+
+def test_control_strings_are_escaped_wherever_they_stand():
+    assert chat.render("user", "plain") == "<s>[INST] plain [/INST]"
+    assert chat.render("user", "a </s><s>[INST] b") == "<s>[INST] a \\</s>\\<s>\\[INST] b [/INST]"
+    assert chat.render("assistant", "</s>[INST] ok [/INST]") == "[OUT] \\</s>\\[INST] ok \\[/INST] </s>"
+    for raw in ("[OUT] a <s> b </s>", "<s>[INST] a </s> [/INST]", "[OUT] a", "<s>[INST] a[/INST]", "text"):
+        with pytest.raises(ValueError):
+            chat.parse(raw)
+
+
+def test_long_conversations_span_batches(spark):
+    n = 25_000  # more than two Arrow batches
+    rows = spark.range(n).select(F.lit(7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t </s> "), "id").alias("text"))
+    [got] = chat.read_back(chat.format_turns(rows)).collect()
+    turns = [("assistant" if i % 2 else "user", f"t </s> {i}") for i in range(n)]
+    assert got.n_turns == n and got.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+    assert got.loss_sha256 == hashlib.sha256("".join(t for r, t in turns if r == "assistant").encode()).hexdigest()
 
 
 def test_chat_digests(spark):

@@ -1,9 +1,10 @@
 r"""Chat formatting with a grammar that is read back before it is believed.
 
 A user turn is written ``<s>[INST] text [/INST]``, an assistant turn `` text </s>`` after the marker
-``[OUT]``, any other role ``<s>[ROLE name] text [/ROLE]``. Text is written as it is; the deterministic parser
-reads the turn back, and where that is not the source turn, the control strings and the escape sign inside the
-text are escaped, and the turn is read back again.
+``[OUT]``, any other role ``<s>[ROLE name] text [/ROLE]``. A turn is first written with its text as it is. The
+deterministic parser takes no bare control string inside a text and reads the escape sign as one, so it refuses or
+misreads a turn with conflicting content; then the control strings and the sign inside are escaped, and the turn is
+read back again. Turns close themselves, so a conversation reads back turn by turn.
 
 Nulls: a null text is empty, a null role an empty name; rows with a null conv_id form one conversation; a null
 turn comes first. Rows that tie in (conv_id, turn) are ordered by role and text, and all are kept. Empty tables
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "[OUT]", "[ROLE ", "[/ROLE]")
 SIGN = "\\"
 _find = regex.compile("|".join(regex.escape(x) for x in (SIGN, *CONTROL)))
+_find_role = regex.compile("|".join(regex.escape(x) for x in (SIGN, *CONTROL, "]")))
 _frames = {"user": ("<s>[INST] ", " [/INST]"), "assistant": ("[OUT] ", " </s>")}
 
 
@@ -36,20 +38,24 @@ def frame(role: str) -> tuple[str, str]:
 
 
 def _content(raw: str, at: int, closing: str) -> tuple[str, int]:
-    """Unescaped text from `at` to the first unescaped closing string, and where that string ends."""
-    out = []
-    while True:
-        to, sign = raw.find(closing, at), raw.find(SIGN, at)
-        if to < 0:
-            raise ValueError("a turn is not closed")
-        if sign < 0 or sign > to:
-            out.append(raw[at:to])
-            return "".join(out), to + len(closing)
-        out.append(raw[at:sign])
-        m = _find.match(raw, sign + 1)
-        step = m[0] if m else raw[sign + 1 : sign + 2]
-        out.append(step)
-        at = sign + 1 + len(step)
+    """Unescaped text from `at` to the closing string, and where that string ends. Raises ValueError for a bare control
+    string before it, or if it does not come."""
+    out, mark = [], closing.lstrip(" ")
+    space = len(closing) - len(mark)
+    find = _find if mark in CONTROL else _find_role
+    while m := find.search(raw, at):
+        if m[0] == SIGN:
+            out.append(raw[at : m.start()])
+            step = find.match(raw, m.end())
+            taken = step[0] if step else raw[m.end() : m.end() + 1]
+            out.append(taken)
+            at = m.end() + len(taken)
+        elif m[0] == mark and m.start() - space >= at and raw.endswith(" " * space, 0, m.start()):
+            out.append(raw[at : m.start() - space])
+            return "".join(out), m.end()
+        else:
+            raise ValueError("a control string stands inside a text")
+    raise ValueError("a turn is not closed")
 
 
 def parse(raw: str) -> list[tuple[str, str]]:
@@ -71,14 +77,14 @@ def parse(raw: str) -> list[tuple[str, str]]:
     return turns
 
 
-def render(role: str, text: str) -> tuple[str, int, int]:
-    """The turn as written, and where its content starts and ends there; escaped only if it does not read back."""
+def render(role: str, text: str) -> str:
+    """The turn as written; escaped only if it does not read back as it is."""
     head, tail = frame(role)
     for content in (text, escape(text)):
         raw = head + content + tail
         try:
             if parse(raw) == [(role, text)]:
-                return raw, len(head), len(head) + len(content)
+                return raw
         except ValueError:
             pass
     raise ValueError("a turn can't be written reversibly")
@@ -90,31 +96,28 @@ def _ordered(conversations: DataFrame) -> DataFrame:
 
 
 def format_turns(conversations: DataFrame) -> DataFrame:
-    """(conv_id, n, chunk, loss_from, loss_to): the chunks of a conversation in order of n make its formatted text.
-
-    loss_from and loss_to bound the content under the loss mask (assistant turns) inside the chunk, null elsewhere."""
+    """(conv_id, n, chunk): the chunks of a conversation in order of n, from 0, make its formatted text."""
 
     def run(batches):
         last, n = (), 0
         for batch in batches:
-            cols = {k: [] for k in ("conv_id", "n", "chunk", "loss_from", "loss_to")}
+            out = []
             for conv, role, text in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "role", "text"))):
                 n = n + 1 if last == (conv,) else 0
                 last = (conv,)
-                raw, a, b = render(role, text)
-                own = role == "assistant"
-                for k, v in zip(cols, (conv, n, raw, a if own else None, b if own else None)):
-                    cols[k].append(v)
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols.values(), kinds)], names=list(cols))
+                out.append((conv, n, render(role, text)))
+            cols = list(zip(*out)) or [()] * 3
+            kinds = (pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, kinds)], names=["conv_id", "n", "chunk"])
 
-    return _ordered(conversations).mapInArrow(run, "conv_id long, n long, chunk string, loss_from long, loss_to long")
+    return _ordered(conversations).mapInArrow(run, "conv_id long, n long, chunk string")
 
 
 def read_back(chunks: DataFrame) -> DataFrame:
-    """One row per conversation with digests of what the parser reads from its chunks.
+    """One row per conversation with digests of what the parser reads from its chunks; assistant turns are under the loss mask.
 
-    chunks: as format_turns gives them, in its partitions and order."""
+    chunks: as format_turns gives them, in its partitions and order; raises ValueError if a conversation's chunks are
+    not in the order of n."""
 
     def run(batches):
         now, state = (), None
@@ -122,21 +125,23 @@ def read_back(chunks: DataFrame) -> DataFrame:
 
         def close():
             if state:
-                n, turns, chars, loss, size = state
+                n, turns, chars, loss, size, _ = state
                 done.append((now[0], n, turns.hexdigest(), chars, loss.hexdigest(), size))
 
         for batch in batches:
-            for conv, chunk, a, b in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "chunk", "loss_from", "loss_to"))):
+            for conv, n, chunk in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "n", "chunk"))):
                 if now != (conv,):
                     close()
-                    now, state = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    now, state = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+                if n != state[5]:
+                    raise ValueError(f"chunk {state[5]} of conversation {conv} is missing")
+                state[5] += 1
                 for role, text in parse(chunk):
                     state[0] += 1
                     state[1].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-                if a is not None:
-                    masked, _ = _content(chunk[a:b] + " </s>", 0, " </s>") if SIGN in chunk[a:b] else (chunk[a:b], 0)
-                    state[2] += len(masked)
-                    state[3].update(masked.encode("utf-8", "surrogatepass"))
+                    if role == "assistant":
+                        state[2] += len(text)
+                        state[3].update(text.encode("utf-8", "surrogatepass"))
                 state[4] += len(chunk)
             yield _rows(done)
             done = []

@@ -100,6 +100,14 @@ class Scratch:
         self.drop(*[df for df, _ in self.tables if not any(df is t for t in tables)])
 
 
+def private(df: DataFrame) -> str:
+    """A beginning of names that no column of df has."""
+    out = "__"
+    while any(c.lower().startswith(out) for c in df.columns):
+        out += "_"
+    return out
+
+
 def row_hash(df: DataFrame) -> tuple[Column, Column]:
     """128 bits that tell rows apart by the content of all their columns; identical rows are interchangeable."""
     cols = [F.col(f"`{f.name}`").cast("string") if f.dataType.typeName() in ("map", "variant") else F.col(f"`{f.name}`") for f in df.schema]
@@ -112,24 +120,26 @@ def lower_az(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def salted_prefix(df: DataFrame, keys: list[str], value: Column, order: list[str], name: str, buckets: int = 256) -> DataFrame:
+def salted_prefix(df: DataFrame, keys: list[str], value: Column, order: list[str], name: str, bucket_rows: int = 200_000, least: int = 256) -> DataFrame:
     """Exclusive running sum of value within keys, without putting a hot key into one task.
 
-    Rows of a key are dealt over buckets by a hash of the order columns; sums run inside a bucket and the
-    buckets' totals are summed in turn. The order is (bucket, order columns); rows that tie in all of them
-    are interchangeable."""
-    df = df.withColumn("__b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int")).withColumn("__v", value.cast("long"))
-    inside = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    across = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
-    totals = df.groupBy(*keys, "__b").agg(F.sum("__v").alias("__t")).withColumn("__before", F.sum("__t").over(across) - F.col("__t"))
-    ranked = df.withColumn("__in", F.sum("__v").over(inside) - F.col("__v"))
-    t = totals.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__b").alias("__tb"), "__before")
-    same = [ranked[k].eqNullSafe(t[f"__k{i}"]) for i, k in enumerate(keys)] + [ranked["__b"] == t["__tb"]]
-    on = same[0]
-    for x in same[1:]:
-        on = on & x
-    joined = ranked.join(t, on).withColumn(name, F.col("__in") + F.col("__before"))
-    return joined.drop("__b", "__v", "__in", "__before", "__tb", *[f"__k{i}" for i in range(len(keys))])
+    Rows of a key are dealt over buckets by a hash of the order columns, as many as keep a bucket near bucket_rows even if
+    all rows had one key (`least` at least); sums run inside a bucket and the buckets' totals are summed in turn. The order is
+    (bucket, order columns); rows that tie in all of them are interchangeable. df is read twice, so it should be a table."""
+    buckets = max(least, -(-df.count() // bucket_rows))
+    p = private(df)
+    bucket, v, total, before, inner, at = (p + x for x in ("b", "v", "t", "before", "in", "tb"))
+    df = df.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int")).withColumn(v, value.cast("long"))
+    inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    across = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)
+    totals = df.groupBy(*keys, bucket).agg(F.sum(v).alias(total)).withColumn(before, F.sum(total).over(across) - F.col(total))
+    ranked = df.withColumn(inner, F.sum(v).over(inside) - F.col(v))
+    t = totals.select(*[F.col(k).alias(f"{p}k{i}") for i, k in enumerate(keys)], F.col(bucket).alias(at), before)
+    on = F.col(bucket) == F.col(at)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"{p}k{i}"))
+    joined = ranked.join(t, on).withColumn(name, F.col(inner) + F.col(before))
+    return joined.drop(bucket, v, inner, before, at, *[f"{p}k{i}" for i in range(len(keys))])
 
 
 def pieces_of(batch: pa.RecordBatch, most_bytes: int = 16 << 20, most_rows: int = 2000):

@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import SPACES, WordHash, byte_texts, cut, pieces_of, row_hash, scrambled
+from weftline.llm.common import SPACES, WordHash, byte_texts, cut, pieces_of, private, scrambled
 from weftline.llm.tokens import vocabulary_path
 
 PIECE_MODEL, BYTE_RANKS = "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
 SYMBOLS = b"#*$%&|<>"
 INSIDE = bytes(range(0x80, 0xC0))
 MEASURES = ["piece_chars", "bpe_chars", "byte_share", "entropy"]
-ROWS = "doc_id long, lang string, r1 long, r2 long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, piece_chars double, bpe_chars double, byte_share double, entropy double"
+ROWS = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, piece_chars double, bpe_chars double, byte_share double, entropy double"
 _tools: dict = {}
 
 
@@ -88,9 +88,12 @@ def repeat_words(hashes: np.ndarray, starts: np.ndarray, width: int = 8) -> np.n
     return out
 
 
-def measured(docs: DataFrame, piece_path: str | None = None, rank_path: str | None = None) -> DataFrame:
-    """One row per document with base counts and token measures of its whole text."""
+def measured(docs: DataFrame, piece_path: str | None = None, rank_path: str | None = None, carry: str | None = None) -> DataFrame:
+    """One row per document with base counts and token measures of its whole text.
+
+    carry: docs' own columns come along under this beginning of names and their number."""
     paths = (piece_path or vocabulary_path(PIECE_MODEL), rank_path or vocabulary_path(BYTE_RANKS))
+    carried = [f"{carry}{i}" for i in range(len(docs.columns))] if carry else []
 
     def run(batches):
         if paths not in _tools:
@@ -122,12 +125,13 @@ def measured(docs: DataFrame, piece_path: str | None = None, rank_path: str | No
                         more = (None,) * 4
                     rows.append((len(words), chars, len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)), n, *more))
                 cols = list(zip(*rows))
-                arrays = [*(batch.column(k) for k in ("doc_id", "lang", "r1", "r2")), *(pa.array(x, pa.int64()) for x in cols[:4]), pa.array(repeats, pa.int64()), pa.array(cols[4], pa.int64()), *(pa.array(x, pa.float64()) for x in cols[5:])]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "lang", "r1", "r2", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", *MEASURES])
+                arrays = [*(batch.column(k) for k in ("doc_id", "lang")), *(pa.array(x, pa.int64()) for x in cols[:4]), pa.array(repeats, pa.int64()), pa.array(cols[4], pa.int64()), *(pa.array(x, pa.float64()) for x in cols[5:]), *(batch.column(3 + i) for i in range(len(carried)))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", *MEASURES, *carried])
 
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    r1, r2 = row_hash(docs)
-    return docs.select(F.col("doc_id").cast("long"), lang.alias("lang"), r1.alias("r1"), r2.alias("r2"), "text").mapInArrow(run, ROWS)
+    own = [F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, carried)]
+    kinds = "".join(f", {n} {f.dataType.simpleString()}" for n, f in zip(carried, docs.schema))
+    return docs.select(F.col("doc_id").cast("long"), lang.alias("lang"), "text", *own).mapInArrow(run, ROWS + kinds)
 
 
 def _bands(own: DataFrame, reach: float, least: int) -> DataFrame:
@@ -142,7 +146,8 @@ def _bands(own: DataFrame, reach: float, least: int) -> DataFrame:
     weight, inside = n / (n + least), (n - 1.0)
     parts = {m: (F.col(m)[1] - F.col(m)[0], F.col(m)[1], F.col(m)[2] - F.col(m)[1]) for m in MEASURES}
     pool = own.agg(*[x for m, (down, mid, up) in parts.items() for x in (over(down, inside).alias(f"{m}_down"), over(up, inside).alias(f"{m}_up"), over(mid, weight).alias(f"{m}_centre"), over(mid * mid, weight).alias(f"{m}_square"))], over(1.57 / n, weight).alias("share"))
-    both = own.crossJoin(F.broadcast(pool))
+    pooled = pool.first()
+    both = own.select("*", *[F.lit(pooled[c]).alias(c) for c in pool.columns])
     out = [F.col("lang").alias("band")]
     for m, (down, mid, up) in parts.items():
         centre = F.col(f"{m}_centre")
@@ -156,7 +161,7 @@ def _bands(own: DataFrame, reach: float, least: int) -> DataFrame:
     return both.select(*out)
 
 
-def judged(docs: DataFrame, reach: float = 4.0, least: int = 50, prior: float = 100.0) -> DataFrame:
+def judged(docs: DataFrame, reach: float = 4.0, least: int = 50, prior: float = 100.0, carry: str | None = None) -> DataFrame:
     """measured() with base_failed and kept.
 
     A document is kept if the base rules pass and each measure lies in its language's band
@@ -164,7 +169,7 @@ def judged(docs: DataFrame, reach: float = 4.0, least: int = 50, prior: float =
     variety are bad). `least` is the number of documents at which a language's own spread and the pooled one weigh the
     same (_bands). Spreads count as 2% of the median at least, so that a uniform corpus rejects nothing. Short
     texts vary more: `prior` tokens at the language's median are added to each text before it is compared."""
-    rows = cut(measured(docs).withColumn("base_failed", F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words")))
+    rows = cut(measured(docs, carry=carry).withColumn("base_failed", F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words")))
     quarts = [F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(2000)).alias(m) for m in MEASURES]
     own = cut(rows.where(~F.col("base_failed")).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *quarts))
     bands = cut(_bands(own, reach, least))
@@ -179,9 +184,8 @@ def judged(docs: DataFrame, reach: float = 4.0, least: int = 50, prior: float =
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that judged() keeps, with docs' own columns. Rows are matched by a hash of their whole
-    content, so repeated ids with different texts are each judged."""
-    r1, r2 = row_hash(docs)
-    marked = docs.withColumn("__k1", r1).withColumn("__k2", r2)
-    good = judged(docs).where("kept").select("r1", "r2")
-    return marked.join(good, (F.col("__k1") == F.col("r1")) & (F.col("__k2") == F.col("r2")), "left_semi").drop("__k1", "__k2")
+    """The rows of docs that judged() keeps, with docs' own columns, whatever their names. The rows go through the table of
+    measures, so no text is shuffled and repeated ids with different texts are each judged."""
+    carry = private(docs)
+    good = judged(docs, carry=carry).where("kept")
+    return good.select(*[F.col(f"{carry}{i}").alias(c) for i, c in enumerate(docs.columns)])

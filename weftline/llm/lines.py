@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, lower_az
+from weftline.llm.common import cut, lower_az, private
 
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -41,14 +41,16 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
     often = lines.groupBy("h1", "h2").agg(F.countDistinct("d").alias("n"), F.max("d").alias("keeper")).where(F.col("n") >= min_docs)
     often = cut(often.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), "keeper"))
     gone = lines.join(often, (F.col("h1") == F.col("o1")) & (F.col("h2") == F.col("o2"))).where(~F.col("d").eqNullSafe(F.col("keeper")))
-    gone = gone.groupBy("r1", "r2").agg(F.collect_set("pos").alias("gone")).select(F.col("r1").alias("g1"), F.col("r2").alias("g2"), "gone")
-    marked = docs.withColumn("__r1", row[0]).withColumn("__r2", row[1])
-    both = marked.join(gone, (F.col("__r1") == F.col("g1")) & (F.col("__r2") == F.col("g2")), "left")
+    p = private(docs)
+    r1, r2, g1, g2, places, lines_of = (p + x for x in ("r1", "r2", "g1", "g2", "gone", "lines"))
+    gone = gone.groupBy("r1", "r2").agg(F.collect_set("pos").alias(places)).select(F.col("r1").alias(g1), F.col("r2").alias(g2), places)
+    marked = docs.withColumn(r1, row[0]).withColumn(r2, row[1])
+    both = marked.join(gone, (F.col(r1) == F.col(g1)) & (F.col(r2) == F.col(g2)), "left")
     split = F.split(text, "\n", -1)
-    places = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone"))
-    kept = F.when(F.col("gone").isNull(), text).otherwise(F.concat_ws("\n", F.transform(places, lambda i: F.get(F.col("__lines"), i))))
-    both = both.withColumn("__lines", F.when(F.col("gone").isNotNull(), split))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(places))
+    kept = F.when(F.col(places).isNull(), text).otherwise(F.concat_ws("\n", F.transform(stay, lambda i: F.get(F.col(lines_of), i))))
+    both = both.withColumn(lines_of, F.when(F.col(places).isNotNull(), split))
     n_lines = F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    both = both.withColumn("n_lines", n_lines.cast("long")).withColumn("n_dropped", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
-    both = both.withColumn("n_dropped", F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long"))
-    return both.withColumn("kept_text", kept).drop("__r1", "__r2", "g1", "g2", "gone", "__lines")
+    n_dropped = F.when(F.col(places).isNull(), F.lit(0)).otherwise(F.size(places))
+    both = both.withColumn("n_lines", n_lines.cast("long")).withColumn("n_dropped", n_dropped.cast("long"))
+    return both.withColumn("kept_text", kept).drop(r1, r2, g1, g2, places, lines_of)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import byte_texts, cut, pieces_of, row_hash, salted_prefix, scrambled
+from weftline.llm.common import byte_texts, cut, pieces_of, private, row_hash, salted_prefix, scrambled
 
 _word = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -188,12 +188,14 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     as it was. Other columns stay."""
     _, slots, spans = mix(docs, **how)
     per = _hits(slots, spans).groupBy("r1", "r2", "start", "size").agg(F.sort_array(F.collect_list(F.struct("first", "words", "times", "part"))).alias("takes"))
-    per = per.groupBy(F.col("r1").alias("m1"), F.col("r2").alias("m2")).agg(F.collect_list("takes").alias("copies"))
-    r1, r2 = row_hash(docs)
-    rows = docs.withColumn("__r1", r1).withColumn("__r2", r2).dropDuplicates(["__r1", "__r2"])
-    joined = rows.join(per, (F.col("__r1") == F.col("m1")) & (F.col("__r2") == F.col("m2"))).drop("__r1", "__r2", "m1", "m2")
+    p = private(docs)
+    r1, r2, m1, m2, copies, takes_of = (p + x for x in ("r1", "r2", "m1", "m2", "copies", "takes"))
+    per = per.groupBy(F.col("r1").alias(m1), F.col("r2").alias(m2)).agg(F.collect_list("takes").alias(copies))
+    own = row_hash(docs)
+    rows = docs.withColumn(r1, own[0]).withColumn(r2, own[1]).dropDuplicates([r1, r2])
+    joined = rows.join(per, (F.col(r1) == F.col(m1)) & (F.col(r2) == F.col(m2)))
     names, text_at = docs.columns, docs.columns.index("text")
-    joined = joined.select(*[F.col(f"`{n}`") for n in names], F.explode("copies").alias("__takes"))
+    joined = joined.select(*[F.col(f"`{n}`") for n in names], F.explode(copies).alias(takes_of))
 
     def run(batches):
         for whole in batches:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import TO_LOWER, WordHash, byte_texts, components, cut, mixed, pieces_of, row_hash, scrambled
+from weftline.llm.common import TO_LOWER, WordHash, byte_texts, components, cut, mixed, pieces_of, private, row_hash, scrambled
 
 SKETCH_BITS, FILTER_BITS = 1024, 1 << 24
 _hash: dict = {}
@@ -247,14 +247,16 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
 
 def first_of_each(docs: DataFrame, **how) -> DataFrame:
-    """One row of docs for each group of near-duplicates, with docs' own columns: the one with the smallest doc_id,
-    null ids last. Rows are told apart by a number of their own, so repeated rows and rows with a null or shared
-    doc_id each take part."""
-    r1, r2 = row_hash(docs)
-    rows = cut(docs.withColumn("__r1", r1).withColumn("__r2", r2).withColumn("__row", F.monotonically_increasing_id()))
-    found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), **how).select(F.col("doc_id").alias("__at"), F.col("component_id").alias("__part"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), "__r1", "__r2", "__row")
-    known = cut(rows.select("__row", order.alias("__order")).join(found, F.col("__row") == F.col("__at")).drop("__row"))
-    best = known.groupBy(F.col("__part").alias("__p")).agg(F.min("__order").alias("__best"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    gone = known.join(best, F.col("__part") == F.col("__p")).where(F.col("__at") != F.col("__best.__row")).select("__at")
-    return rows.join(gone, F.col("__row") == F.col("__at"), "left_anti").drop("__r1", "__r2", "__row")
+    """One row of docs for each group of near-duplicates, with docs' own columns, whatever their names: the one with the
+    smallest doc_id, null ids last. Rows are told apart by a number of their own, so repeated rows and rows with a null or
+    shared doc_id each take part."""
+    p = private(docs)
+    row, at = p + "row", p + "at"
+    h1, h2 = row_hash(docs)
+    rows = cut(docs.withColumn(p + "h1", h1).withColumn(p + "h2", h2).withColumn(row, F.monotonically_increasing_id()))
+    found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), **how).select(F.col("doc_id").alias("at"), F.col("component_id").alias("part"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.col(p + "h1").alias("h1"), F.col(p + "h2").alias("h2"), F.col(row).alias("row"))
+    known = cut(rows.select(F.col(row).alias("row"), order.alias("order")).join(found, F.col("row") == F.col("at")).select("at", "part", "order"))
+    best = known.groupBy(F.col("part").alias("p")).agg(F.min("order").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    gone = known.join(best, F.col("part") == F.col("p")).where(F.col("at") != F.col("best.row")).select(F.col("at").alias(at))
+    return rows.join(gone, F.col(row) == F.col(at), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

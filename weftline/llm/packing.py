@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import byte_texts, cut, pieces_of, salted_prefix
+from weftline.llm.common import byte_texts, cut, pieces_of, private, salted_prefix
 from weftline.llm.tokens import VOCABULARY, TextIds, vocabulary_path
 
 _ids: dict[str, TextIds] = {}
@@ -110,6 +110,7 @@ def best_two_fit(pieces: DataFrame, capacity: int = 4096, order: tuple[str, ...]
     counts = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
     if any(not 1 <= k <= capacity for k in counts):
         raise ValueError(f"lengths must be 1 to {capacity}")
+    rank_name = private(pieces) + "rank"
     keys, firsts, each, bases = [], [], [], []
     seen = dict.fromkeys(counts, 0)
     for first, times, used in plan_two_fit(counts, capacity):
@@ -126,13 +127,13 @@ def best_two_fit(pieces: DataFrame, capacity: int = 4096, order: tuple[str, ...]
 
     def place(batches):
         for batch in batches:
-            length, rank = (batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("length", "__rank"))
+            length, rank = (batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("length", rank_name))
             at = np.searchsorted(keys, (length << 50) + rank, "right") - 1
             past = rank - (keys[at] & ((1 << 50) - 1))
-            keep = [i for i, n in enumerate(batch.schema.names) if n != "__rank"]
+            keep = [i for i, n in enumerate(batch.schema.names) if n != rank_name]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(firsts[at] + past // each[at]), pa.array(bases[at] + past % each[at] * length)], names=[*(batch.schema.names[i] for i in keep), "sequence_id", "offset"])
 
-    ranked = salted_prefix(pieces, ["length"], F.lit(1), list(order), "__rank")
+    ranked = salted_prefix(pieces, ["length"], F.lit(1), list(order), rank_name)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
     return ranked.mapInArrow(place, schema)
 

@@ -79,13 +79,12 @@ _OWN = "(SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS
 _ESCAPES = " + ".join(f"(length(text) - length(replace(text, {c}, ''))) // {n}" for c, n in [("chr(92)", 1), *((f"'{x}'", len(x)) for x in chat.CONTROL)])
 OP10_SQL = f"""
 WITH t AS (
-  SELECT *, CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 11 ELSE 19 + length(role) END AS frame,
-    CASE role WHEN 'user' THEN ' [/INST]' WHEN 'assistant' THEN ' </s>' ELSE ' [/ROLE]' END AS closing, {_ESCAPES} AS escapes
+  SELECT *, CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 11 ELSE 19 + length(role) END AS frame, {_ESCAPES} AS escapes
   FROM {_OWN} x)
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(frame + length(text) + CASE WHEN contains(text, chr(92)) OR contains(text, closing) THEN escapes ELSE 0 END) AS BIGINT) AS formatted_chars
+  CAST(sum(frame + length(text) + escapes) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id
 """
 
