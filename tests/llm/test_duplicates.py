@@ -76,6 +76,13 @@ def test_chain_of_near_copies_without_a_hub(spark):
     check(spark, spark.createDataFrame(rows, "doc_id long, text string"), rows, 2)
 
 
+def test_one_id_with_several_texts_is_one_document(spark):
+    texts = [" ".join(f"{k}_{i}" for i in range(40)) for k in "abc"]
+    rows = [(5, texts[0]), (5, texts[1]), (8, texts[0] + " x"), (9, texts[1] + " y"), (2, texts[2]), (3, texts[2]), (5, texts[0]), (7, ""), (7, texts[2])]
+    got = sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=2).collect())
+    assert got == [(2, 2), (3, 2), (5, 5), (5, 5), (5, 5), (7, 2), (7, 7), (8, 5), (9, 5)]
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 240, dtype=np.uint64)

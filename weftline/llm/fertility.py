@@ -38,7 +38,7 @@ _tools: dict = {}
 class Vocabularies:
     """Per word: its ids in the piece vocabulary as 16-bit numbers, and its number of byte-level tokens."""
 
-    def __init__(self, piece_path: str, rank_path: str, most: int = 500_000):
+    def __init__(self, piece_path: str, rank_path: str, most: int = 300_000):
         import sentencepiece
         import tiktoken
         from public_tokenizers import PATTERN
@@ -97,7 +97,7 @@ def measured(docs: DataFrame, piece_path: str | None = None, rank_path: str | No
 
     def run(batches):
         if paths not in _tools:
-            _tools[paths] = (Vocabularies(*paths), WordHash(500_000))
+            _tools[paths] = (Vocabularies(*paths), WordHash(300_000))
         vocab, hashed = _tools[paths]
         for whole in batches:
             for batch in pieces_of(whole, 4 << 20):

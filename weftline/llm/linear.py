@@ -9,29 +9,6 @@ from weftline.llm.common import TO_LOWER, WordHash, mixed
 _edge = bytes.maketrans(b"!\"'(),.:;?[]{}", b" " * 14)
 
 
-class AffixHash:
-    """Hashes of a word and of its beginnings of 3 to 6 characters (its own again where it is no longer), remembered like WordHash."""
-
-    lengths = (3, 4, 5, 6)
-
-    def __init__(self, most: int = 500_000):
-        import xxhash
-
-        self.digest, self.known, self.most = xxhash.xxh3_64_digest, {}, most
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > self.most:
-            self.known = {}
-        found = list(map(self.known.get, words))
-        if None in found:
-            for i, x in enumerate(found):
-                if x is None:
-                    own, text = self.digest(words[i]), words[i].decode("utf-8", "replace")
-                    starts = [self.digest(b"\x00" + text[:n].encode()) if len(text) > n else own for n in self.lengths]
-                    self.known[words[i]] = found[i] = b"".join([own, *starts])
-        return np.frombuffer(b"".join(found), dtype=np.uint64).reshape(-1, 1 + len(self.lengths))
-
-
 def words_of(texts: list[bytes], strip: bool = False) -> list[list[bytes]]:
     """Lower-cased (A-Z) words; strip: common punctuation counts as white space."""
     if strip:
@@ -39,17 +16,12 @@ def words_of(texts: list[bytes], strip: bool = False) -> list[list[bytes]]:
     return [x.translate(TO_LOWER).split() for x in texts]
 
 
-def gram_buckets(split: list[list[bytes]], hashed: WordHash | AffixHash, bits: int, pairs: tuple[int, ...] = (1,)) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, text numbers) of all words, of their beginnings if `hashed` gives them, and of all pairs of words that
-    stand `pairs` places apart."""
+def gram_buckets(split: list[list[bytes]], hashed: WordHash, bits: int, pairs: tuple[int, ...] = (1,)) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, text numbers) of all words and of all pairs of words that stand `pairs` places apart."""
     counts = np.array([len(x) for x in split], dtype=np.int64)
     h = hashed([w for x in split for w in x])
     text = np.repeat(np.arange(len(split)), counts)
     found, of = [h], [text]
-    if h.ndim == 2:
-        h, starts = np.ascontiguousarray(h[:, 0]), h[:, 1:]
-        longer = starts != h[:, None]
-        found, of = [h, starts[longer]], [text, np.broadcast_to(text[:, None], starts.shape)[longer]]
     for gap in pairs:
         if len(h) > gap:
             same = text[:-gap] == text[gap:]
@@ -59,3 +31,10 @@ def gram_buckets(split: list[list[bytes]], hashed: WordHash | AffixHash, bits: i
     with np.errstate(over="ignore"):
         bucket = (np.concatenate(found) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
     return bucket.astype(np.int64), np.concatenate(of)
+
+
+def distinct_buckets(buckets: np.ndarray, of: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (text, bucket) pairs in order, as two arrays."""
+    both = np.sort((of << np.int64(bits)) | buckets)
+    both = both[np.concatenate(([True], both[1:] != both[:-1]))] if len(both) else both
+    return both >> bits, both & ((1 << bits) - 1)

@@ -9,7 +9,7 @@ words as the target leaves, so that each source gives its target to the word, ho
 Nulls: a null text has no words; a null source is the last source. Ties and repeated rows: rows that agree in
 (doc_id, text) are interchangeable, and each has its own words. Documents without words are kept with nothing
 taken. Very long documents span many blocks. Empty tables give no rows. Input columns named like an output are
-replaced. The list of sources (not of documents) is planned on the driver; beyond `most_sources` it raises.
+replaced. The list of sources (not of documents) is planned on the driver as one number per source and shard.
 """
 
 from __future__ import annotations
@@ -115,7 +115,7 @@ def shard_plan(quota: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mix(docs: DataFrame, block_words: int = 128, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, shards: int = 64, seed: int = 17, most_sources: int = 100_000):
+def mix(docs: DataFrame, block_words: int = 128, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, shards: int = 64, seed: int = 17):
     """(documents, slots, spans).
 
     documents: doc_id, row, source_no, size, source_size, target. slots: shard, slot, source_no, block, part (words
@@ -124,10 +124,8 @@ def mix(docs: DataFrame, block_words: int = 128, weights: tuple[float, ...] = (1
     block), slots and spans are the mixture."""
     spark = docs.sparkSession
     rows = cut(sizes(docs))
-    found = rows.groupBy("source").agg(F.sum("size").alias("n")).limit(most_sources + 1).collect()
-    if len(found) > most_sources:
-        raise ValueError(f"more than {most_sources} sources")
-    totals = sorted(((r["source"], int(r["n"])) for r in found), key=lambda x: (x[0] is None, (x[0] or "").encode("utf-8")))
+    found = rows.groupBy("source").agg(F.sum("size").alias("n")).toArrow()  # a row for each source
+    totals = sorted(zip(found.column("source").to_pylist(), found.column("n").to_pylist()), key=lambda x: (x[0] is None, (x[0] or "").encode("utf-8")))
     want = np.array(targets(totals, weights, most))
     size = np.array([n for _, n in totals], dtype=np.int64)
     blocks = -(-size // block_words)

@@ -4,13 +4,15 @@ Documents with the same shingle set are one class from the start. Class represen
 banded MinHash values; pairs pass a bound on sizes and an odd sketch (parity bitmap of the MinHash sample, whose
 XOR population count estimates high similarities), and are confirmed on their full sets. Buckets never emit
 their pairs: each first compares its members with one of them, the member that meets most others; only members
-that are outside a bucket's largest component after that meet its other members, in tiles of bounded size.
+that are outside a bucket's largest component after that meet its other members, in tiles of bounded size, by
+sketches and then full sets.
 
 With the defaults two sets of similarity 0.8 share no bucket with probability (1 - 0.8**6)**40 < 6e-6.
 
 Nulls and empties: a text that is null or without words has an empty set, links with nothing and stands for
 itself; a row with a null doc_id is its own group and is kept. Fewer words than a shingle has make one shingle.
-Repeated rows get the same answer each. Other columns are ignored by `near_duplicates` and kept by `first_of_each`.
+Repeated rows get the same answer each; rows that share an id but not the text are one document with several texts, in
+one component with whatever any of them is linked with. Other columns are ignored by `near_duplicates` and kept by `first_of_each`.
 Empty tables give no rows. Whole texts are read; a text's shingles are held by one worker at a time.
 """
 
@@ -23,12 +25,12 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import TO_LOWER, WordHash, byte_texts, components, cut, mixed, pieces_of, private, row_hash, scrambled
 
-SKETCH_BITS, FILTER_BITS = 1024, 1 << 24
+SKETCH_BITS, LEAST_FILTER, MOST_FILTER = 1024, 1 << 20, 1 << 27
 _hash: dict = {}
 
 
 def _hashed() -> WordHash:
-    return _hash.setdefault(0, WordHash(800_000))
+    return _hash.setdefault(0, WordHash(400_000))
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -50,7 +52,8 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
             s = own[: len(own) - width + 1]
             for k in range(1, width):
                 s = mixed(s, own[k : len(own) - width + 1 + k])
-            out.append(np.unique(s))
+            s = np.sort(s)
+            out.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
     return out
 
 
@@ -78,6 +81,11 @@ def estimate(differ: np.ndarray, sample: int) -> np.ndarray:
     return 1 + SKETCH_BITS / (4 * sample) * np.log(inside)
 
 
+def _floor(percent: int, sample: int) -> float:
+    """Estimates below this rule a pair out: six deviations of the sample and some room for the bitmap's own error."""
+    return percent / 100 - 6 * (0.16 / sample) ** 0.5 - 0.03
+
+
 def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, n, d1, d2, bands, sketch): set size, digest of the set, band keys and odd sketch."""
     factors = np.random.default_rng(11).integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -107,13 +115,15 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(i, s): the shingle sets of the documents with these ids, packed. A bitmap of fixed size keeps most other texts
-    from being read into sets; the join afterwards is exact."""
-    placed = ids.select(F.pmod(F.xxhash64("i"), F.lit(FILTER_BITS)).alias("p"))
-    words = placed.groupBy(F.expr("cast(p div 64 as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("v"))
-    bitmap = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    for r in words.collect():  # a bitmap of fixed size: at most FILTER_BITS / 64 rows
-        bitmap[r["w"]] = r["v"]
+    """(i, s): the shingle sets of the documents with these ids, packed; several for an id with several texts. A bitmap
+    with about 16 bits an id (16 MB at most) keeps most other texts from being read into sets; the join afterwards is
+    exact."""
+    ids = cut(ids.distinct())
+    size = min(MOST_FILTER, max(LEAST_FILTER, 1 << (16 * max(1, ids.count())).bit_length()))
+    placed = ids.select(F.pmod(F.xxhash64("i"), F.lit(size)).alias("p"))
+    words = placed.groupBy(F.expr("cast(p div 64 as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("v")).toArrow()
+    bitmap = np.zeros(size // 64, dtype=np.int64)
+    bitmap[words.column("w").to_numpy()] = words.column("v").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def sets(batches):
@@ -125,8 +135,8 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in shingle_sets(byte_texts(batch.column(1)), width)], pa.binary())], names=["i", "s"])
 
     some = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("i"), "text")
-    some = some.select("i", "text", F.pmod(F.xxhash64("i"), F.lit(FILTER_BITS)).alias("at")).mapInArrow(sets, "i long, s binary")
-    return cut(some.join(ids.distinct(), "i", "left_semi").dropDuplicates(["i"]))
+    some = some.select("i", "text", F.pmod(F.xxhash64("i"), F.lit(size)).alias("at")).mapInArrow(sets, "i long, s binary")
+    return cut(some.join(ids, "i", "left_semi").distinct())
 
 
 def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int, sample: int) -> DataFrame:
@@ -135,7 +145,7 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, p
     two = reps.select(F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("sy"))
     joined = pairs.join(one, F.col("a") == F.col("x")).join(two, F.col("b") == F.col("y"))
     joined = joined.where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")).select("a", "b", "sx", "sy")
-    floor = percent / 100 - 6 * (0.16 / sample) ** 0.5 - 0.03
+    floor = _floor(percent, sample)
 
     def near(batches):
         for batch in batches:
@@ -163,22 +173,23 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, p
     return cut(joined.mapInArrow(holds, "a long, b long").distinct())
 
 
-def _between_parts(labels: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int, tile: int = 1 << 20) -> DataFrame:
+def _between_parts(labels: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int, sample: int, tile: int = 1 << 20) -> DataFrame:
     """Edges (a, b) between members of different parts that share a bucket (labels: key, i, part).
 
-    In each bucket the members outside its largest part meet all its members, exactly and on full sets, in tiles of
-    about `tile` shingles a side; rows are copied once per tile of the other side and never paired. Tiles return a
+    In each bucket the members outside its largest part meet all its members, by odd sketches and then on full sets, in
+    tiles of about `tile` shingles a side; rows are copied once per tile of the other side and never paired. Tiles return a
     spanning forest of what they find."""
-    sized = labels.join(reps.select(F.col("rep").alias("r"), F.col("n")), F.col("i") == F.col("r")).drop("r")
+    sized = labels.join(reps.select(F.col("rep").alias("r"), "n", "sketch"), F.col("i") == F.col("r")).drop("r")
     per = sized.groupBy("key", "part").agg(F.sum("n").alias("s"))
     keys = per.groupBy(F.col("key").alias("k")).agg(F.max_by("part", F.struct("s", "part")).alias("main"), F.max("s").alias("most"), F.sum("s").alias("all"), F.count(F.lit(1)).alias("c")).where("c > 1")
     keys = cut(keys.select("k", "main", F.ceil(F.col("all") / tile).cast("int").alias("a"), F.ceil((F.col("all") - F.col("most")) / tile).cast("int").alias("b")))
-    rows = cut(sized.drop("n").join(keys, F.col("key") == F.col("k")).drop("k"))
+    rows = cut(sized.join(keys, F.col("key") == F.col("k")).drop("k"))
     sets = full_sets(docs, rows.select("i").distinct(), width).withColumnRenamed("i", "w")
-    full = rows.join(sets, F.col("i") == F.col("w")).drop("w")
+    full = rows.join(sets, (F.col("i") == F.col("w")) & (F.octet_length("s") == 8 * F.col("n"))).drop("w")
+    floor = _floor(percent, sample)
     at, to = (F.pmod(F.xxhash64(F.lit(x), "i"), F.col(x)).cast("int") for x in ("a", "b"))
-    build = full.select("key", "i", "part", "s", F.lit(False).alias("probe"), at.alias("ra"), F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("cb"))
-    probe = full.where("part <> main").select("key", "i", "part", "s", F.lit(True).alias("probe"), F.explode(F.sequence(F.lit(0), F.col("a") - 1)).alias("ra"), to.alias("cb"))
+    build = full.select("key", "i", "part", "s", "n", "sketch", F.lit(False).alias("probe"), at.alias("ra"), F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("cb"))
+    probe = full.where("part <> main").select("key", "i", "part", "s", "n", "sketch", F.lit(True).alias("probe"), F.explode(F.sequence(F.lit(0), F.col("a") - 1)).alias("ra"), to.alias("cb"))
 
     def meet(key, group):
         probes = group.column("probe").to_pylist()
@@ -188,16 +199,16 @@ def _between_parts(labels: DataFrame, reps: DataFrame, docs: DataFrame, width: i
         found: list[tuple[int, int]] = []
         if own and len(own) < len(probes):
             size = np.array([len(sets[k]) for k in own])
-            values, of = np.concatenate([sets[k] for k in own]), np.repeat(np.arange(len(own)), size)
-            order = np.argsort(values, kind="stable")
-            values, of = values[order], of[order]
+            bits = np.frombuffer(b"".join(group.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(ids), -1)
+            theirs, part_of = bits[own], np.array([parts[k] for k in own])
             for k in (k for k, p in enumerate(probes) if p):
-                low, high = np.searchsorted(values, sets[k], "left"), np.searchsorted(values, sets[k], "right")
-                n = high - low
-                at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                both = np.bincount(of[at], minlength=len(own))
-                for m in np.flatnonzero(100 * both >= percent * (size + len(sets[k]) - both)).tolist():
-                    if parts[own[m]] != parts[k]:
+                mine = sets[k]
+                differ = np.bitwise_count(theirs ^ bits[k]).sum(axis=1).astype(float)
+                some = (part_of != parts[k]) & (100 * np.minimum(size, len(mine)) >= percent * np.maximum(size, len(mine)))
+                for m in np.flatnonzero(some & (estimate(differ, sample) >= floor)).tolist():
+                    other = sets[own[m]]
+                    both = int((other[np.minimum(np.searchsorted(other, mine), len(other) - 1)] == mine).sum())
+                    if 100 * both >= percent * (len(other) + len(mine) - both):
                         found.append((ids[k], ids[own[m]]))
         up: dict[int, int] = {}
 
@@ -220,6 +231,16 @@ def _between_parts(labels: DataFrame, reps: DataFrame, docs: DataFrame, width: i
     return cut(build.unionByName(probe).groupBy("key", "ra", "cb").applyInArrow(meet, "a long, b long").distinct())
 
 
+def _same_id(sigs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Edges (a, b) between the representatives of texts that share an id."""
+    texts = sigs.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "d1", "d2", "n").distinct()
+    several = texts.join(texts.groupBy(F.col("doc_id").alias("k")).count().where("count > 1"), F.col("doc_id") == F.col("k"))
+    own = reps.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("n").alias("m"), "rep")
+    found = several.join(own, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n") == F.col("m")))
+    least = found.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return found.join(least, "doc_id").select("a", F.col("rep").alias("b")).where("a <> b").distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = 40, rows: int = 6) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): links hold where 100 * intersection >= percent * union."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
@@ -233,11 +254,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     hubs = members.join(cut(meets).withColumnRenamed("i", "j"), F.col("i") == F.col("j")).groupBy("key").agg(F.max(F.struct("met", (-F.col("i")).alias("m"))).alias("h"))
     hubs = cut(hubs.select(F.col("key").alias("k"), (-F.col("h.m")).alias("hub")))
     stars = members.join(hubs, F.col("key") == F.col("k")).where("i <> hub").select(F.least("i", "hub").alias("a"), F.greatest("i", "hub").alias("b")).distinct()
-    edges = _confirmed(cut(stars), reps, docs, shingle_words, percent, bands * rows)
+    edges = _confirmed(cut(stars), reps, docs, shingle_words, percent, bands * rows).union(_same_id(sigs, reps))
     parts = cut(components(edges))
     labels = members.join(parts, F.col("i") == F.col("node"), "left").select("key", "i", F.coalesce("component", "i").alias("part"))
     labels = cut(labels)
-    more = _between_parts(labels, reps, docs, shingle_words, percent)
+    more = _between_parts(labels, reps, docs, shingle_words, percent, bands * rows)
     parts = components(edges.union(more)) if not more.isEmpty() else parts
     known = reps.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("d1").alias("r1"), F.col("d2").alias("r2"), F.col("n").alias("rn"), F.coalesce("component", "rep").alias("part"))
     same = (F.col("d1") == F.col("r1")) & (F.col("d2") == F.col("r2")) & (F.col("n") == F.col("rn")) & F.col("doc_id").isNotNull()

@@ -25,7 +25,7 @@ _hash: dict = {}
 
 
 def _hashed() -> WordHash:
-    return _hash.setdefault(0, WordHash(800_000))
+    return _hash.setdefault(0, WordHash(400_000))
 
 
 def target_ids(labels: DataFrame, most_target: int) -> np.ndarray:
