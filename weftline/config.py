@@ -5,6 +5,9 @@ from __future__ import annotations
 from dataclasses import asdict, dataclass, field, fields, is_dataclass, replace
 
 
+# fixed values: the defaults of all sections below
+
+
 @dataclass(frozen=True)
 class Crawl:
     max_depth: int = 3
@@ -13,6 +16,7 @@ class Crawl:
     delay_between_requests_sec: float = 1.5
     request_timeout_sec: int = 20
     max_retries: int = 3
+    retry_backoff_sec: float = 2.0
     user_agent: str = "weftline/1.0"
 
 
@@ -73,6 +77,12 @@ class Retrieval:
 
 @dataclass(frozen=True)
 class Agent:
+    # fixed values: the models' temperatures and longest answer
+    temperature: float = 0.1
+    grading_temperature: float = 0.0
+    rewrite_temperature: float = 0.3
+    max_tokens: int = 512
+    generation_messages: int = 4
     min_relevant: int = 1
     max_rewrites: int = 2
     max_regenerations: int = 1

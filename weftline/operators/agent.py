@@ -17,12 +17,14 @@ from weftline.config import Agent
 from weftline.functions import text as T
 from weftline.functions import urls as U
 from weftline.sources.models import ExtractiveLlm, Llm
+from weftline.sources.scratch import Scratch
 
 DOC = "struct<rank:int,text:string,url:string,title:string,section:string,score:double>"
 MESSAGE = "struct<role:string,content:string>"
 # fixed values
 NO_ANSWER = "I don't have enough information to answer this question."
 NO_ANSWER_HI = "मुझे इस प्रश्न का उत्तर देने के लिए पर्याप्त जानकारी नहीं मिली।"
+ANSWER_FAILED = "Sorry, I encountered an error generating the answer. Please try again."
 INTENTS = ("factual", "eligibility", "procedural", "comparison")
 
 
@@ -66,12 +68,12 @@ def memory(history: Column, question: Column, answer: Column, most: int = 20) ->
     return F.slice(both, F.greatest(F.size(both) - most + 1, F.lit(1)), most)
 
 
-def analyzed(questions: DataFrame, llm: Llm = ExtractiveLlm()) -> DataFrame:
+def analyzed(questions: DataFrame, llm: Llm = ExtractiveLlm(), config: Agent = Agent()) -> DataFrame:
     """G-0 to G-3: initial state with language and intent; an intent outside the known ones is factual."""
 
     @F.pandas_udf("string")
     def intent(q: pd.Series) -> pd.Series:
-        llm.load()
+        llm.load(config)
         return q.map(lambda x: llm.intent(x).strip().lower())
 
     found = intent.asNondeterministic()("question")
@@ -80,12 +82,12 @@ def analyzed(questions: DataFrame, llm: Llm = ExtractiveLlm()) -> DataFrame:
     return state if "history" in questions.columns else state.withColumn("history", F.array().cast(f"array<{MESSAGE}>"))
 
 
-def graded(state: DataFrame, llm: Llm, least: int) -> DataFrame:
-    """G-5: documents whose first 400 characters the judge finds relevant; sufficient from `least` on. A judge that fails keeps the document."""
+def graded(state: DataFrame, llm: Llm, config: Agent) -> DataFrame:
+    """G-5: documents whose first 400 characters the judge finds relevant; sufficient from config.min_relevant on. A judge that fails keeps the document."""
 
     @F.pandas_udf("array<boolean>")
     def keep(q: pd.Series, texts: pd.Series) -> pd.Series:
-        llm.load()
+        llm.load(config)
 
         def one(question, text):
             try:
@@ -97,15 +99,15 @@ def graded(state: DataFrame, llm: Llm, least: int) -> DataFrame:
 
     rows = state.withColumn("__k", keep.asNondeterministic()("rewritten", F.transform("docs", lambda d: d["text"])))
     rows = rows.withColumn("relevant", F.filter("docs", lambda d, i: F.get(F.col("__k"), i))).drop("__k")
-    return rows.withColumn("sufficient", F.size("relevant") >= least)
+    return rows.withColumn("sufficient", F.size("relevant") >= config.min_relevant)
 
 
-def rewritten(state: DataFrame, llm: Llm) -> DataFrame:
+def rewritten(state: DataFrame, llm: Llm, config: Agent) -> DataFrame:
     """G-6: the first line of the rewriter's reply without quotes; a failure keeps the question."""
 
     @F.pandas_udf("string")
     def again(q: pd.Series, now: pd.Series, history: pd.Series) -> pd.Series:
-        llm.load()
+        llm.load(config)
 
         def one(question, current, past):
             try:
@@ -123,20 +125,21 @@ def answered(state: DataFrame, llm: Llm, config: Agent) -> DataFrame:
     """G-7 to G-12, G-15: answer with citations, check it against its sources, answer once more if it does not hold, grade it."""
 
     @F.pandas_udf("struct<answer:string,grounded:string,answers:string,regenerated:int>")
-    def reply(q: pd.Series, texts: pd.Series, nothing: pd.Series) -> pd.DataFrame:
-        llm.load()
+    def reply(q: pd.Series, texts: pd.Series, prompts: pd.Series, history: pd.Series, nothing: pd.Series) -> pd.DataFrame:
+        llm.load(config)
         rows = []
-        for question, context, none in zip(q, texts, nothing):
+        for question, context, prompt, past, none in zip(q, texts, prompts, history, nothing):
             context = list(context)
+            said = [(m["role"], m["content"]) for m in (past if past is not None else [])][-config.generation_messages :]
             tries, grounded = 0, "grounded"
             if not context:
                 answer = none
             else:
                 while True:
                     try:
-                        answer = llm.answer(question, context).strip()
+                        answer = llm.answer(question, context, prompt, said).strip()
                     except Exception:
-                        answer = "Sorry, I encountered an error generating the answer. Please try again."
+                        answer = ANSWER_FAILED
                     try:
                         grounded = llm.grounded(answer[:500], [c[:300] for c in context[:3]]) if answer else "grounded"
                     except Exception:
@@ -154,7 +157,9 @@ def answered(state: DataFrame, llm: Llm, config: Agent) -> DataFrame:
     docs = F.when(F.size("relevant") > 0, F.col("relevant")).otherwise(F.col("docs"))
     rows = state.withColumn("used", _deduped(docs) if config.dedup else docs)
     none = F.when(F.lit(config.language_aware) & (F.col("language") == "hi"), NO_ANSWER_HI).otherwise(NO_ANSWER)
-    rows = rows.withColumn("context", context_block(F.col("used"))).withColumn("__a", reply.asNondeterministic()("question", F.transform("used", lambda d: d["text"]), none))
+    rows = rows.withColumn("context", context_block(F.col("used")))
+    texts = F.transform("used", lambda d: d["text"])
+    rows = rows.withColumn("__a", reply.asNondeterministic()("question", texts, "context", "history", none))
     rows = rows.withColumn("sources", citations(F.col("used")))
     return rows.select("*", "__a.answer", F.col("__a.grounded").alias("hallucination_grade"), F.col("__a.answers").alias("answer_grade"), F.col("__a.regenerated").alias("regen_count")).drop("__a")
 
@@ -163,18 +168,24 @@ def answer_questions(questions: DataFrame, retrieve: Callable[[DataFrame], DataF
     """G-16: the whole loop for all questions (query_id, question, history optional).
 
     retrieve: takes (query_id, rewritten) rows and returns (query_id, rank, text, url, title, section, score). After
-    each round only the questions with too little go on to be rewritten (G-14); the rounds are united before answering."""
-    waiting, settled = analyzed(questions, llm), None
+    each round only the questions with too little go on to be rewritten (G-14); the rounds are united before answering.
+    Every round, and the answers, are written before they are read twice, so that each model is asked once and a question
+    goes one way only, whatever the models say."""
+    scratch = Scratch()
+    waiting, settled = scratch.cut(analyzed(questions, llm, config)), None
     for turn in range(config.max_rewrites + 1):
         found = retrieve(waiting.select("query_id", "rewritten"))
         row = F.struct(F.col("rank").cast("int").alias("rank"), "text", "url", "title", "section", F.col("score").cast("double").alias("score"))
         per = found.groupBy("query_id").agg(F.sort_array(F.collect_list(row)).alias("docs"))
         state = waiting.join(per, "query_id", "left").withColumn("docs", F.coalesce("docs", F.array().cast(f"array<{DOC}>")))
-        state = graded(state, llm, config.min_relevant)
-        last = turn == config.max_rewrites
+        state = scratch.cut(graded(state, llm, config))
+        last = turn == config.max_rewrites or state.where("NOT sufficient").isEmpty()
         done = state if last else state.where("sufficient")
         settled = done if settled is None else settled.unionByName(done)
-        if not last:
-            waiting = rewritten(state.where("NOT sufficient"), llm).drop("docs", "relevant", "sufficient")
+        if last:
+            break
+        waiting = scratch.cut(rewritten(state.where("NOT sufficient"), llm, config).drop("docs", "relevant", "sufficient"))
     rows = answered(settled, llm, config)
-    return rows.withColumn("history", memory(F.col("history"), F.col("question"), F.col("answer"), config.memory_messages))
+    out = scratch.cut(rows.withColumn("history", memory(F.col("history"), F.col("question"), F.col("answer"), config.memory_messages)))
+    scratch.keep(out)
+    return out

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from weftline.config import Assets
 from weftline.functions import media as M
@@ -55,10 +54,13 @@ def pdf_gate(config: Assets = Assets()) -> tuple[Column, Column]:
 
 
 def deduplicated(assets: DataFrame, content: str = "content_hash", seq: str = "seq", path: str = "file_path") -> DataFrame:
-    """A-2: per content the first row by seq keeps its path; later ones point there and are marked as duplicates."""
-    order = Window.partitionBy(content).orderBy(seq)
-    out = assets.withColumn("__first", F.first(path).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("duplicate", F.row_number().over(order) > 1)
-    return out.withColumn(path, F.col("__first")).drop("__first")
+    """A-2: per content the first row by seq keeps its path; later ones point there and are marked as duplicates.
+
+    One partial minimum per content and a join, so a content found everywhere is no single task's."""
+    place = F.struct(F.col(seq).alias("seq"), F.col(path).alias("path"))
+    first = assets.groupBy(F.col(content).alias("__c")).agg(F.min(place).alias("__first"))
+    out = assets.join(first, F.col(content) == F.col("__c")).withColumn("duplicate", place > F.col("__first"))
+    return out.withColumn(path, F.col("__first.path")).select(*assets.columns, "duplicate")
 
 
 def downloaded(responses: DataFrame, config: Assets = Assets()) -> DataFrame:

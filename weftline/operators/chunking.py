@@ -77,10 +77,13 @@ def chunk_texts(docs: DataFrame, ident: str = "doc_id", config: Chunking = Chunk
     return chunks.select(ident, "chunk_index", "total_chunks", "text")
 
 
+def without_error(pages: DataFrame) -> DataFrame:
+    return pages.where(F.coalesce(F.col("rag_status.error"), F.lit("")) == "") if "rag_status" in pages.columns else pages
+
+
 def chunkable(pages: DataFrame, config: Chunking = Chunking()) -> DataFrame:
     """C-10: pages without error and with a body long enough, measured as stored."""
-    error = F.coalesce(F.col("rag_status.error"), F.lit("")) == "" if "rag_status" in pages.columns else F.lit(True)
-    return pages.where(error & (F.char_length(F.coalesce("body_text", F.lit(""))) >= config.min_body_chars))
+    return without_error(pages).where(F.char_length(F.coalesce("body_text", F.lit(""))) >= config.min_body_chars)
 
 
 def chunk_pages(pages: DataFrame, config: Chunking = Chunking(), compat: bool = False) -> DataFrame:
@@ -89,7 +92,15 @@ def chunk_pages(pages: DataFrame, config: Chunking = Chunking(), compat: bool =
     @F.pandas_udf("array<struct<heading:string,text:string>>")
     def body_chunks(body: pd.Series) -> pd.Series:
         def of(text):
-            return [{"heading": h, "text": c} for h, t in sections((text or "").strip()) if t.strip() for c in pack(split_sentences(t), config.chunk_size, config.overlap, config.min_chunk_size, compat)] if (text or "").strip() else []
+            text = text or ""
+            if len(text) < config.min_body_chars:  # C-10, here so that the body is read once
+                return None
+            return [
+                {"heading": heading, "text": chunk}
+                for heading, part in sections(text.strip())
+                if part.strip()
+                for chunk in pack(split_sentences(part), config.chunk_size, config.overlap, config.min_chunk_size, compat)
+            ]
 
         return body.map(of)
 
@@ -115,7 +126,7 @@ def chunk_pages(pages: DataFrame, config: Chunking = Chunking(), compat: bool =
         return made(F.when(named, F.concat(F.lit("Table: "), caption, F.lit("\n\n"), md)).otherwise(md), F.when(named, F.concat(F.lit("Table: "), caption)).otherwise(F.lit("Table")), "table")
 
     tables = F.filter(F.coalesce("tables", F.array().cast("array<struct<caption:string,headers:array<string>,row_count:int,markdown:string>>")), lambda x: F.char_length(T.strip(x["markdown"])) >= config.min_chunk_size)
-    parts = chunkable(pages, config).withColumn("__b", body_chunks.asNondeterministic()("body_text"))
+    parts = without_error(pages).withColumn("__b", body_chunks.asNondeterministic()("body_text")).where("__b IS NOT NULL")
     parts = parts.withColumn("__c", F.concat(first, F.transform("__b", of_section), F.transform(tables, of_table)))
     parts = parts.select("url", "title", "domain", "depth", "doc_id", F.size("__c").alias("total_chunks"), F.posexplode("__c").alias("chunk_index", "c"))
     return parts.select("c.text", "url", "title", "domain", "depth", "c.section", "chunk_index", "total_chunks", "c.source_type", "doc_id")

@@ -2,30 +2,50 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from weftline.functions.text import WS
-from weftline.functions.urls import token_bucket
 from weftline.sources.models import Embedder, HashingEmbedder
 
 
 def sparse_terms(docs: DataFrame, ident: str = "doc_id", text: str = "text", buckets: int = 100_000) -> DataFrame:
     """E-4 as rows (ident, token_id, weight): lower-cased words' buckets with tf / max tf; a text without words has bucket 0 with weight 0.
 
-    The md5 of a word is taken once per text and word; counting is one shuffle, and the maximum uses its partitioning."""
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), f"{WS}+", -1), lambda w: w != "")
-    rows = docs.select(ident, F.explode_outer(words).alias("w"))
-    counts = rows.groupBy(ident, "w").count()
-    counts = counts.select(ident, F.when(F.col("w").isNull(), 0).otherwise(token_bucket(F.col("w"), buckets)).alias("token_id"), F.when(F.col("w").isNull(), 0).otherwise(F.col("count")).alias("n"))
-    counts = counts.groupBy(ident, "token_id").agg(F.sum("n").alias("tf"))
-    top = F.max("tf").over(Window.partitionBy(ident))
-    return counts.select(ident, "token_id", F.when(top > 0, F.col("tf") / top).otherwise(F.lit(0.0)).alias("weight"))
+    A text's terms depend on it alone, so each is counted inside its Arrow batch and nothing is shuffled; rows that
+    share an id are texts of their own."""
+    kind = docs.schema[ident].dataType.simpleString()
+
+    def run(batches):
+        known: dict[str, int] = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                ids, weights, sizes = [], [], []
+                for words in map(str.split, batch.column(1).to_pylist()):
+                    tf: dict[int, int] = {}
+                    for w, n in Counter(words).items():
+                        bucket = known.get(w)
+                        if bucket is None:
+                            if len(known) > 500_000:
+                                known.clear()
+                            known[w] = bucket = int.from_bytes(md5(w.encode("utf-8", "surrogatepass")).digest(), "big") % buckets
+                        tf[bucket] = tf.get(bucket, 0) + n
+                    most = max(tf.values()) if tf else 1
+                    ids.extend(tf or (0,))
+                    weights.extend([n / most for n in tf.values()] or (0.0,))
+                    sizes.append(len(tf) or 1)
+                rows = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(ids, pa.int32()), pa.array(weights, pa.float64())], names=[ident, "token_id", "weight"])
+
+    # str.split() parts at the same characters as WS
+    return docs.select(ident, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text")).mapInArrow(run, f"`{ident}` {kind}, token_id int, weight double")
 
 
 def sparse_map(terms: DataFrame, ident: str = "doc_id") -> DataFrame:
@@ -47,8 +67,3 @@ def dense_udf(embedder: Embedder = HashingEmbedder(), batch: int = 32):
 
     return encode.asNondeterministic()
 
-
-def dot(a: Column, b: Column) -> Column:
-    """Dot product in double precision."""
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)

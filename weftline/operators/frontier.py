@@ -7,8 +7,6 @@ budgets are running counts and the visited test is one anti-join. The loop runs
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,28 +15,27 @@ from pyspark.sql.window import Window
 
 from weftline.config import Config, Crawl, Scope
 from weftline.functions import urls as U
+from weftline.sources.scratch import Scratch, cut
 
 NOT_FETCHED = ("javascript:", "mailto:", "tel:", "data:", "#")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df through the session's checkpoint folder: lineage ends, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="weftline-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder}/frontier-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def schedule(fetches: DataFrame, delay: float, host: str = "host", arrives: str = "arrives", seq: str = "seq") -> DataFrame:
-    """When each fetch starts so that starts on a host lie at least delay apart: i * d + max over j <= i of (arrival j - j * d)."""
-    order = Window.partitionBy(host).orderBy(seq)
-    place = F.row_number().over(order) - 1
-    slack = fetches.withColumn("__i", place).withColumn("__s", F.col(arrives) - F.col("__i") * F.lit(delay))
-    return slack.withColumn("starts", F.col("__i") * F.lit(delay) + F.max("__s").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__i", "__s")
+    """When each fetch starts so that starts on a host lie at least delay apart: i * d + max over j <= i of (arrival j - j * d).
+
+    Fetches lie in ranges of (host, seq), so a busy host's are in many; a range is scheduled on its own and shifted by
+    what the ranges before it hold of its first host."""
+    ranged = cut(fetches.repartitionByRange(F.col(host), F.col(seq)).withColumn("__p", F.spark_partition_id()))
+    order = Window.partitionBy("__p", host).orderBy(seq)
+    inside = ranged.withColumn("__i", F.row_number().over(order) - 1).withColumn("__s", F.col(arrives) - F.col("__i") * F.lit(delay))
+    inside = inside.withColumn("__m", F.max("__s").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ranges = inside.groupBy(F.col("__p").alias("__q"), F.col(host).alias("__h")).agg(F.count(F.lit(1)).alias("__n"), F.max("__s").alias("__t"))
+    before = Window.partitionBy("__h").orderBy("__q").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("__o", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    ranges = ranges.withColumn("__b", F.max(F.col("__t") - F.col("__o") * F.lit(delay)).over(before)).select("__q", "__h", "__o", "__b")
+    both = inside.join(ranges, (F.col("__p") == F.col("__q")) & F.col(host).eqNullSafe(F.col("__h")))
+    most = F.greatest(F.col("__m") - F.col("__o") * F.lit(delay), F.col("__b"))
+    return both.withColumn("starts", (F.col("__i") + F.col("__o")) * F.lit(delay) + most).drop("__p", "__i", "__s", "__m", "__q", "__h", "__o", "__b")
 
 
 def in_scope(host: Column, roots: list[str], scope: Scope = Scope()) -> Column:
@@ -47,9 +44,11 @@ def in_scope(host: Column, roots: list[str], scope: Scope = Scope()) -> Column:
     Subdomains of a seed's root share that root, so they pass whatever allow_subdomains says."""
     root = U.root_domain(host)
     inside = root.isin(*roots) if roots else F.lit(False)
-    if scope.allow_subdomains:
-        for r in roots:
-            inside = inside | F.endswith(host, F.lit("." + r))
+    if scope.allow_subdomains and roots:
+        # the host's proper endings, of which one look-up in the set of roots serves however many seeds
+        labels = F.split(host, r"\.", -1)
+        endings = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k + 1, F.size(labels)), "."))
+        inside = inside | F.exists(endings, lambda x: x.isin(*roots))
     if not scope.internal_only and scope.external_sites_whitelist:
         inside = inside | root.isin(*scope.external_sites_whitelist)
     return inside
@@ -71,8 +70,13 @@ def reject_reason(scope: Scope, roots: list[str]) -> Column:
 
 def seeds(spark: SparkSession, urls: list[str]) -> DataFrame:
     """F-1: queue rows at depth 0, in order."""
-    rows = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "seq long, url string")
-    return addressed(rows).select("seq", "url", "norm", "host", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent_url"), F.lit("").alias("anchor_text"), U.url_hash(F.col("norm")).alias("url_hash"))
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "pos int, url string")
+    return addressed(rows).select(_place(0, F.lit(0), F.col("pos")).alias("seq"), "url", "norm", "host", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent_url"), F.lit("").alias("anchor_text"), U.url_hash(F.col("norm")).alias("url_hash"))
+
+
+def _place(depth: int, by: Column, pos: Column) -> Column:
+    """A row's place in the queue: depth, pop order of the page that it was found on, and place there."""
+    return F.struct(F.lit(depth).alias("depth"), by.cast("long").alias("by"), pos.cast("int").alias("pos"))
 
 
 def addressed(rows: DataFrame) -> DataFrame:
@@ -80,12 +84,14 @@ def addressed(rows: DataFrame) -> DataFrame:
 
 
 def within_budget(rows: DataFrame, most: int, before: DataFrame | None = None, host: str = "host", seq: str = "seq") -> DataFrame:
-    """F-5: rows whose running number on their host, after those enqueued before, does not pass most."""
-    ordered = rows.withColumn("__n", F.row_number().over(Window.partitionBy(host).orderBy(seq)))
+    """F-5: rows whose running number on their host, after those enqueued before, does not pass most.
+
+    The limit on the number alone comes first, so that each task cuts its part of a busy host before the shuffle."""
+    ordered = rows.withColumn("__n", F.row_number().over(Window.partitionBy(host).orderBy(seq))).where(F.col("__n") <= most)
     if before is not None:
         ordered = ordered.join(before.select(F.col(host).alias("__h"), F.col("n").alias("__p")), F.col(host) == F.col("__h"), "left").drop("__h")
-        ordered = ordered.withColumn("__n", F.col("__n") + F.coalesce("__p", F.lit(0))).drop("__p")
-    return ordered.where(F.col("__n") <= most).drop("__n")
+        ordered = ordered.where(F.col("__n") + F.coalesce("__p", F.lit(0)) <= most).drop("__p")
+    return ordered.drop("__n")
 
 
 def popped(queue: DataFrame, visited: DataFrame | None, budget: int, first: int) -> DataFrame:
@@ -107,40 +113,47 @@ def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
     return ranged.withColumn("__i", inside).join(sizes, F.col("__p") == F.col("__k")).withColumn(name, F.col("__i") + F.col("__o")).drop("__p", "__k", "__i", "__o")
 
 
-def crawl(spark: SparkSession, urls: list[str], expand: Callable[[DataFrame], DataFrame], config: Config = Config(), known: DataFrame | None = None) -> tuple[DataFrame, DataFrame, dict]:
+def crawl(spark: SparkSession, urls: list[str], expand: Callable[[DataFrame], DataFrame], config: Config = Config(), known: DataFrame | None = None, progress: Callable[[dict], None] | None = None) -> tuple[DataFrame, DataFrame, dict]:
     """F-9: (popped pages, enqueued rows, counters).
 
     expand: takes popped rows and returns (pop_order, pos, url, anchor_text) of their links in order; rows that
     failed to load return none. known: raw addresses (url) from an earlier crawl; they are popped and counted but
-    not expanded again, and their stored links should come from expand's caller."""
+    not expanded again, and their stored links should come from expand's caller. progress: is told the counters after each level."""
     limits: Crawl = config.crawl
-    level = cut(seeds(spark, urls))
+    scratch = Scratch()
+    level = scratch.cut(seeds(spark, urls))
     roots = sorted(r["r"] for r in level.select(U.root_domain(F.col("host")).alias("r")).distinct().collect())  # of the caller's own list
     reason = reject_reason(config.scope, roots)
     checked = level.withColumn("reason", reason)
-    level = cut(within_budget(checked.where("reason IS NULL").drop("reason"), limits.max_pages_per_domain))
+    level = scratch.cut(within_budget(checked.where("reason IS NULL").drop("reason"), limits.max_pages_per_domain))
     enqueued, counters, pops, done = level, {"skipped": 0, "levels": 0}, None, 0
+    given = []  # what expand was given stays, as its caller may read it later
     for depth in range(limits.max_depth + 1):
-        now = cut(popped(level, pops, limits.max_pages - done, done))
+        now = scratch.cut(popped(level, pops, limits.max_pages - done, done))
+        given.append(now)
         n = now.count()
         counters["levels"] += 1
-        pops = now if pops is None else cut(pops.unionByName(now))
+        pops = now if pops is None else scratch.cut(pops.unionByName(now))
         done += n
         if not n or depth == limits.max_depth:
             break
         fresh = now if known is None else now.join(known.select("url").distinct(), "url", "left_anti")
         links = expand(fresh).join(now.select("pop_order", F.col("url").alias("parent_url")), "pop_order")
-        links = addressed(links).withColumn("seq", F.col("pop_order").cast("long") * F.lit(1 << 24) + F.col("pos") + F.lit((depth + 1) << 52))
+        links = addressed(links).withColumn("seq", _place(depth + 1, F.col("pop_order"), F.col("pos")))
         marked = links.withColumn("reason", reason).join(pops.select("norm", F.col("pop_order").alias("__at")), "norm", "left")
-        late = F.col("reason").isNull() & (F.col("__at").isNull() | (F.col("__at") > F.col("pop_order")))
-        fits = marked.where(late).drop("__at", "reason")
+        # written before anything reads it, so that expand runs once, whatever it does
+        marked = scratch.cut(marked.where(F.col("__at").isNull() | (F.col("__at") > F.col("pop_order"))).drop("__at"))
         before = enqueued.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-        rows = fits.select("seq", "url", "norm", "host", F.lit(depth + 1).alias("depth"), "parent_url", F.substring(F.coalesce("anchor_text", F.lit("")), 1, 200).alias("anchor_text"), U.url_hash(F.col("norm")).alias("url_hash"))
-        level = cut(within_budget(rows, limits.max_pages_per_domain, before))
-        seen = marked.where(F.col("reason").isin("scope", "excluded", "not_included") & (F.col("__at").isNull() | (F.col("__at") > F.col("pop_order")))).count()
-        counters["skipped"] += seen + fits.count() - level.count()
-        enqueued = cut(enqueued.unionByName(level))
+        rows = marked.where("reason IS NULL").select("seq", "url", "norm", "host", F.lit(depth + 1).alias("depth"), "parent_url", F.substring(F.coalesce("anchor_text", F.lit("")), 1, 200).alias("anchor_text"), U.url_hash(F.col("norm")).alias("url_hash"))
+        level = scratch.cut(within_budget(rows, limits.max_pages_per_domain, before))
+        seen, fits = marked.agg(F.count_if(F.col("reason").isin("scope", "excluded", "not_included")), F.count_if(F.col("reason").isNull())).first()
+        counters["skipped"] += seen + fits - level.count()
+        enqueued = scratch.cut(enqueued.unionByName(level))
+        scratch.drop(marked)
+        if progress is not None:
+            progress({"depth": depth, "popped": done, "enqueued": enqueued.count()})
     counters |= {"popped": done, "enqueued": enqueued.count()}
+    scratch.keep(pops, enqueued, *given)
     return pops, enqueued, counters
 
 

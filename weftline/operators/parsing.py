@@ -10,6 +10,7 @@ from weftline.config import Extraction
 from weftline.functions import text as T
 from weftline.functions import urls as U
 from weftline.schemas import PARSED
+from weftline.sources.html import COSTLY
 
 
 def heading_paths(headings: Column) -> Column:
@@ -34,18 +35,23 @@ def table_markdown(table: Column) -> Column:
     return F.struct(table["caption"].alias("caption"), table["headers"].alias("headers"), F.size(table["rows"]).alias("row_count"), F.array_join(F.concat(head, F.transform(table["rows"], row)), "\n").alias("markdown"))
 
 
-def parse_pages(pages: DataFrame, config: Extraction = Extraction()) -> DataFrame:
-    """pages (url, html and others) with the parsed fields in place of html."""
+#: What each derived column is made of.
+PARTS = {"heading_hierarchy": "headings", "internal_links": "links", "external_links": "links", "body_text": "markdown", "body_text_length": "markdown", "extraction_warnings": "markdown"}
+
+
+def parse_pages(pages: DataFrame, config: Extraction = Extraction(), fields: tuple[str, ...] | None = None) -> DataFrame:
+    """pages (url, html and others) with the parsed fields in place of html; fields: only these, and no work for others."""
+    wanted = frozenset(COSTLY if fields is None else (PARTS.get(f, f) for f in fields)) & frozenset(COSTLY)
 
     @F.pandas_udf(PARSED)
     def parsed(url: pd.Series, html: pd.Series) -> pd.DataFrame:
         from weftline.sources.html import parse
 
-        return pd.DataFrame([parse(h or "", u or "", config) for u, h in zip(url, html)], columns=[f.name for f in fields])
+        return pd.DataFrame([parse(h or "", u or "", config, wanted) for u, h in zip(url, html)], columns=names)
 
     from pyspark.sql.types import StructType
 
-    fields = StructType.fromDDL("p " + PARSED)[0].dataType
+    names = [f.name for f in StructType.fromDDL("p " + PARSED)[0].dataType]
     one = pages.withColumn("__p", parsed.asNondeterministic()("url", "html")).drop("html")
     keep = [n for n in one.columns if n != "__p"]
     p = F.col("__p")
@@ -56,4 +62,5 @@ def parse_pages(pages: DataFrame, config: Extraction = Extraction()) -> DataFram
     length = F.char_length("body_text")
     short = F.format_string("Short body text (%d chars) — may be JS-rendered or mostly images", length)
     warned = F.when(length < config.min_text_length_chars, F.concat("__w", F.array(short))).otherwise(F.col("__w"))
-    return out.withColumn("body_text_length", length).withColumn("extraction_warnings", warned).drop("__w")
+    out = out.withColumn("body_text_length", length).withColumn("extraction_warnings", warned).drop("__w")
+    return out if fields is None else out.select(*keep, *fields)

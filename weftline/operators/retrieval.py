@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.config import Retrieval
-from weftline.operators.encoding import dot
 from weftline.sources.models import OverlapReranker, Reranker
 
 
@@ -38,7 +37,9 @@ def dense_topk(points: DataFrame, queries: DataFrame, k: int = 20, ident: str =
     """R-2: (query, ident, score, rank) by cosine of unit vectors (inner product in double precision); an exact scan.
 
     queries: (query, by). Points and questions are dealt over a grid of tiles; a tile multiplies two matrices and
-    returns each question's best k, so no pair of a question and a point is ever a row."""
+    returns each question's best k, so no pair of a question and a point is ever a row. Rows without a vector are
+    neither found nor asked. Both sides are counted first, so they should be tables."""
+    points, queries = points.where(F.col(vector).isNotNull()), queries.where(F.col(by).isNotNull())
     down, across = (max(1, -(-df.count() // n)) for df, n in ((points, tile[0]), (queries, tile[1])))
     place = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

@@ -121,7 +121,7 @@ def filtered_topk(spark, sf_dir):
     return _dense(spark, sf_dir, F.col("label") == 3).withColumn("score", F.round("score", 6))
 
 
-_HYBRID = "WITH " + _DENSE.format(where="") + "," + _sparse("q", "doc_id", "(SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT vec_id FROM qs))") + "," + _sparse("d", "doc_id", "(SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))") + """,
+_HYBRID = "WITH " + _DENSE.format(where="") + "," + _sparse("q", "doc_id", "(SELECT doc_id, text FROM documents WHERE doc_id % 50 = 0)") + "," + _sparse("d", "doc_id", "documents") + """,
 ss AS (SELECT q.doc_id AS query_id, d.doc_id AS id, round(sum(d.weight * q.weight), 9) AS score FROM d JOIN q ON d.token_id = q.token_id GROUP BY ALL),
 sparse AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ss QUALIFY rank <= 20),
 u AS (SELECT query_id, id, 1.0::DOUBLE / (2 + rank - 1) AS s FROM dense UNION ALL SELECT query_id, id, 1.0::DOUBLE / (2 + rank - 1) FROM sparse),
@@ -131,9 +131,7 @@ SELECT query_id, id, score, rank FROM g"""
 
 
 def _hybrid(spark, sf_dir):
-    """All documents and all vectors are searched; a question with only a text or only a vector has one list.
-
-    _HYBRID, the SQL, keeps to documents that have a vector, so the two differ wherever some have none."""
+    """All documents and all vectors are searched; a question with only a text or only a vector has one list."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     questions = docs.where("id % 50 = 0").select(F.col("id").alias("query_id"), "text")
     sparse = retrieval.sparse_topk(encoding.sparse_terms(docs, "id"), encoding.sparse_terms(questions, "query_id"))
@@ -223,12 +221,12 @@ _TITLE = "trim(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;',
 
 @query(f"SELECT page_id, {_TITLE} AS title FROM pages")
 def page_title(spark, sf_dir):
-    return parsing.parse_pages(table(spark, sf_dir, "pages")).select("page_id", "title")
+    return parsing.parse_pages(table(spark, sf_dir, "pages"), fields=("title",)).select("page_id", "title")
 
 
 @query("SELECT page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS language FROM pages")
 def page_lang(spark, sf_dir):
-    return parsing.parse_pages(table(spark, sf_dir, "pages")).select("page_id", "language")
+    return parsing.parse_pages(table(spark, sf_dir, "pages"), fields=("language",)).select("page_id", "language")
 
 
 @query("""
@@ -239,7 +237,7 @@ c AS (SELECT page_id, pos, link, text, row_number() OVER (PARTITION BY page_id,
 SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS INTEGER) AS pos, link, text FROM c WHERE n = 1
 """)
 def page_links(spark, sf_dir):
-    parsed = parsing.parse_pages(table(spark, sf_dir, "pages"))
+    parsed = parsing.parse_pages(table(spark, sf_dir, "pages"), fields=("internal_links", "external_links"))
     return parsed.select("page_id", F.posexplode(F.concat("internal_links", "external_links")).alias("pos", "l")).select("page_id", "pos", F.col("l.url").alias("link"), F.col("l.text").alias("text"))
 
 
@@ -329,7 +327,7 @@ WITH t AS (SELECT page_id, {_TITLE} AS title, trim(replace(regexp_extract(html,
 SELECT page_id, CAST(1 AS INTEGER) AS level, left(h1, 200) AS heading, left(h1, 200) AS path FROM t WHERE length(h1) >= 2
 """)
 def page_headings(spark, sf_dir):
-    parsed = parsing.parse_pages(table(spark, sf_dir, "pages"))
+    parsed = parsing.parse_pages(table(spark, sf_dir, "pages"), fields=("headings", "heading_hierarchy"))
     rows = parsed.select("page_id", F.posexplode(F.arrays_zip("headings", "heading_hierarchy")).alias("i", "x"))
     return rows.select("page_id", F.col("x.headings.level").alias("level"), F.col("x.headings.text").alias("heading"), F.col("x.heading_hierarchy").alias("path"))
 

@@ -16,7 +16,7 @@ PARSED = (
     f"pdfs:array<{PDF}>,links:array<{LINK}>,tables:array<{TABLE}>,schema_org:array<string>,markdown:string,warnings:array<string>>"
 )
 RESPONSE = "url string, final_url string, status_code int, content_type string, body binary, redirect_chain array<string>, response_time_ms int, error string, content_length long"
-FRONTIER = "seq long, url string, norm string, host string, depth int, parent_url string, anchor_text string, url_hash string"
+FRONTIER = "seq struct<depth:int,by:long,pos:int>, url string, norm string, host string, depth int, parent_url string, anchor_text string, url_hash string"
 CHUNK = "text string, url string, title string, domain string, depth int, section string, chunk_index int, total_chunks int, source_type string, doc_id string"
 PAGE = (
     "doc_id string, url string, final_url string, title string, domain string, depth int, parent_url string, crawled_at string, "

@@ -324,26 +324,39 @@ def markdown(node: Node, depth: int = 0) -> str:
     return "".join(parts)
 
 
-def parse(html: str, url: str, config: Extraction = Extraction()) -> dict:
-    """X-0 to X-10 for one page, with raw Markdown; a parser failure gives an empty page with a warning."""
+#: Fields that take work of their own; all others come with the page's head.
+COSTLY = ("headings", "images", "pdfs", "links", "tables", "schema_org", "markdown")
+
+
+def parse(html: str, url: str, config: Extraction = Extraction(), wanted: frozenset[str] = frozenset(COSTLY)) -> dict:
+    """X-0 to X-10 for one page, with raw Markdown; a parser failure gives an empty page with a warning.
+
+    wanted: which of COSTLY to fill; the others stay empty."""
     out = {"raw_html_length": len(html), "headings": [], "images": [], "pdfs": [], "links": [], "tables": [], "schema_org": [], "markdown": "", "warnings": []}
     out |= dict.fromkeys(("title", "meta_description", "meta_keywords", "og_title", "og_description", "og_image", "canonical_url", "language"), "") | {"page_type": "webpage"}
     try:
         root = tree(html)
     except Exception as e:
         return out | {"warnings": [f"HTML parse failed: {e}"]}
-    for i, x in enumerate(root.walk()):
-        x.place = i
-    headings = root.all(*HEADINGS)
     _metadata(root, out)
-    texts = [(h, h.text(" ")) for h in headings]
-    out["headings"] = [{"level": int(h.name[1]), "text": t[:200], "id": h.attrs.get("id", "")} for h, t in texts if len(t) >= 2]
-    out["images"], out["pdfs"] = _images(root, url, headings), _pdfs(root, url, headings)
-    out["links"] = _links(root, url, tuple(config.skip_link_prefixes))
-    if config.extract_tables:
+    if wanted & {"headings", "images", "pdfs"}:
+        for i, x in enumerate(root.walk()):
+            x.place = i
+        headings = root.all(*HEADINGS)
+    if "headings" in wanted:
+        texts = [(h, h.text(" ")) for h in headings]
+        out["headings"] = [{"level": int(h.name[1]), "text": t[:200], "id": h.attrs.get("id", "")} for h, t in texts if len(t) >= 2]
+    if "images" in wanted:
+        out["images"] = _images(root, url, headings)
+    if "pdfs" in wanted:
+        out["pdfs"] = _pdfs(root, url, headings)
+    if "links" in wanted:
+        out["links"] = _links(root, url, tuple(config.skip_link_prefixes))
+    if "tables" in wanted and config.extract_tables:
         out["tables"] = _tables(root)
-    if config.extract_structured_data:
+    if "schema_org" in wanted and config.extract_structured_data:
         out["schema_org"] = _structured(root)
-    clean(root, config)
-    out["markdown"] = markdown(root)
+    if "markdown" in wanted:
+        clean(root, config)
+        out["markdown"] = markdown(root)
     return out

@@ -10,6 +10,8 @@ from typing import Protocol
 
 import numpy as np
 
+from weftline.config import Agent
+
 
 class Embedder(Protocol):
     def load(self) -> None: ...
@@ -22,10 +24,12 @@ class Reranker(Protocol):
 
 
 class Llm(Protocol):
-    def load(self) -> None: ...
+    """settings: temperatures and token limit. prompt: the numbered context block; history: the last messages, (role, text)."""
+
+    def load(self, settings: Agent) -> None: ...
     def relevant(self, question: str, text: str) -> str: ...
     def rewrite(self, question: str, history: list[tuple[str, str]]) -> str: ...
-    def answer(self, question: str, context: list[str]) -> str: ...
+    def answer(self, question: str, context: list[str], prompt: str, history: list[tuple[str, str]]) -> str: ...
     def grounded(self, answer: str, context: list[str]) -> str: ...
     def answers(self, question: str, answer: str) -> str: ...
     def intent(self, question: str) -> str: ...
@@ -70,9 +74,10 @@ class OverlapReranker:
 class ExtractiveLlm:
     """Answers by the sentences that share most words with the question."""
 
+    #: What it reads is the texts themselves, so prompt and history change nothing.
     stop = frozenset("a an and are as at be by for from how in is it of on or that the this to was what when where which who why with".split())
 
-    def load(self) -> None:
+    def load(self, settings: Agent = Agent()) -> None:
         pass
 
     def _content(self, text: str) -> set[str]:
@@ -86,7 +91,7 @@ class ExtractiveLlm:
         new = [w for w in dict.fromkeys(before) if w not in _words(question)][:3]
         return " ".join([question, *new])
 
-    def answer(self, question: str, context: list[str]) -> str:
+    def answer(self, question: str, context: list[str], prompt: str = "", history: list[tuple[str, str]] = ()) -> str:
         want = self._content(question)
         found = []
         for i, text in enumerate(context, 1):
