@@ -170,7 +170,7 @@ class Broken:
 
 def test_fetch_errors(spark):
     frame = spark.createDataFrame([(f"http://e/{x}",) for x in ("slow", "loop", "busy", "gone", "pdf")], "url string").coalesce(1)
-    got = {r.url.rsplit("/", 1)[1]: r for r in fetched(frame, Broken()).collect()}
+    got = {r.url.rsplit("/", 1)[1]: r for r in fetched(frame, Broken(), pause=lambda s: None).collect()}
     assert [got[k].error for k in ("slow", "loop", "gone", "pdf")] == ["Timeout", "TooManyRedirects", "HTTP 404", None]
     assert got["busy"].success and got["pdf"].kind == "pdf" and got["busy"].kind == "html"
     assert named_error(ConnectionError("x" * 200)) == "ConnectionError: " + "x" * 100 and named_error(KeyError("a")) == "UnexpectedError: 'a'"
@@ -195,13 +195,16 @@ def test_crawl_ingest_ask(spark, tmp_path):
     summary = store.crawl_summary(index).first()
     assert (summary.pages, summary.errors, summary.domains) == (2, 1, {"e.com": 2})
     assert store.not_crawled(spark.createDataFrame([("http://e.com/",), ("http://e.com/new",)], "url string"), index).count() == 1
-    points, postings = jobs.ingest(records)
-    points.write.parquet(str(tmp_path / "points"))
-    n = points.count()
-    assert store.upsert(points, str(tmp_path / "points")).count() == n == store.collection_info(spark, str(tmp_path / "points")).first().points
-    points = spark.read.parquet(str(tmp_path / "points"))
+    made = [jobs.ingest_into(spark, records, str(tmp_path / "c")) for _ in range(2)]
+    n = made[0]["points"]
+    assert [m["batch"] for m in made] == [0, 1] and n == store.collection_info(spark, str(tmp_path / "c/points")).first().points > 0
+    assert jobs.ingest_into(spark, records.where("false"), str(tmp_path / "none"))["points"] == 0 and not (tmp_path / "none").exists()
+    points, postings = jobs.stored(spark, str(tmp_path / "c"))
+    assert points.count() == n == postings.select("id").distinct().count()
     out = jobs.chat_request(spark, {"question": "what does the premium cost"}, points, postings)
     assert "premium" in out["answer"] and out["sources"][0]["url"] == "http://e.com/cost"
+    more = jobs.chat_request(spark, {"question": "and who pays", "history": out["history"]}, points, postings)
+    assert [m["role"] for m in more["history"]] == ["user", "assistant"] * 2
     with pytest.raises(ValueError):
         jobs.chat_request(spark, {"question": "abc"}, points, postings)
     with pytest.raises(ValueError):
@@ -260,7 +263,7 @@ def test_stream(spark, tmp_path):
     records, _, _ = jobs.crawl_archive(spark, pages, ["http://e.com/"])
     records.write.parquet(str(tmp_path / "in"))
     ingestion.start(ingestion.chunk_stream(ingestion.page_stream(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() >= 2
+    assert store.collection(spark, str(tmp_path / "out")).count() >= 2
 
 
 def test_hybrid_searches_documents_without_vectors(spark, tmp_path):

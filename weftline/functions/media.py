@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import struct
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 # fixed values
 MIME_EXTENSIONS = {"image/jpeg": ".jpg", "image/png": ".png", "image/webp": ".webp", "image/gif": ".gif", "image/bmp": ".bmp"}
@@ -16,8 +20,36 @@ URL_KINDS = (
 )
 
 
+def size_of(body: bytes) -> tuple[int, int] | None:
+    """(width, height) as the head of a PNG, GIF, BMP or JPEG file tells them, else None."""
+    try:
+        if body.startswith(b"\x89PNG\r\n\x1a\n"):
+            return struct.unpack(">II", body[16:24])
+        if body[:4] == b"GIF8":
+            return struct.unpack("<HH", body[6:10])
+        if body[:2] == b"BM":
+            width, height = struct.unpack("<ii", body[18:26])
+            return abs(width), abs(height)
+        if body[:2] == b"\xff\xd8":
+            at = 2
+            while body[at] == 0xFF:
+                if 0xC0 <= body[at + 1] <= 0xCF and body[at + 1] not in (0xC4, 0xC8, 0xCC):
+                    height, width = struct.unpack(">HH", body[at + 5 : at + 9])
+                    return width, height
+                at += 2 + struct.unpack(">H", body[at + 2 : at + 4])[0]
+    except (struct.error, IndexError):
+        pass
+    return None
+
+
+@F.pandas_udf(StructType([StructField("width", IntegerType()), StructField("height", IntegerType())]))
+def image_size(body: pd.Series) -> pd.DataFrame:
+    """The sides of images; null where the head does not tell them."""
+    return pd.DataFrame([size_of(bytes(x)) or (None, None) if x is not None else (None, None) for x in body], columns=["width", "height"], dtype="Int32")
+
+
 def kind_by_size(width: Column, height: Column) -> Column:
-    """A-4."""
+    """A-4; the bounds are fixed values."""
     ratio = width / F.greatest(height, F.lit(1))
     return (
         F.when((width <= 64) | (height <= 64), "icon")

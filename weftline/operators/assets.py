@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,11 +66,11 @@ def deduplicated(assets: DataFrame, content: str = "content_hash", seq: str = "s
     return out.withColumn(path, F.col("__first.path")).select(*assets.columns, "duplicate")
 
 
-def downloaded(responses: DataFrame, config: Assets = Assets()) -> DataFrame:
+def downloaded(responses: DataFrame, config: Assets = Assets(), bodies: bool = False) -> DataFrame:
     """S12, S13, A-1 to A-7: asset records of responses (seq, kind, url, domain, head_ok, head_type, head_length,
     status_code, content_type, body, width, height); width and height are null where no decoder could read the image.
 
-    Images and PDFs share one set of contents. Bodies stay out of the result."""
+    Images and PDFs share one set of contents. Bodies stay out of the result, unless asked for."""
     image = F.col("kind") == "image"
     ie, isk = image_gate(config)
     pe, ps = pdf_gate(config)
@@ -78,12 +81,61 @@ def downloaded(responses: DataFrame, config: Assets = Assets()) -> DataFrame:
     folder = F.concat(F.when(image, "images/").otherwise("pdfs/"), F.coalesce(F.nullif(T.sanitized(F.col("domain"), 50), F.lit("")), F.lit("unknown")))
     rows = rows.withColumn("file_path", F.when(ok, F.concat_ws("/", folder, F.concat("content_hash", "extension"))))
     kind = F.when(F.col("width").isNotNull(), M.kind_by_size(F.col("width"), F.col("height"))).otherwise(M.kind_by_url(F.col("url")))
-    rows = rows.withColumn("image_type", F.when(ok & image, kind).otherwise("")).withColumn("pdf_page_count", F.when(ok & ~image, M.pdf_pages(F.col("body"))).otherwise(0)).drop("body")
+    rows = rows.withColumn("image_type", F.when(ok & image, kind).otherwise("")).withColumn("pdf_page_count", F.when(ok & ~image, M.pdf_pages(F.col("body"))).otherwise(0))
+    rows = rows if bodies else rows.drop("body")
     good = deduplicated(rows.where(F.col("content_hash").isNotNull())).withColumn("skip_reason", F.when(F.col("duplicate"), "Duplicate (hash match)").otherwise(""))
     out = good.unionByName(rows.where(F.col("content_hash").isNull()).withColumn("duplicate", F.lit(False)))
     return out.withColumn("success", F.col("content_hash").isNotNull()).withColumn("skipped", F.col("skip_reason") != "")
 
 
+def linked(parsed: DataFrame, order: str = "pop_order", config: Assets = Assets()) -> DataFrame:
+    """(seq, kind, url, domain): the addresses of images and PDFs on parsed pages, each once, in the order of pages."""
+    parts = []
+    for kind, wanted in (("image", config.download_images), ("pdf", config.download_pdfs)):
+        if wanted:
+            place = F.struct(F.col(order).cast("long").alias("page"), F.lit(kind).alias("kind"), F.col("pos").alias("pos"))
+            rows = parsed.select(order, U.host(F.col("url")).alias("domain"), F.posexplode(F.transform(f"{kind}s", lambda x: x["url"])).alias("pos", "url"))
+            parts.append(rows.where("url <> ''").select(place.alias("seq"), F.lit(kind).alias("kind"), "url", "domain"))
+    if not parts:
+        return parsed.sparkSession.createDataFrame([], "seq struct<page:long,kind:string,pos:int>, kind string, url string, domain string")
+    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    first = both.groupBy("url", "kind").agg(F.min(F.struct("seq", "domain")).alias("f"))
+    return first.select("f.seq", "kind", "url", "f.domain")
+
+
+def answered(addresses: DataFrame, heads: DataFrame, gets: DataFrame) -> DataFrame:
+    """Rows for `downloaded` from the responses to HEAD and GET of the addresses; images' sides as their heads tell them."""
+    head = heads.select(F.col("url").alias("__h"), F.col("success").alias("head_ok"), F.col("content_type").alias("head_type"), F.col("content_length").alias("head_length"))
+    get = gets.select(F.col("url").alias("__g"), "status_code", "content_type", "body")
+    rows = addresses.join(head, F.col("url") == F.col("__h"), "left").join(get, F.col("url") == F.col("__g"), "left").drop("__h", "__g")
+    size = M.image_size("body")
+    return rows.withColumn("__s", size).select("*", "__s.width", "__s.height").drop("__s")
+
+
+def contents(records: DataFrame) -> DataFrame:
+    """(file_path, content_hash, body) of every content that is kept, once; records: `downloaded` with bodies."""
+    return records.where("success AND NOT duplicate").select("file_path", "content_hash", "body")
+
+
+def pdf_images(pdfs: DataFrame, decode: Callable[[bytes], list[dict]]) -> DataFrame:
+    """Images inside PDFs (path, content), by an injected decoder; a PDF that it can't read gives none.
+
+    decode: returns page, img_index, width, height, format, colorspace and size_bytes of each image."""
+    names = ["page", "img_index", "width", "height", "format", "colorspace", "size_bytes"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"]):
+                try:
+                    rows += [[path.rsplit("/", 1)[-1], *(x[n] for n in names)] for x in decode(bytes(content))]
+                except Exception:
+                    continue
+            yield pd.DataFrame(rows, columns=["pdf", *names])
+
+    return pdfs.select("path", "content").mapInPandas(run, "pdf string, page int, img_index int, width int, height int, format string, colorspace string, size_bytes long")
+
+
 def filtered_pdf_images(images: DataFrame, least_side: int = 200, least_bytes: int = 2048) -> DataFrame:
     """Decoded images (pdf, page, img_index, width, height, size_bytes, format, colorspace) that are large enough, with their file names."""
     large = (F.col("width") >= least_side) & (F.col("height") >= least_side) & (F.col("size_bytes") >= least_bytes)

@@ -9,6 +9,10 @@ TABLE_MD = "struct<caption:string,headers:array<string>,row_count:int,markdown:s
 IMAGE = "struct<url:string,alt:string,title:string,width:string,height:string,loading:string,caption:string,nearest_heading:string,context_text:string,src_original:string>"
 PDF = "struct<url:string,link_text:string,nearest_heading:string,context_text:string>"
 
+#: How a page's image or PDF was downloaded.
+DOWNLOAD = "struct<success:boolean,skipped:boolean,skip_reason:string,error:string,file_path:string,content_hash:string,file_size_bytes:long,width:int,height:int,image_type:string,pdf_page_count:int>"
+IMAGE_RECORD, PDF_RECORD = (x[:-1] + f",download:{DOWNLOAD}>" for x in (IMAGE, PDF))
+
 #: What the one HTML UDF returns for a page; Markdown clean-up, paths and tables follow as built-in expressions.
 PARSED = (
     "struct<title:string,meta_description:string,meta_keywords:string,og_title:string,og_description:string,og_image:string,"
@@ -22,7 +26,7 @@ PAGE = (
     "doc_id string, url string, final_url string, title string, domain string, depth int, parent_url string, crawled_at string, "
     f"status_code int, content_type string, response_time_ms int, language string, page_type string, meta_description string, "
     f"headings array<{HEADING}>, heading_hierarchy array<string>, body_text string, body_text_length int, tables array<{TABLE_MD}>, "
-    f"internal_links array<{LINK}>, external_links array<{LINK}>, images array<{IMAGE}>, pdfs array<{PDF}>, schema_org array<string>, "
+    f"internal_links array<{LINK}>, external_links array<{LINK}>, images array<{IMAGE_RECORD}>, pdfs array<{PDF_RECORD}>, schema_org array<string>, "
     "breadcrumbs array<string>, extraction_warnings array<string>, "
     "rag_status struct<chunked:boolean,embedded:boolean,indexed:boolean,chunk_count:int,error:string>"
 )

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from weftline.functions import text as T
 from weftline.functions import urls as U
-from weftline.schemas import page_schema
+from weftline.schemas import DOWNLOAD, page_schema
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -56,14 +56,40 @@ def not_crawled(frontier: DataFrame, index: DataFrame) -> DataFrame:
     return frontier.join(index.select("url").distinct(), "url", "left_anti")
 
 
-def page_records(frontier: DataFrame, responses: DataFrame, parsed: DataFrame, crawled_at: str) -> DataFrame:
-    """A-7: page records with identity, source, content and status for the chunker."""
+def _with_downloads(items: Column, known: Column) -> Column:
+    return F.transform(items, lambda x: x.withField("download", F.try_element_at(known, x["url"])))
+
+
+def page_records(frontier: DataFrame, responses: DataFrame, parsed: DataFrame, crawled_at: str, assets: DataFrame | None = None) -> DataFrame:
+    """A-7: page records with identity, source, content and status for the chunker.
+
+    assets: download records (url, kind and the fields of DOWNLOAD), which their pages' images and PDFs get."""
     status = F.struct(F.lit(False).alias("chunked"), F.lit(False).alias("embedded"), F.lit(False).alias("indexed"), F.lit(0).alias("chunk_count"), F.lit(None).cast("string").alias("error"))
     rows = frontier.select("url", "norm", "depth", "parent_url").join(responses.select("url", "final_url", "status_code", "content_type", "response_time_ms"), "url").join(parsed, "url")
     rows = rows.withColumn("doc_id", U.doc_id(F.col("norm"))).withColumn("domain", U.netloc(F.col("url"))).withColumn("crawled_at", F.lit(crawled_at)).withColumn("rag_status", status).withColumn("breadcrumbs", F.array().cast("array<string>"))
+    for kind in ("image", "pdf"):
+        found = f"__{kind}"
+        if assets is None:
+            rows = rows.withColumn(found, F.lit(None).cast(f"map<string,{DOWNLOAD}>"))
+        else:
+            names = [x.split(":")[0] for x in DOWNLOAD[len("struct<") : -1].split(",")]
+            known = assets.where(F.col("kind") == kind).select(F.col("url").alias("__u"), F.struct(*names).cast(DOWNLOAD).alias("__d"))
+            uses = parsed.select("url", F.explode(F.array_distinct(F.transform(f"{kind}s", lambda x: x["url"]))).alias("__u")).join(known, "__u")
+            maps = uses.groupBy("url").agg(F.map_from_entries(F.collect_list(F.struct("__u", "__d"))).alias(found))
+            rows = rows.join(maps, "url", "left")
+        rows = rows.withColumn(f"{kind}s", _with_downloads(F.col(f"{kind}s"), F.col(found))).drop(found)
     return rows.select([F.col(f.name).cast(f.dataType) for f in page_schema()])
 
 
+def write_indexes(spark: SparkSession, path: str, pages: DataFrame, errors: DataFrame, assets: DataFrame | None = None) -> None:
+    """The tables crawl_index, image_index and pdf_index under path, each a new version in place of the last."""
+    tables = {"crawl_index": crawl_index(pages, errors)}
+    if assets is not None:
+        tables |= {f"{kind}_index": assets.where(F.col("kind") == kind).where("success AND NOT duplicate").drop("seq", "body") for kind in ("image", "pdf")}
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
 def crawl_summary(index: DataFrame, session: str = "") -> DataFrame:
     """One row of totals with pages by domain."""
     domains = index.where("error IS NULL").groupBy("domain").count()
@@ -83,14 +109,35 @@ def with_point_id(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("id", F.sha2(F.concat_ws("\x1f", "doc_id", F.col("chunk_index").cast("string")), 256))
 
 
-def upsert(points: DataFrame, path: str) -> DataFrame:
-    """The collection with new points in place of those of the same id, written to the next version's folder by the caller."""
+def upsert(points: DataFrame, path: str, batch: int | None = None) -> int:
+    """Write points as a new batch of the collection; the batch's number. An id is written once per batch, and reading
+    takes each id's newest batch, so ingesting again replaces. A batch written again under its number replaces itself."""
     spark = points.sparkSession
-    old = read_or_empty(spark, path, points.schema)
-    return old.join(points.select("id"), "id", "left_anti").unionByName(points, allowMissingColumns=True)
+    if batch is None:
+        batch = (max(_batches(spark, path)) + 1) if _batches(spark, path) else 0
+    points.dropDuplicates(["id"]).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    return batch
+
+
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    if not exists(spark, path):
+        return []
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    names = [x.getPath().getName() for x in where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)]
+    return [int(n.partition("=")[2]) for n in names if n.startswith("batch=") and exists(spark, f"{path}/{n}/_SUCCESS")]
+
+
+def collection(spark: SparkSession, path: str, ident: str = "id") -> DataFrame:
+    """The rows of a collection that `upsert` wrote: of each id those of its newest batch."""
+    numbers = _batches(spark, path)
+    rows = spark.read.option("basePath", path).parquet(*[f"{path}/batch={n}" for n in sorted(numbers)])
+    if len(numbers) > 1:
+        newest = rows.groupBy(F.col(ident).alias("__i")).agg(F.max("batch").alias("__b"))
+        rows = rows.join(newest, (F.col(ident) == F.col("__i")) & (F.col("batch") == F.col("__b"))).drop("__i", "__b")
+    return rows.drop("batch")
 
 
 def collection_info(spark: SparkSession, path: str) -> DataFrame:
     """S17."""
-    points = spark.read.parquet(path)
+    points = collection(spark, path)
     return points.agg(F.count(F.lit(1)).alias("points"), F.countDistinct("doc_id").alias("documents"), F.first(F.size("dense")).alias("dimension"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
@@ -41,31 +42,43 @@ def named_error(e: Exception) -> str:
     return f"UnexpectedError: {str(e)[:100]}"
 
 
-def fetched(addresses: DataFrame, transport: Transport, config: Crawl = Crawl(), method: str = "get") -> DataFrame:
-    """One response per row of `addresses` (url); failures are rows with an error, never exceptions."""
+def fetched(addresses: DataFrame, transport: Transport, config: Crawl = Crawl(), method: str = "get", pause: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> DataFrame:
+    """One response per row of `addresses` (url); failures are rows with an error, never exceptions.
+
+    A host's addresses go to one worker, which waits between starts (S4) and, longer each time, before it tries again."""
+
+    def respond(url: str) -> dict:
+        row = dict.fromkeys(FIELDS) | {"url": url, "final_url": url, "status_code": 0, "content_type": "", "redirect_chain": [], "response_time_ms": 0, "content_length": 0}
+        for attempt in range(config.max_retries + 1):
+            if attempt:
+                pause(config.retry_backoff_sec * 2 ** (attempt - 1))
+            try:
+                row |= getattr(transport, method)(url)
+                row["error"] = None
+            except Exception as e:
+                row["error"] = named_error(e)
+                break
+            if row["status_code"] not in RETRIED:
+                break
+        return row
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         transport.open(config)
+        host, free = None, 0.0
         try:
             for batch in batches:
                 rows = []
-                for url in batch["url"]:
-                    row = dict.fromkeys(FIELDS) | {"url": url, "final_url": url, "status_code": 0, "content_type": "", "redirect_chain": [], "response_time_ms": 0, "content_length": 0}
-                    for attempt in range(config.max_retries + 1):
-                        try:
-                            row |= getattr(transport, method)(url)
-                            row["error"] = None
-                        except Exception as e:
-                            row["error"] = named_error(e)
-                            break
-                        if row["status_code"] not in RETRIED:
-                            break
-                    rows.append(row)
+                for url, name in zip(batch["url"], batch["host"]):
+                    if name == host and free > clock():
+                        pause(free - clock())
+                    host, free = name, clock() + config.delay_between_requests_sec
+                    rows.append(respond(url))
                 yield pd.DataFrame(rows, columns=FIELDS)
         finally:
             transport.close()
 
-    return with_status(addresses.select("url").mapInPandas(run, RESPONSE))
+    by_host = addresses.select("url", U.host(F.col("url")).alias("host")).repartition(F.col("host")).sortWithinPartitions("host", "url")
+    return with_status(by_host.mapInPandas(run, RESPONSE))
 
 
 def with_status(responses: DataFrame) -> DataFrame:

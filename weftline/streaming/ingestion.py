@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from weftline.config import Config
 from weftline.operators.chunking import chunk_pages
 from weftline.schemas import PAGE
-from weftline.sources.store import with_point_id
+from weftline.sources.store import upsert, with_point_id
 
 
 def page_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -20,4 +20,9 @@ def chunk_stream(pages: DataFrame, config: Config = Config()) -> DataFrame:
 
 
 def start(chunks: DataFrame, sink: str, checkpoint: str):
-    return chunks.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    """Each micro-batch is upserted under its own number, so one that is run again replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        upsert(batch, sink, number)
+
+    return chunks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
