@@ -344,14 +344,179 @@ def _records(spark, sf_dir):
     return parsed.withColumn("doc_id", U.doc_id(norm)).withColumn("domain", U.netloc(F.col("url"))).withColumn("depth", F.lit(0))
 
 
-@query()
+@query(f"""
+SELECT doc_id, {_TRIM.format("regexp_replace(regexp_replace(regexp_replace(text, '\\n{3,}', chr(10) || chr(10), 'g'), '[ \\t]+', ' ', 'g'), '[ \\t\\r\\x0b\\x0c]+\\n', chr(10), 'g')")} AS cleaned
+FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\\r\\x0b\\x0c\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{2028}}\\x{{2029}}]')
+""")
+def clean_plaintext(spark, sf_dir):
+    """X-12, over texts whose only white space is blanks, tabs and line feeds (the two engines' classes agree there)."""
+    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull() & ~F.col("text").rlike("[\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u2028\\u2029]"))
+    return docs.select("doc_id", T.clean_plaintext(F.col("text")).alias("cleaned"))
+
+
+@query("SELECT doc_id FROM documents WHERE length(coalesce(text, '')) >= 100 AND coalesce(lang, '') <> 'fr'")
+def chunkable_pages(spark, sf_dir):
+    error = F.struct(F.when(F.col("lang") == "fr", "failed").otherwise("").alias("error"))
+    pages = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body_text"), error.alias("rag_status"))
+    return chunking.chunkable(pages).select("doc_id")
+
+
+_HEADS = """h AS (SELECT p_partkey, p_partkey % 7 <> 0 AS ok, CASE p_partkey % 5 WHEN 0 THEN 'image/png' WHEN 1 THEN 'Text/HTML; charset=x' WHEN 2 THEN NULL ELSE 'image/jpeg' END AS kind,
+  p_size * 997 AS length, 'http://e.com/' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.JPG?v=1' WHEN 1 THEN '' ELSE '.txt' END AS url,
+  CASE WHEN p_partkey % 11 = 0 THEN 404 ELSE 200 END AS status, p_size * 503 AS size FROM part)"""
+
+
+def _heads(spark, sf_dir):
+    key = F.col("p_partkey")
+    kind = F.when(key % 5 == 0, "image/png").when(key % 5 == 1, "Text/HTML; charset=x").when(key % 5 == 2, None).otherwise("image/jpeg")
+    url = F.concat(F.lit("http://e.com/"), key, F.when(key % 3 == 0, ".JPG?v=1").when(key % 3 == 1, "").otherwise(".txt"))
+    return table(spark, sf_dir, "part").select("p_partkey", (key % 7 != 0).alias("head_ok"), kind.alias("head_type"), (F.col("p_size") * 997).cast("long").alias("head_length"), url.alias("url"), F.when(key % 11 == 0, 404).otherwise(200).alias("status_code"), F.repeat(F.lit("x"), (F.col("p_size") * 503).cast("int")).cast("binary").alias("body"))
+
+
+@query(f"""
+WITH {_HEADS}
+SELECT p_partkey, CASE WHEN NOT ok THEN 'HEAD request failed' WHEN length > 0 AND length < 5120 THEN NULL WHEN coalesce(kind, '') <> '' AND kind NOT LIKE 'image/%' AND url NOT LIKE '%.JPG?v=1' THEN NULL
+  WHEN status <> 200 THEN 'HTTP ' || status END AS error,
+ CASE WHEN NOT ok THEN '' WHEN length > 0 AND length < 5120 THEN 'Too small (' || length || 'B < 5120B)' WHEN coalesce(kind, '') <> '' AND kind NOT LIKE 'image/%' AND url NOT LIKE '%.JPG?v=1' THEN 'Not an image: text/html'
+  WHEN status <> 200 THEN '' WHEN size < 5120 THEN 'Too small after download (' || size || 'B)' ELSE '' END AS skip FROM h
+""")
+def image_gate(spark, sf_dir):
+    error, skip = assets.image_gate()
+    return _heads(spark, sf_dir).select("p_partkey", error.alias("error"), skip.alias("skip"))
+
+
+@query(f"""
+WITH {_HEADS}
+SELECT p_partkey, CASE kind WHEN 'image/png' THEN '.png' WHEN 'image/jpeg' THEN '.jpg' ELSE CASE p_partkey % 3 WHEN 0 THEN '.jpg' WHEN 1 THEN '.jpg' ELSE '.txt' END END AS extension FROM h
+""")
+def asset_extension(spark, sf_dir):
+    return _heads(spark, sf_dir).select("p_partkey", M.extension(assets.mime(F.col("head_type")), F.col("url")).alias("extension"))
+
+
+@query("""
+SELECT p_partkey, CAST(CASE WHEN p_size % 4 > 0 THEN p_size % 4 WHEN p_partkey % 2 = 0 THEN p_partkey % 100 ELSE 0 END AS INTEGER) AS pages FROM part
+""")
+def pdf_page_count(spark, sf_dir):
+    body = F.concat(F.lit("%PDF-1.4 "), F.repeat(F.lit("/Type /Page\n"), F.col("p_size").cast("int") % 4), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("/Count 3 /Count "), F.col("p_partkey") % 100)).otherwise(""))
+    return table(spark, sf_dir, "part").select("p_partkey", M.pdf_pages(body.cast("binary")).cast("int").alias("pages"))
+
+
+@query("""
+WITH i AS (SELECT p_partkey, p_size * 11 AS width, CAST(p_retailprice AS INTEGER) % 700 AS height, p_size * 90 AS size FROM part)
+SELECT 'doc' || (p_partkey % 20) || '_p' || lpad(CAST(p_partkey % 90 AS VARCHAR), 3, '0') || '_img' || lpad(CAST(p_partkey % 50 AS VARCHAR), 2, '0') || '.png' AS file, p_partkey, round(size / 1024.0::DOUBLE, 1) AS size_kb
+FROM i WHERE width >= 200 AND height >= 200 AND size >= 2048
+""")
+def pdf_images(spark, sf_dir):
+    key = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("doc"), key % 20, F.lit(".pdf")).alias("pdf"), (key % 90).cast("int").alias("page"), (key % 50).cast("int").alias("img_index"), (F.col("p_size") * 11).alias("width"), (F.rint("p_retailprice").cast("int") % 700).alias("height"), (F.col("p_size") * 90).alias("size_bytes"), F.lit("png").alias("format"))
+    return assets.filtered_pdf_images(rows).select("file", "p_partkey", "size_kb")
+
+
+@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) x WHERE n = 1")
+def keep_last(spark, sf_dir):
+    from weftline.sources import store
+
+    return store.latest(table(spark, sf_dir, "events"), "user_id", "event_id").select("user_id", "event_id")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
+def not_crawled(spark, sf_dir):
+    from weftline.sources import store
+
+    done = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").cast("string").alias("url"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("url"))
+    return store.not_crawled(rows, done).select("o_orderkey")
+
+
+@query("SELECT doc_id, sha256(doc_id || chr(31) || (doc_id % 7)) AS id FROM documents")
+def point_ids(spark, sf_dir):
+    from weftline.sources import store
+
+    return store.with_point_id(table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 7).alias("chunk_index"))).select("doc_id", "id")
+
+
+@query("SELECT page_id, substr(regexp_replace(url, '[^\\p{L}\\p{N}_\\-.]', '_', 'g'), 1, 30) AS folder FROM pages")
+def folder_names(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.sanitized(F.col("url"), 30).alias("folder"))
+
+
+@query(f"""
+WITH k AS (SELECT page_id, url, {_HOST} AS host, CASE WHEN page_id % 3 = 0 THEN '' ELSE 'Page ' || page_id END AS title, row_number() OVER (PARTITION BY {_HOST} ORDER BY page_id) AS n FROM pages)
+SELECT host, string_agg('[' || n || '] Source: ' || CASE WHEN title = '' THEN url ELSE title END || chr(10) || 'URL: ' || url || chr(10) || 'Section: s' || n || chr(10) || chr(10) || 'text ' || page_id, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY n) AS context
+FROM k WHERE n <= 5 GROUP BY host
+""")
+def context_blocks(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select(U.host(F.col("url")).alias("host"), "page_id", "url")
+    rows = frontier.within_budget(rows, 5, seq="page_id")
+    title = F.when(F.col("page_id") % 3 == 0, "").otherwise(F.concat(F.lit("Page "), "page_id"))
+    doc = F.struct("page_id", F.concat(F.lit("text "), "page_id").alias("text"), "url", title.alias("title"))
+    lists = rows.groupBy("host").agg(F.sort_array(F.collect_list(doc)).alias("docs"))
+    named = F.transform("docs", lambda d, i: d.withField("section", F.concat(F.lit("s"), i + 1)))
+    return lists.select("host", agent.context_block(named).alias("context"))
+
+
+@query(f"""
+WITH t AS (SELECT page_id, url, {_TITLE} AS title FROM pages)
+SELECT page_id, 'Page Title: ' || title AS text, 'Page Summary' AS section FROM t WHERE length('Page Title: ' || title || chr(10)) >= 50
+""")
+def page_summaries(spark, sf_dir):
+    """C-6 over whole pages: their title, as they have no description."""
+    chunks = chunking.chunk_pages(_records(spark, sf_dir).withColumn("doc_id", F.col("page_id").cast("string")))
+    return chunks.where("source_type = 'meta'").select(F.col("doc_id").cast("long").alias("page_id"), "text", "section")
+
+
+# the offline embedder and reranker in SQL: signed hashing of words, and the share of the question's words that a text holds
+_TOKENS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')"
+_HEX = " || ".join(f"substr(md5(w), {15 - 2 * i}, 2)" for i in range(8))
+
+
+def _embedded(name: str, ident: str, source: str, text: str) -> str:
+    return f"""
+{name}_w AS (SELECT {ident}, CAST('0x' || {_HEX} AS UBIGINT) AS h FROM (SELECT {ident}, unnest({_TOKENS.format(text)}) AS w FROM {source}) x),
+{name}_s AS (SELECT {ident}, h % 768 AS k, sum(CASE WHEN h >= 9223372036854775808 THEN 1 ELSE -1 END)::DOUBLE AS v FROM {name}_w GROUP BY ALL),
+{name}_e AS (SELECT {ident}, k, CAST(CAST(v / sqrt(sum(v * v) OVER (PARTITION BY {ident})) AS FLOAT) AS DOUBLE) AS v FROM {name}_s QUALIFY sum(v * v) OVER (PARTITION BY {ident}) > 0)"""
+
+
+_RERANKED = f"""
+t AS (SELECT c.*, {_TOKENS.format("d.text")} AS have, list_distinct({_TOKENS.format("b.text")}) AS want FROM cand c JOIN documents d ON d.doc_id = c.id JOIN benchmark b ON b.item_id = c.query_id),
+o AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY query_id) > 1 THEN len(list_intersect(want, have))::DOUBLE / greatest(1, len(want)) + 1.0::DOUBLE / (1000 + len(have)) END AS raw FROM t),
+z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC NULLS LAST, rank) AS final_rank FROM o QUALIFY final_rank <= 5)"""
+_ASKED = "(SELECT item_id, text FROM benchmark WHERE item_id % 50 = 0)"
+_SPARSE_20 = """
+ss AS (SELECT q.item_id AS query_id, d.doc_id AS id, round(sum(d.weight * q.weight), 9) AS score FROM d JOIN q ON d.token_id = q.token_id GROUP BY ALL),
+sparse AS (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM ss QUALIFY rank <= 20)"""
+
+
+@query("WITH " + _sparse("q", "item_id", _ASKED) + "," + _sparse("d", "doc_id", "documents") + "," + _SPARSE_20 + ", cand AS (SELECT * FROM sparse)," + _RERANKED + " SELECT query_id, id, rank, round(raw, 9) AS rerank_score, CAST(final_rank AS INTEGER) AS final_rank FROM z")
+def rerank(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    asked = table(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    found = retrieval.sparse_topk(encoding.sparse_terms(docs, "id"), encoding.sparse_terms(asked, "query_id", "question"))
+    full = found.join(docs.where("text IS NOT NULL"), "id").join(asked, "query_id")
+    return retrieval.reranked(full).select("query_id", "id", "rank", F.round("rerank_score", 9).alias("rerank_score"), "final_rank")
+
+
+@query(
+    "WITH " + _sparse("q", "item_id", _ASKED) + "," + _sparse("d", "doc_id", "(SELECT doc_id, text FROM documents WHERE text IS NOT NULL)") + "," + _embedded("a", "item_id", _ASKED, "text") + "," + _embedded("p", "doc_id", "documents", "text") + "," + _SPARSE_20
+    + """,
+every AS (SELECT i.item_id AS query_id, n.doc_id AS id FROM (SELECT DISTINCT item_id FROM a_e) i, (SELECT doc_id FROM documents WHERE text IS NOT NULL) n),
+dots AS (SELECT a_e.item_id AS query_id, p_e.doc_id AS id, sum(a_e.v * p_e.v) AS v FROM a_e JOIN p_e ON a_e.k = p_e.k GROUP BY ALL),
+ds AS (SELECT every.query_id, every.id, round(coalesce(v, 0), 9) AS score FROM every LEFT JOIN dots ON every.query_id = dots.query_id AND every.id = dots.id),
+dense AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ds QUALIFY rank <= 20),
+u AS (SELECT query_id, id, 1.0::DOUBLE / (1 + rank) AS s FROM dense UNION ALL SELECT query_id, id, 1.0::DOUBLE / (1 + rank) FROM sparse),
+f AS (SELECT query_id, id, round(sum(s), 9) AS score FROM u GROUP BY ALL),
+cand AS (SELECT * FROM (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM f QUALIFY rank <= 20) x WHERE score >= 0.3),"""
+    + _RERANKED
+    + " SELECT query_id, id, (SELECT source FROM documents d WHERE d.doc_id = z.id) AS domain, score AS retrieval_score, round(raw, 9) AS rerank_score, rank, CAST(final_rank AS INTEGER) AS final_rank FROM z"
+)
 def hybrid_retrieve(spark, sf_dir):
     """Benchmark questions against documents through encoding, both searches, fusion, floor and reranking."""
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), "text", F.lit("").alias("url"), F.lit("").alias("title"), F.col("source").alias("domain"), F.lit("").alias("section"))
     asked = table(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     model = encoding.dense_udf()
-    found = retrieval.retrieve(docs.withColumn("dense", model("text")), encoding.sparse_terms(docs, "id"), asked.withColumn("dense", model("question")), encoding.sparse_terms(asked, "query_id", "question"))
-    return found.select("query_id", "id", "domain", "retrieval_score", "rerank_score", "rank", "final_rank")
+    points = frontier.cut(docs.withColumn("dense", model("text")))
+    found = retrieval.retrieve(points, encoding.sparse_terms(docs, "id"), asked.withColumn("dense", model("question")), encoding.sparse_terms(asked, "query_id", "question"))
+    return found.select("query_id", "id", "domain", "retrieval_score", F.round("rerank_score", 9).alias("rerank_score"), "rank", "final_rank")
 
 
 @query()
