@@ -1,105 +1,26 @@
-"""Shared parts: tables in the shared folder, salted prefix sums, word splitting, connected components."""
+"""Shared parts: salted prefix sums, word splitting, connected components."""
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftline.sources.scratch import Scratch, cut  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Bytes that separate words, and the same as a translation to lower-case A-Z.
 SPACES = b" \t\n\x0b\x0c\r"
 TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
-_written: list = []
-_own: list[str] = []
-#: Shuffle files of a finished write go at once, not when the driver happens to collect its garbage.
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; one of its own in a local session that names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="weftline-"))  # one machine, one process
-    return _own[0]
-
-
-def cut(df: DataFrame, *by: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: lineage ends and lost executors cost nothing.
-
-    by: columns that part the table's files. The table is deleted by Scratch.drop, or when the driver process ends."""
-    return _cut(df, *by)[0]
-
-
-def _cut(df: DataFrame, *by: str) -> tuple[DataFrame, str]:
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN_UP, "false")
-    spark.conf.set(CLEAN_UP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path, partitionBy=list(by) or None)
-    finally:
-        spark.conf.set(CLEAN_UP, before)
-    if not _written:
-        atexit.register(_drop_all)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _drop_all() -> None:
-    for spark, path in _written:
-        try:
-            _drop(spark, path)
-        except Exception:  # the session has ended already
-            return
-
-
-class Scratch:
-    """Tables of one query in the shared folder, which go as soon as nothing reads them any more."""
-
-    def __init__(self):
-        self.tables: list[tuple[DataFrame, str]] = []
-
-    def cut(self, df: DataFrame, *by: str) -> DataFrame:
-        made = _cut(df, *by)
-        self.tables.append(made)
-        return made[0]
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Delete these tables."""
-        for df, path in [x for x in self.tables if any(x[0] is t for t in tables)]:
-            spark = df.sparkSession
-            _drop(spark, path)
-            _written.remove((spark, path))
-            self.tables = [x for x in self.tables if x[1] != path]
-
-    def keep(self, *tables: DataFrame) -> None:
-        """Delete all tables but these."""
-        self.drop(*[df for df, _ in self.tables if not any(df is t for t in tables)])
-
-
 def private(df: DataFrame) -> str:
     """A beginning of names that no column of df has."""
     out = "__"

@@ -88,6 +88,21 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || c
 FROM t GROUP BY conv_id
 """
 
+OP6_SQL = """
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 2 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE ws END) AS s FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+h AS (SELECT g.doc_id, g.s, n.n FROM g JOIN n ON g.doc_id = n.doc_id),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n - count(*) AS whole, count(*) AS common FROM h a JOIN h b ON a.s = b.s AND a.doc_id < b.doc_id
+    AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n),
+l AS (SELECT a, b FROM p WHERE 100 * common >= 80 * whole UNION ALL SELECT b, a FROM p WHERE 100 * common >= 80 * whole),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT r.a AS doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.b) AS component_id, r.a = min(r.b) AS kept FROM r LEFT JOIN n ON r.a = n.doc_id GROUP BY r.a
+"""
+
 OP7_SQL = """
 WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
 n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS s FROM v),
@@ -111,4 +126,4 @@ QUERIES = {
     "op9_ftrl_toxicity": op9_ftrl_toxicity,
     "op10_chat_grammar_round_trip": op10_chat_grammar_round_trip,
 }
-ORACLES = {"op5_line_dedup": OP5_SQL, "op7_metric_range_join": OP7_SQL, "op10_chat_grammar_round_trip": OP10_SQL}
+ORACLES = {"op5_line_dedup": OP5_SQL, "op6_minhash_odd_sketch": OP6_SQL, "op7_metric_range_join": OP7_SQL, "op10_chat_grammar_round_trip": OP10_SQL}
