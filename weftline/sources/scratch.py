@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _written: list = []
 _own: list[str] = []
+_open: list[Scratch] = []
 #: Shuffle files of a finished write go at once, not when the driver happens to collect its garbage.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -30,8 +31,12 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame, *by: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends and lost executors cost nothing.
 
-    by: columns that part the table's files. The table is deleted by Scratch.drop, or when the driver process ends."""
-    return _cut(df, *by)[0]
+    by: columns that part the table's files. The table is deleted when the Scratch around the call ends without keeping it,
+    or when the driver process ends."""
+    made = _cut(df, *by)
+    if _open:
+        _open[-1].tables.append(made)
+    return made[0]
 
 
 def _cut(df: DataFrame, *by: str) -> tuple[DataFrame, str]:
@@ -63,11 +68,22 @@ def _drop_all() -> None:
 
 
 class Scratch:
-    """Tables of one query in the shared folder, which go as soon as nothing reads them any more."""
+    """Tables of one query in the shared folder, which go as soon as nothing reads them any more.
+
+    As a context it gathers the tables of every `cut` inside; those that are left at its end go to the Scratch around it."""
 
     def __init__(self):
         self.tables: list[tuple[DataFrame, str]] = []
 
+    def __enter__(self) -> Scratch:
+        _open.append(self)
+        return self
+
+    def __exit__(self, kind, value, trace) -> None:
+        _open.remove(self)
+        if _open:
+            _open[-1].tables += self.tables
+
     def cut(self, df: DataFrame, *by: str) -> DataFrame:
         made = _cut(df, *by)
         self.tables.append(made)
