@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import TO_LOWER, WordHash, byte_texts, components, cut, mixed, pieces_of, private, row_hash, scrambled
+from weftline.llm.common import TO_LOWER, Scratch, WordHash, byte_texts, components, cut, mixed, pieces_of, private, row_hash, scrambled
 
 SKETCH_BITS, LEAST_FILTER, MOST_FILTER = 1024, 1 << 20, 1 << 27
 _hash: dict = {}
@@ -243,7 +243,17 @@ def _same_id(sigs: DataFrame, reps: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = 40, rows: int = 6) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): links hold where 100 * intersection >= percent * union."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    with Scratch() as scratch:
+        own, known = _grouped(docs.select(F.col("doc_id").cast("long"), "text"), shingle_words, percent, bands, rows)
+        scratch.keep(own, known)
+    same = (F.col("d1") == F.col("r1")) & (F.col("d2") == F.col("r2")) & (F.col("n") == F.col("rn")) & F.col("doc_id").isNotNull()
+    out = own.join(known, same, "left")
+    component = F.coalesce("part", "doc_id")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def _grouped(docs: DataFrame, shingle_words: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Tables of (doc_id, n, d1, d2), a row for each document, and of (r1, r2, rn, part), one for each distinct text."""
     sigs = cut(signatures(docs, shingle_words, bands, rows))
     reps = sigs.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     reps = cut(reps)
@@ -261,10 +271,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     more = _between_parts(labels, reps, docs, shingle_words, percent, bands * rows)
     parts = components(edges.union(more)) if not more.isEmpty() else parts
     known = reps.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("d1").alias("r1"), F.col("d2").alias("r2"), F.col("n").alias("rn"), F.coalesce("component", "rep").alias("part"))
-    same = (F.col("d1") == F.col("r1")) & (F.col("d2") == F.col("r2")) & (F.col("n") == F.col("rn")) & F.col("doc_id").isNotNull()
-    out = sigs.select("doc_id", "n", "d1", "d2").join(cut(known), same, "left")
-    component = F.coalesce("part", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return cut(sigs.select("doc_id", "n", "d1", "d2")), cut(known)
 
 
 def first_of_each(docs: DataFrame, **how) -> DataFrame:
@@ -274,10 +281,12 @@ def first_of_each(docs: DataFrame, **how) -> DataFrame:
     p = private(docs)
     row, at = p + "row", p + "at"
     h1, h2 = row_hash(docs)
-    rows = cut(docs.withColumn(p + "h1", h1).withColumn(p + "h2", h2).withColumn(row, F.monotonically_increasing_id()))
-    found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), **how).select(F.col("doc_id").alias("at"), F.col("component_id").alias("part"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.col(p + "h1").alias("h1"), F.col(p + "h2").alias("h2"), F.col(row).alias("row"))
-    known = cut(rows.select(F.col(row).alias("row"), order.alias("order")).join(found, F.col("row") == F.col("at")).select("at", "part", "order"))
-    best = known.groupBy(F.col("part").alias("p")).agg(F.min("order").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    gone = known.join(best, F.col("part") == F.col("p")).where(F.col("at") != F.col("best.row")).select(F.col("at").alias(at))
+    with Scratch() as scratch:
+        rows = cut(docs.withColumn(p + "h1", h1).withColumn(p + "h2", h2).withColumn(row, F.monotonically_increasing_id()))
+        found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), **how).select(F.col("doc_id").alias("at"), F.col("component_id").alias("part"))
+        known = cut(rows.select(F.col(row).alias("row"), order.alias("order")).join(found, F.col("row") == F.col("at")).select("at", "part", "order"))
+        best = known.groupBy(F.col("part").alias("p")).agg(F.min("order").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        gone = cut(known.join(best, F.col("part") == F.col("p")).where(F.col("at") != F.col("best.row")).select(F.col("at").alias(at)))
+        scratch.keep(rows, gone)
     return rows.join(gone, F.col(row) == F.col(at), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

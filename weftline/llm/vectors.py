@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import components, cut
+from weftline.llm.common import Scratch, components, cut
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
@@ -119,12 +119,15 @@ def near_vectors(table: DataFrame, cosine: float = 0.9, ident: str = "vec_id", v
     """(vec_id, n_links, component_id, kept): links are pairs with cosine >= cosine, in double precision."""
     if not 0 < cosine <= 1:
         raise ValueError("cosine must be above 0 and at most 1")
-    rows, groups = classes(table, ident, vector)
-    found = cut(tiles(groups, plan_pivots(groups, cosine, most_pivots, tile), cosine, tile).applyInArrow(_meet(cosine), "i long, links long, other long"))
-    links = found.where("other IS NULL").groupBy(F.col("i").alias("li")).agg(F.sum("links").alias("links"))
-    parts = components(found.where("other IS NOT NULL").select(F.col("i").alias("a"), F.col("other").alias("b")))
-    known = groups.join(links, F.col("rep") == F.col("li"), "left").join(parts, F.col("rep") == F.col("node"), "left")
-    known = cut(known.select(F.col("v").alias("kv"), F.col("w").alias("kw"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("part")))
+    with Scratch() as scratch:
+        rows, groups = classes(table, ident, vector)
+        found = cut(tiles(groups, plan_pivots(groups, cosine, most_pivots, tile), cosine, tile).applyInArrow(_meet(cosine), "i long, links long, other long"))
+        links = found.where("other IS NULL").groupBy(F.col("i").alias("li")).agg(F.sum("links").alias("links"))
+        parts = components(found.where("other IS NOT NULL").select(F.col("i").alias("a"), F.col("other").alias("b")))
+        known = groups.join(links, F.col("rep") == F.col("li"), "left").join(parts, F.col("rep") == F.col("node"), "left")
+        n_links = (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")
+        known = cut(known.select(F.col("v").alias("kv"), F.col("w").alias("kw"), n_links, F.coalesce("component", "rep").alias("part")))
+        scratch.keep(rows, known)
     out = rows.join(known, (F.col("v") == F.col("kv")) & (F.col("w") == F.col("kw")), "left")
     component = F.coalesce("part", "i")
     return out.select(F.col("i").alias(ident), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("i") == component, F.lit(True)).alias("kept"))
