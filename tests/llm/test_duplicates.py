@@ -1,5 +1,4 @@
 import re
-from collections import Counter
 
 import numpy as np
 
@@ -135,20 +134,3 @@ def test_pivot_cells_part_the_work(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     _, groups = vectors.classes(table, "vec_id", "embedding")
     assert all(len(p) > 1 for p in vectors.plan_pivots(groups, 0.9, 256, 4096).values())
-
-
-def test_pipeline_parts(spark, tmp_path, rows):
-    import corpus_pipeline
-
-    frame = spark.createDataFrame([r[:5] for r in rows if r[0] is not None], "doc_id long, text string, lang string, source string, n_chars long")
-    frame.write.parquet(str(tmp_path / "documents.parquet"))
-    columns, docs, kept = frame.columns, frame, Counter()
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, str(tmp_path))
-        assert docs.columns == columns
-        docs.write.parquet(str(tmp_path / name))
-        docs = spark.read.parquet(str(tmp_path / name))
-        kept[name] = docs.count()
-    assert kept["quality_rules"] < len(rows) and kept["minhash_near_dedup"] < kept["line_dedup"] == kept["quality_rules"]
-    final = corpus_pipeline.run(spark, str(tmp_path))
-    assert {r.doc_id for r in final.collect()} == {r.doc_id for r in docs.collect()}

@@ -115,7 +115,7 @@ def shard_plan(quota: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mix(docs: DataFrame, block_words: int = 128, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, shards: int = 64, seed: int = 17):
+def mix(docs: DataFrame, block_words: int = 128, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, shards: int | None = None, seed: int = 17):
     """(documents, slots, spans).
 
     documents: doc_id, row, source_no, size, source_size, target. slots: shard, slot, source_no, block, part (words
@@ -127,6 +127,8 @@ def mix(docs: DataFrame, block_words: int = 128, weights: tuple[float, ...] = (1
     found = rows.groupBy("source").agg(F.sum("size").alias("n")).toArrow()  # a row for each source
     totals = sorted(zip(found.column("source").to_pylist(), found.column("n").to_pylist()), key=lambda x: (x[0] is None, (x[0] or "").encode("utf-8")))
     want = np.array(targets(totals, weights, most))
+    if shards is None:  # of about 2**26 words each
+        shards = min(4096, max(64, sum(n for _, n in totals) >> 26))
     size = np.array([n for _, n in totals], dtype=np.int64)
     blocks = -(-size // block_words)
     quota, last = slot_plan(size, want, block_words, seed)
