@@ -37,6 +37,28 @@ def test_dense_and_plan(spark):
     assert "WindowGroupLimit" in retrieval.dense_topk(frame, q, 2)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_sparse_tiles_equal_a_join(spark):
+    rng = random.Random(5)
+    postings = [(i, t, rng.choice([0.25, 0.5, 1.0])) for i in range(60) for t in rng.sample(range(30), 8)]
+    terms = [(q, t, rng.choice([0.5, 1.0])) for q in range(7) for t in rng.sample(range(40), 5)] + [(9, 77, 1.0)]
+    p = spark.createDataFrame(postings, "id long, token_id int, weight double")
+    t = spark.createDataFrame(terms, "query_id long, token_id int, weight double")
+    want = {}
+    for q in range(7):
+        score = {}
+        for i, k, w in postings:
+            for qq, kk, v in terms:
+                if q == qq and k == kk:
+                    score[i] = score.get(i, 0) + w * v
+        want[q] = [(i, s) for i, s in sorted(score.items(), key=lambda x: (-x[1], x[0]))][:10]
+    for tiles in (None, (1, 1), (5, 3)):
+        got = {}
+        for r in retrieval.sparse_topk(p, t, 10, tiles=tiles).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.id, r.score))
+        assert got == want
+    assert retrieval.sparse_topk(p.where("false"), t).count() == retrieval.sparse_topk(p, t.where("false")).count() == 0
+
+
 def ranked(spark, *ids):
     return spark.createDataFrame([(1, i, k + 1) for k, i in enumerate(ids)], "query_id long, id long, rank int")
 

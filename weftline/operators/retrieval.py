@@ -65,13 +65,50 @@ def dense_topk(points: DataFrame, queries: DataFrame, k: int = 20, ident: str =
     return top(scored.withColumn("score", F.round("score", 9)), k, query, ident)
 
 
-def sparse_topk(postings: DataFrame, terms: DataFrame, k: int = 20, ident: str = "id", query: str = "query_id") -> DataFrame:
+def sparse_topk(postings: DataFrame, terms: DataFrame, k: int = 20, ident: str = "id", query: str = "query_id", tiles: tuple[int, int] | None = None) -> DataFrame:
     """R-3: (query, ident, score, rank) by the inner product over shared buckets.
 
-    postings: (ident, token_id, weight); terms: (query, token_id, weight)."""
-    q = terms.select(query, "token_id", F.col("weight").alias("__qw"))
-    scored = postings.join(q, "token_id").groupBy(query, ident).agg(F.round(F.sum(F.col("weight") * F.col("__qw")), 9).alias("score"))
-    return top(scored, k, query, ident)
+    postings: (ident, token_id, weight); terms: (query, token_id, weight). Postings of buckets that no question has go
+    first. The rest are dealt over a grid of tiles by id and question; a tile adds up its products and returns each
+    question's best k, so a frequent word makes no rows of questions x documents. tiles: the grid's sides, by default as
+    many parts of the ids as the session has shuffle partitions, and one of the questions for each 100,000 terms."""
+    down = tiles[0] if tiles else int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    across = tiles[1] if tiles else max(1, -(-terms.count() // 100_000))
+    place = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    ids, questions = postings.schema[ident].dataType, terms.schema[query].dataType
+    known = postings.join(terms.select("token_id").distinct(), "token_id", "left_semi")
+    own = known.select(place(ident, down).alias("r"), every(across).alias("c"), F.col(ident).alias("p"), F.lit(None).cast(questions).alias("q"), "token_id", F.col("weight").cast("double").alias("w"))
+    asked = terms.select(every(down).alias("r"), place(query, across).alias("c"), F.lit(None).cast(ids).alias("p"), F.col(query).alias("q"), "token_id", F.col("weight").cast("double").alias("w"))
+
+    def best(group: pa.Table) -> pa.Table:
+        side = group.column("q").is_valid()
+        x, y = group.filter(pc.invert(side)), group.filter(side)
+        p, q = (pc.dictionary_encode(t.column(n).combine_chunks()) for t, n in ((x, "p"), (y, "q")))
+        rows, cols = p.indices.to_numpy(), q.indices.to_numpy()
+        token, weight = x.column("token_id").to_numpy(), x.column("w").to_numpy()
+        order = np.argsort(token, kind="stable")
+        token = token[order]
+        at, found = [], []
+        for j in range(len(q.dictionary)):
+            mine = cols == j
+            t, w = y.column("token_id").to_numpy()[mine], y.column("w").to_numpy()[mine]
+            low, high = np.searchsorted(token, t, "left"), np.searchsorted(token, t, "right")
+            hit = order[np.repeat(low - (np.cumsum(high - low) - (high - low)), high - low) + np.arange((high - low).sum())]
+            seen = np.bincount(rows[hit], minlength=len(p.dictionary))
+            total = np.bincount(rows[hit], weights=weight[hit] * np.repeat(w, high - low), minlength=len(p.dictionary))
+            some = np.flatnonzero(seen)
+            if len(some) > k:
+                some = some[total[some] >= np.partition(total[some], -k)[-k] - 4e-9]
+            at.append((some, np.full(len(some), j)))
+            found.append(total[some])
+        i, j = (np.concatenate(z).astype(np.int64) for z in zip(*at)) if at else (np.zeros(0, dtype=np.int64),) * 2
+        scores = np.concatenate(found) if found else np.zeros(0)
+        return pa.table({query: q.dictionary.take(pa.array(j)), ident: p.dictionary.take(pa.array(i)), "score": pa.array(scores, pa.float64())})
+
+    kinds = f"`{query}` {questions.simpleString()}, `{ident}` {ids.simpleString()}, score double"
+    scored = own.unionByName(asked).groupBy("r", "c").applyInArrow(best, kinds)
+    return top(scored.withColumn("score", F.round("score", 9)), k, query, ident)
 
 
 def rrf(*lists: DataFrame, k: int = 2, limit: int = 20, ident: str = "id", query: str = "query_id") -> DataFrame:
