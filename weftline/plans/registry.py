@@ -9,12 +9,13 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.config import Config, Scope
+from weftline.config import Agent, Config, Scope
 from weftline.functions import media as M
 from weftline.functions import text as T
 from weftline.functions import urls as U
 from weftline.operators import agent, assets, chunking, encoding, frontier, parsing, retrieval
 from weftline.plans import jobs
+from weftline.sources.models import ExtractiveLlm
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -519,6 +520,37 @@ def hybrid_retrieve(spark, sf_dir):
     return found.select("query_id", "id", "domain", "retrieval_score", F.round("rerank_score", 9).alias("rerank_score"), "rank", "final_rank")
 
 
+_STOP = "[" + ", ".join(f"'{w}'" for w in sorted(ExtractiveLlm.stop)) + "]"
+_GRADED = "WITH " + _sparse("q", "item_id", _ASKED) + "," + _sparse("d", "doc_id", "documents") + "," + _SPARSE_20 + f""",
+g AS (SELECT s.query_id, s.id, list_filter({_TOKENS.format("left(d.text, 400)")}, lambda x: NOT list_contains({_STOP}, x)) AS have, list_filter({_TOKENS.format("b.text")}, lambda x: NOT list_contains({_STOP}, x)) AS want
+  FROM sparse s JOIN documents d ON d.doc_id = s.id JOIN benchmark b ON b.item_id = s.query_id WHERE d.text IS NOT NULL)"""
+
+
+def _graded(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    asked = table(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("rewritten"))
+    found = retrieval.sparse_topk(encoding.sparse_terms(docs, "id"), encoding.sparse_terms(asked, "query_id", "rewritten"))
+    doc = F.struct(F.col("rank"), "text", F.col("id").cast("string").alias("url"))
+    state = found.join(docs.where("text IS NOT NULL"), "id").groupBy("query_id").agg(F.sort_array(F.collect_list(doc)).alias("docs"))
+    return agent.graded(state.join(asked, "query_id"), ExtractiveLlm(), Agent(min_relevant=20))
+
+
+@query(_GRADED + " SELECT query_id, id FROM g WHERE len(list_intersect(want, have)) > 0")
+def relevant_documents(spark, sf_dir):
+    return _graded(spark, sf_dir).select("query_id", F.explode("relevant").alias("d")).select("query_id", F.col("d.url").cast("long").alias("id"))
+
+
+@query(_GRADED + " SELECT query_id, count(*) FILTER (WHERE len(list_intersect(want, have)) > 0) >= 20 AS sufficient FROM g GROUP BY query_id")
+def relevance_routes(spark, sf_dir):
+    return _graded(spark, sf_dir).select("query_id", "sufficient")
+
+
+@query("SELECT doc_id FROM documents WHERE source = 'src7' AND lang = 'en'")
+def payload_filter(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").withColumns({"domain": F.col("source"), "source_type": F.col("lang")})
+    return rows.where(retrieval.payload_filter("src7", "en")).select("doc_id")
+
+
 @query()
 def question_answers(spark, sf_dir):
     """Benchmark questions answered over chunks of pages, with the rewrite loop."""
