@@ -304,9 +304,6 @@ class Block:
         self.starts = np.cumsum(self.n) - self.n
         self.learn = ~np.repeat(self.held, self.n)
 
-    def grams(self, level: int, below: "Grams | None", shared: Shared) -> "Grams":
-        return Grams(self, level, below, shared)
-
 
 class Grams:
     """The distinct n-grams of a block at one level.
