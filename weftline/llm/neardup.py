@@ -182,7 +182,7 @@ def _between_parts(labels: DataFrame, reps: DataFrame, docs: DataFrame, width: i
     sized = labels.join(reps.select(F.col("rep").alias("r"), "n", "sketch"), F.col("i") == F.col("r")).drop("r")
     per = sized.groupBy("key", "part").agg(F.sum("n").alias("s"))
     keys = per.groupBy(F.col("key").alias("k")).agg(F.max_by("part", F.struct("s", "part")).alias("main"), F.max("s").alias("most"), F.sum("s").alias("all"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    keys = cut(keys.select("k", "main", F.ceil(F.col("all") / tile).cast("int").alias("a"), F.ceil((F.col("all") - F.col("most")) / tile).cast("int").alias("b")))
+    keys = keys.select("k", "main", F.ceil(F.col("all") / tile).cast("int").alias("a"), F.ceil((F.col("all") - F.col("most")) / tile).cast("int").alias("b"))
     rows = cut(sized.join(keys, F.col("key") == F.col("k")).drop("k"))
     sets = full_sets(docs, rows.select("i").distinct(), width).withColumnRenamed("i", "w")
     full = rows.join(sets, (F.col("i") == F.col("w")) & (F.octet_length("s") == 8 * F.col("n"))).drop("w")
@@ -231,14 +231,18 @@ def _between_parts(labels: DataFrame, reps: DataFrame, docs: DataFrame, width: i
     return cut(build.unionByName(probe).groupBy("key", "ra", "cb").applyInArrow(meet, "a long, b long").distinct())
 
 
-def _same_id(sigs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Edges (a, b) between the representatives of texts that share an id."""
-    texts = sigs.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "d1", "d2", "n").distinct()
-    several = texts.join(texts.groupBy(F.col("doc_id").alias("k")).count().where("count > 1"), F.col("doc_id") == F.col("k"))
+def _same_id(sigs: DataFrame, reps: DataFrame) -> DataFrame | None:
+    """Edges (a, b) between the representatives of texts that share an id; None if no id has several texts."""
+    texts = sigs.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "d1", "d2", "n")
+    text = F.struct("d1", "d2", "n")
+    several = cut(texts.groupBy(F.col("doc_id").alias("k")).agg(F.min(text).alias("low"), F.max(text).alias("high")).where("low <> high").select("k"))
+    if several.isEmpty():
+        return None
+    texts = texts.join(several, F.col("doc_id") == F.col("k")).distinct()
     own = reps.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("n").alias("m"), "rep")
-    found = several.join(own, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n") == F.col("m")))
+    found = texts.join(own, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n") == F.col("m")))
     least = found.groupBy("doc_id").agg(F.min("rep").alias("a"))
-    return found.join(least, "doc_id").select("a", F.col("rep").alias("b")).where("a <> b").distinct()
+    return cut(found.join(least, "doc_id").select("a", F.col("rep").alias("b")).where("a <> b").distinct())
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = 40, rows: int = 6) -> DataFrame:
@@ -259,12 +263,14 @@ def _grouped(docs: DataFrame, shingle_words: int, percent: int, bands: int, rows
     reps = cut(reps)
     members = reps.select(F.col("rep").alias("i"), F.explode("bands").alias("key"))
     crowd = members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    members = cut(members.join(cut(crowd).withColumnRenamed("key", "k"), F.col("key") == F.col("k")).select("i", "key", "c"))
+    members = cut(members.join(crowd.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).select("i", "key", "c"))
     meets = members.groupBy("i").agg(F.sum("c").alias("met"))
-    hubs = members.join(cut(meets).withColumnRenamed("i", "j"), F.col("i") == F.col("j")).groupBy("key").agg(F.max(F.struct("met", (-F.col("i")).alias("m"))).alias("h"))
+    hubs = members.join(meets.withColumnRenamed("i", "j"), F.col("i") == F.col("j")).groupBy("key").agg(F.max(F.struct("met", (-F.col("i")).alias("m"))).alias("h"))
     hubs = cut(hubs.select(F.col("key").alias("k"), (-F.col("h.m")).alias("hub")))
     stars = members.join(hubs, F.col("key") == F.col("k")).where("i <> hub").select(F.least("i", "hub").alias("a"), F.greatest("i", "hub").alias("b")).distinct()
-    edges = _confirmed(cut(stars), reps, docs, shingle_words, percent, bands * rows).union(_same_id(sigs, reps))
+    edges = _confirmed(cut(stars), reps, docs, shingle_words, percent, bands * rows)
+    if (same := _same_id(sigs, reps)) is not None:
+        edges = edges.union(same)
     parts = cut(components(edges))
     labels = members.join(parts, F.col("i") == F.col("node"), "left").select("key", "i", F.coalesce("component", "i").alias("part"))
     labels = cut(labels)
