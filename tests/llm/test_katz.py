@@ -114,3 +114,49 @@ def test_numbers_as_bytes():
         x = np.array(x, dtype=np.int64)
         assert (katz.unpack(katz.pack(x)) == x).all()
         assert (katz.unpack(katz.pack(np.sort(x), rising=True), rising=True) == np.sort(x)).all()
+
+
+def test_ranks_of_numbers_too_wide_and_of_like_hashes():
+    rng = np.random.default_rng(5)
+    wide = rng.integers(0, 1 << 62, 300)
+    like = (np.uint64(1 << 63) + rng.integers(0, 50, 300).astype(np.uint64))  # they differ in the low bits only
+    for key in (np.array([], dtype=np.int64), np.zeros(1, dtype=np.int64), rng.integers(0, 9, 1000), np.append(wide, wide), np.append(like, rng.integers(0, 1 << 64, 300, dtype=np.uint64))):
+        order, first, of, values = katz._numbered(key)
+        assert (np.sort(order) == np.arange(len(key))).all() and (key[order] == np.sort(key)).all()
+        assert (values == np.unique(key)).all() and (values[of] == key).all() and (key[order[first]] == values).all()
+    for a, b in ((rng.integers(0, 5, 400), rng.integers(0, 7, 400)), (rng.integers(0, 300, 400), rng.integers(0, 1 << 62, 400) // 3 * 3), (wide[:0], wide[:0])):
+        order, first, of, own, word = katz._pairs(a, b)
+        assert list(zip(own.tolist(), word.tolist())) == sorted(set(zip(a.tolist(), b.tolist())))
+        assert (own[of] == a).all() and (word[of] == b).all() and (a[order[first]] == own).all()
+
+
+def test_block_is_grouped_without_sorting_positions(monkeypatch):
+    """Keys are sorted with their positions in them, and one compressor serves a whole process."""
+    zstandard = pytest.importorskip("zstandard")
+    made, sorts = [], []
+    compressor, argsort = zstandard.ZstdCompressor, np.argsort
+    monkeypatch.setattr(zstandard, "ZstdCompressor", lambda **how: made.append(1) or compressor(**how))
+    monkeypatch.setattr(np, "argsort", lambda *x, **how: sorts.append(1) or argsort(*x, **how))
+    rng = np.random.default_rng(11)
+    n, numbers = np.array([2, 700, 1, 1300]), np.sort(rng.choice(5000, 40, replace=False)) + katz.FIRST_NO
+    tokens, held = rng.integers(0, 40, n.sum()), np.array([0, 1, 0, 0])
+    counts = np.full(40, 100)
+    block = katz.Block({"n": katz.pack(n), "held": katz.pack(held), "tokens": katz.pack(tokens), "words": katz.pack(numbers), "counts": katz.pack(counts)})
+    shared = katz.Shared(7, 3, 4000, 1 / 80)  # contexts of over 50 are hot: all words are
+    words = katz.Grams(block, 1, None, shared)
+    pairs = katz.Grams(block, 2, words, shared)
+    pairs.c = np.append(3, np.full(len(pairs.context) - 1, 2))
+    triples = katz.Grams(block, 3, pairs, shared)
+    assert not sorts and len(made) <= 1
+    for grams in (pairs, triples):
+        order, cuts, first, heads = grams.layout()
+        assert sorted(order.tolist()) == list(range(1, len(grams.context))) and cuts[-1] == len(order) and heads[-1] == len(first)
+        for p in range(7):  # runs of one context end where their partition does
+            runs = grams.context[order[first[heads[p] : heads[p + 1]]]]
+            assert (np.diff(runs) > 0).all() and len(runs) == len(set(grams.context[order[cuts[p] : cuts[p + 1]]].tolist()))
+    assert not sorts
+    padded = [([0] * 2 + numbers[t].tolist(), h) for t, h in zip(np.split(tokens, np.cumsum(n)[:-1]), held)]
+    for k, grams in ((2, pairs), (3, triples)):
+        want = Counter(tuple(t[j - k + 1 : j + 1]) for t, h in padded if not h for j in range(2, len(t)))
+        got = dict(zip(zip(*(x.tolist() for x in grams.columns)), grams.counts().tolist()))
+        assert {g: c for g, c in got.items() if c} == dict(want)

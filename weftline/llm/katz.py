@@ -32,6 +32,7 @@ a text longer than a block is a block of its own. Other columns are ignored.
 from __future__ import annotations
 
 import struct
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -90,30 +91,39 @@ def held_out(doc_id):
 # ---- numbers as bytes
 
 
-def pack(x: np.ndarray, rising: bool = False) -> bytes:
-    """Non-negative whole numbers by byte planes, compressed; rising: their steps instead."""
+@cache
+def _zstd():
+    """One compressor and one decompressor for all calls of a process."""
     import zstandard
 
-    x = np.ascontiguousarray(x).astype("<u8")
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def pack(x: np.ndarray, rising: bool = False) -> bytes:
+    """Non-negative whole numbers by byte planes, compressed; rising: their steps instead."""
     if rising and len(x):
         x = np.diff(x, prepend=x.dtype.type(0))
     width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
-    planes = x.view(np.uint8).reshape(-1, 8)[:, :width].T
+    size = next(k for k in (1, 2, 4, 8) if width <= k)
+    parts = x.astype(f"<u{size}").view(np.uint8).reshape(-1, size)
+    planes = np.empty((width, len(x)), dtype=np.uint8)
+    for k in range(width):
+        planes[k] = parts[:, k]
     body = planes.tobytes()
-    pressed = zstandard.ZstdCompressor(level=1).compress(body) if len(body) > 64 else body
+    pressed = _zstd()[0].compress(body) if len(body) > 64 else body
     small = len(pressed) < len(body)
     return struct.pack("<IBB", len(x), width, small) + (pressed if small else body)
 
 
 def unpack(raw: bytes, rising: bool = False) -> np.ndarray:
-    import zstandard
-
     n, width, small = struct.unpack_from("<IBB", raw)
-    body = zstandard.ZstdDecompressor().decompress(raw[6:]) if small else raw[6:]
-    out = np.zeros((n, 8), dtype=np.uint8)
-    if width:
-        out[:, :width] = np.frombuffer(body, dtype=np.uint8).reshape(width, n).T
-    out = out.view("<u8").reshape(-1).view(np.int64)
+    body = _zstd()[1].decompress(raw[6:]) if small else raw[6:]
+    if not width:
+        return np.zeros(n, dtype=np.int64)
+    planes = np.frombuffer(body, dtype=np.uint8).reshape(width, n)
+    out = planes[0].astype(np.int64)
+    for k in range(1, width):
+        out |= planes[k].astype(np.int64) << (8 * k)
     return np.cumsum(out) if rising else out
 
 
@@ -124,15 +134,50 @@ def _doubles(raw: bytes) -> np.ndarray:
 # ---- grouping
 
 
-def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order that sorts key, where each distinct value begins in that order, number of the value of each element)."""
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order that sorts key, key in that order); key: non-negative numbers, or hashes as uint64.
+
+    Sorting numbers that hold their own position is about three times faster than sorting positions. Hashes lose the low bits
+    that the position takes, which seldom decide; positions are sorted where they do and where the numbers are too wide."""
+    n = len(key)
+    bits, kind = n.bit_length(), key.dtype.type
+    if n and key.dtype == np.uint64:
+        packed = np.sort((key >> kind(bits) << kind(bits)) | np.arange(n, dtype=np.uint64))
+        order = (packed & kind((1 << bits) - 1)).astype(np.int64)
+        ranked = key[order]
+        if (ranked[1:] >= ranked[:-1]).all():
+            return order, ranked
+    elif n and int(key.max()).bit_length() + bits < 64:
+        packed = np.sort((key << bits) | np.arange(n))
+        return packed & ((1 << bits) - 1), packed >> bits
     order = np.argsort(key)
-    ranked = key[order]
+    return order, key[order]
+
+
+def _numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order that sorts key, where each distinct value begins in that order, number of the value of each element, the values)."""
+    order, ranked = _ranked(key)
     new = np.ones(len(key), dtype=bool)
     new[1:] = ranked[1:] != ranked[:-1]
+    first = np.flatnonzero(new)
     of = np.empty(len(key), dtype=np.int64)
-    of[order] = np.cumsum(new) - 1
-    return order, np.flatnonzero(new), of
+    of[order] = np.repeat(np.arange(len(first)), _runs(first, len(key)))
+    return order, first, of, ranked[first]
+
+
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order that sorts key, where each distinct value begins in that order, number of the value of each element)."""
+    return _numbered(key)[:3]
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """`_groups` of the pairs of two columns, in the order of a, then b, and each distinct pair's a and b."""
+    bits = int(b.max()).bit_length() if len(b) else 0
+    if len(a) and int(a.max()).bit_length() + bits >= 63:
+        order, first, of = _groups(_joined([a, b]))
+        return order, first, of, a[order[first]], b[order[first]]
+    order, first, of, values = _numbered((a << bits) | b)
+    return order, first, of, values >> bits, values & ((1 << bits) - 1)
 
 
 def _joined(columns: list[np.ndarray]) -> np.ndarray:
@@ -164,10 +209,18 @@ def _hash_of(columns: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _by_place(place: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(elements by partition, in their order inside it; where each partition begins, and the end)."""
+    bits = len(place).bit_length()
+    kind = np.uint32 if bits + parts.bit_length() <= 32 else np.uint64
+    packed = np.sort((place.astype(kind) << kind(bits)) | np.arange(len(place), dtype=kind))
+    cuts = np.searchsorted(packed, np.arange(parts + 1).astype(kind) << kind(bits))
+    return (packed & kind((1 << bits) - 1)).astype(np.int64), cuts
+
+
 def _split(place: np.ndarray, parts: int):
     """(partition, index array) of each partition that has elements; indexes keep their order."""
-    order = np.argsort(place.astype(np.uint16 if parts < 65536 else np.int32), kind="stable")
-    cuts = np.searchsorted(place[order], np.arange(parts + 1))
+    order, cuts = _by_place(place, parts)
     return ((p, order[cuts[p] : cuts[p + 1]]) for p in range(parts) if cuts[p] < cuts[p + 1])
 
 
@@ -201,7 +254,7 @@ class Level:
 
     def seen(self, c: np.ndarray, total: np.ndarray) -> np.ndarray:
         """P of n-grams that were seen c times, total being the context's D."""
-        return np.where(c <= TOP, self.d[np.minimum(c, TOP)], 1.0) * c / total
+        return np.append(self.d, 1.0)[np.minimum(c, TOP + 1)] * c / total
 
     def left(self, m: np.ndarray, total: np.ndarray) -> np.ndarray:
         """What contexts leave for unseen successors; m[:, r]: how many of theirs were seen r times."""
@@ -309,54 +362,60 @@ class Grams:
     """The distinct n-grams of a block at one level.
 
     of: number of each token's n-gram. context, word, lower: of each n-gram its context (number of the level below; 0 is
-    all start marks), its last word, and the n-gram without its first word. columns: the word numbers of each."""
+    all start marks), its last word, and the n-gram without its first word. columns: the word numbers of each. N-grams are
+    in the order of their contexts, then words."""
 
     def __init__(self, block: Block, level: int, below: "Grams | None", shared: Shared):
-        self.level, self.below, self.shared = level, below, shared
+        self.block, self.level, self.below, self.shared = block, level, below, shared
         if level == 1:  # places 0: START, then the block's words by number
+            self.words = self
             self.numbers = np.concatenate(([START_NO], unpack(block.row["words"])))
             self.c = np.concatenate(([shared.docs], unpack(block.row["counts"])))
             self.of = block.tokens + 1
-            self.columns = [self.numbers]
             return
         context = np.empty_like(below.of)
         context[1:] = below.of[:-1]
         context[block.starts] = 0
-        words = below
-        while words.below is not None:
-            words = words.below
-        wide = len(words.numbers)
-        order, first, of = _groups(context * wide + words.of)
-        some = order[first]
+        self.words = below.words
+        order, first, of, own, word = _pairs(context, self.words.of)
         # n-gram 0 stands for start marks alone
         self.of = of + 1
-        self.context = np.concatenate(([0], context[some]))
-        self.word = np.concatenate(([0], words.of[some]))
-        self.lower = np.concatenate(([0], below.of[some]))
-        self.columns = [x[self.context] for x in below.columns] + [words.numbers[self.word]]
-        self.count = np.concatenate(([0], _sums(block.learn[order].astype(np.int64), first)))
-        self.hot = below.c[self.context] > shared.bar
-        self.words = words
-
-    def packets(self):
-        """(partition, numbers of the n-grams that it is asked for, numbers of their contexts, each context's run)."""
-        keys = _hash_of(self.below.columns)[self.context]
-        keys = np.where(self.hot, mixed(keys, self.words.numbers[self.word].astype(np.uint64)), keys)
-        place = _place(keys, self.shared.parts)
-        for p, at in _split(place[1:], self.shared.parts):
-            at = at + 1
-            context = self.context[at]
-            first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-            yield p, at, context[first], _runs(first, len(at))
+        self.context, self.word = np.concatenate(([0], own)), np.concatenate(([0], word))
+        self.lower = self.word if level == 2 else np.concatenate(([0], below.of[order[first]]))
+
+    @cached_property
+    def columns(self) -> list[np.ndarray]:
+        if self.level == 1:
+            return [self.numbers]
+        return [x[self.context] for x in self.below.columns] + [self.words.numbers[self.word]]
+
+    def counts(self) -> np.ndarray:
+        """How often each n-gram stands in the block's training texts."""
+        return np.bincount(self.of[self.block.learn], minlength=len(self.context))
+
+    def layout(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(n-grams by the partition that is asked for them, where each partition begins and the end, where runs of one
+        context in one partition begin, and the run that each partition begins with and the end)."""
+        keys, hot, parts = _hash_of(self.below.columns), self.below.c > self.shared.bar, self.shared.parts
+        place = _place(keys, parts)[self.context[1:]]
+        if hot.any():
+            at = np.flatnonzero(hot[self.context[1:]])
+            place[at] = _place(mixed(keys[self.context[at + 1]], self.words.numbers[self.word[at + 1]].astype(np.uint64)), parts)
+        order, cuts = _by_place(place, parts)
+        order += 1
+        context = self.context[order]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = context[1:] != context[:-1]
+        new[cuts[cuts < len(order)]] = True
+        first = np.flatnonzero(new)
+        return order, cuts, first, np.searchsorted(first, cuts)
 
     def probabilities(self) -> np.ndarray:
         """P of each n-gram's word after its context, once the level is answered (`answer`)."""
         if self.level == 1:
             return np.where(self.c > 0, self.shared.levels[0].seen(self.c, self.shared.total[0]), self.shared.unknown)
-        out = np.empty(len(self.c))
-        known = self.c > 0
-        out[known] = self.shared.levels[self.level - 1].seen(self.c[known], self.totals()[self.context[known]])
-        out[~known] = self.unseen
+        out = self.shared.levels[self.level - 1].seen(self.c, np.maximum(self.totals(), 1)[self.context])
+        out[self.c == 0] = self.unseen
         return out
 
     def totals(self) -> np.ndarray:
@@ -379,29 +438,32 @@ class Grams:
         """Take the partitions' replies: counts, contexts that leave nothing, and masses of those that are needed."""
         level = self.shared.levels[self.level - 1]
         contexts = len(self.below.c)
-        self.c = np.zeros(len(self.context), dtype=np.int64)
+        order, cuts, first, _ = self.layout()
+        asked = [replies[p] for p in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()]
+        self.c = np.empty(len(self.context), dtype=np.int64)
+        self.c[0] = self.shared.docs
+        self.c[order] = np.concatenate([unpack(c) for c, *_ in asked])
         self.spare = np.zeros(contexts, dtype=np.int64)
-        mass, m = np.zeros(contexts), np.zeros((contexts, TOP + 1), dtype=np.int64)
-        for p, at, context, run in self.packets():
-            c, spare, s, few = replies[p]
-            self.c[at] = unpack(c)
-            self.spare[context] |= unpack(spare)
-            missing = np.logical_or.reduceat(self.c[at] == 0, np.cumsum(run) - run)
-            need = context[missing & (self.below.c[context] > 0) & ~(self.below.c[context] > self.shared.bar)]
-            mass[need] = _doubles(s)
-            m[need, 1:] = unpack(few).reshape(-1, TOP)
-        hot = np.flatnonzero(self.below.c > self.shared.bar)
-        hot = hot[np.isin(hot, self.context[1:])]
-        if len(hot):
-            at = level.find_hot(_hash_of([x[hot] for x in self.below.columns]))
-            mass[hot], m[hot] = level.hot[1][at], level.hot[2][at]
-            self.spare[hot] = ~m[hot, 1:].any(axis=1)
-        self.c[0], unseen = self.shared.docs, self.c == 0
-        unseen[0] = self.shared.docs == 0
-        context = self.context[unseen]
-        left = level.left(m[context], np.maximum(self.totals()[context], 1))
-        alpha = np.where(self.below.c[context] > 0, left / (1 - mass[context]), 1.0)
-        self.unseen = alpha * self.below.probabilities()[self.lower[unseen]]
+        heads = self.context[order[first]]
+        self.spare[heads] = np.concatenate([unpack(spare) for _, spare, *_ in asked])
+        unseen = np.flatnonzero(self.c == 0)
+        seen, hot = self.below.c > 0, self.below.c > self.shared.bar
+        missing = np.zeros(contexts, dtype=bool)
+        missing[self.context[unseen[unseen > 0]]] = True
+        need = heads[(missing & seen & ~hot)[heads]]
+        mass = np.concatenate([_doubles(s) for *_, s, _ in asked])
+        m = np.zeros((len(need), TOP + 1), dtype=np.int64)
+        m[:, 1:] = np.concatenate([unpack(few) for *_, few in asked]).reshape(-1, TOP)
+        alpha = np.ones(contexts)
+        alpha[need] = level.left(m, np.maximum(self.totals()[need], 1)) / (1 - mass)
+        followed = np.zeros(contexts, dtype=bool)
+        followed[heads] = True
+        if (some := np.flatnonzero(hot & followed)).size:
+            at = level.find_hot(_hash_of([x[some] for x in self.below.columns]))
+            m = level.hot[2][at]
+            self.spare[some] = ~m[:, 1:].any(axis=1)
+            alpha[some] = level.left(m, self.totals()[some]) / (1 - level.hot[1][at])
+        self.unseen = alpha[self.context[unseen]] * self.below.probabilities()[self.lower[unseen]]
 
 
 # ---- partitions
@@ -489,16 +551,20 @@ def _gram_packets(blocks: DataFrame, level: int, bound) -> DataFrame:
             for row in _rows_of(batch):
                 grams = _known(Block(row), level, shared)
                 below = grams.below
-                total = below.totals()[below.context] if level > 2 else None
+                order, cuts, first, heads = grams.layout()
+                context, lower = grams.context[order[first]], grams.lower[order]
+                columns = [x[context] for x in below.columns]
+                marks = below.c[context] > shared.bar
+                runs = _runs(first, len(order))
+                words, counts, low = grams.words.numbers[grams.word[order]], grams.counts()[order], below.c[lower]
+                # the lower n-grams of one context's seen successors share their own context
+                total = below.totals()[below.context[lower[first]]] if level > 2 else None
                 out = []
-                for p, at, context, run in grams.packets():
-                    columns = [x[context] for x in below.columns]
-                    names = b"".join(struct.pack("<I", len(x)) + x for x in (pack(col, rising=k == 0) for k, col in enumerate(columns)))
-                    lower = grams.lower[at]
-                    # the lower n-grams of one context's seen successors share their own context
-                    own = pack(total[lower[np.cumsum(run) - run]]) if level > 2 else b""
-                    marks = (below.c[context] > shared.bar).astype(np.int64)
-                    out.append((p, row["block"], names, pack(marks), pack(run), pack(grams.words.numbers[grams.word[at]]), pack(grams.count[at]), pack(below.c[lower]), own))
+                for p in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+                    at, of = slice(cuts[p], cuts[p + 1]), slice(heads[p], heads[p + 1])
+                    names = b"".join(struct.pack("<I", len(x)) + x for x in (pack(col[of], rising=k == 0) for k, col in enumerate(columns)))
+                    own = pack(total[of]) if level > 2 else b""
+                    out.append((p, row["block"], names, pack(marks[of]), pack(runs[of]), pack(words[at]), pack(counts[at]), pack(low[at]), own))
                 yield _batch(out, PACKET_NAMES, PACKET_TYPES)
 
     return blocks.mapInArrow(run, PACKET)
@@ -528,36 +594,34 @@ def _count_grams(level: int, bound, all_masses: bool):
         sizes = [int(r.sum()) for r in np.split(run, np.cumsum(runs_of)[:-1])]
         total = np.concatenate([unpack(x["g"]) for x in packets]) if level > 2 else None
         c_order, c_first, c_of = _groups(_joined(columns))
-        entry = np.repeat(np.arange(len(run)), run)
-        order, first, of = _groups(_joined([c_of[entry], word]))
+        # own: rising, as n-grams are in the order of their contexts
+        order, first, of, own, own_word = _pairs(np.repeat(c_of, run), word)
         some = order[first]
         c = _sums(count[order], first)
         seen = c > 0
-        lower = shared.levels[level - 2].seen(low[some], np.maximum(total[entry[some]], 1) if level > 2 else shared.total[0])
-        own = c_of[entry[some]]  # rising, as n-grams are in the order of their contexts
+        heads = c_order[c_first]
         n = len(c_first)
+        lower = shared.levels[level - 2].seen(low[some], np.maximum(total, 1)[heads][own] if level > 2 else shared.total[0])
         mass = np.bincount(own[seen], weights=lower[seen], minlength=n)
-        m = np.zeros((n, TOP + 1), dtype=np.int64)
-        for r in range(1, TOP + 1):
-            m[:, r] = np.bincount(own[c == r], minlength=n)
-        there = np.bincount(own, weights=c, minlength=n) > 0
-        heads = c_order[c_first]
+        few = seen & (c <= TOP)
+        m = np.bincount(own[few] * (TOP + 1) + c[few], minlength=n * (TOP + 1)).reshape(n, TOP + 1)
+        successors = np.bincount(own[seen], minlength=n)
+        there = successors > 0
         hot = marks[heads] > 0
         spare = there & ~hot & ~m[:, 1:].any(axis=1)
 
         kept = np.flatnonzero(there)
         contexts = b"".join(struct.pack("<I", len(x)) + x for x in (pack(col[heads[kept]], rising=k == 0) for k, col in enumerate(columns)))
-        successors = np.bincount(own[seen], minlength=n)[kept]
-        many = kept[(all_masses | (successors > 1)) & ~hot[kept]]
-        out = [("model", p, -1, contexts, pack(successors), pack(word[some][seen]), pack(c[seen]), mass[many].astype("<f8").tobytes(), _types(c))]
+        many = kept[(all_masses | (successors[kept] > 1)) & ~hot[kept]]
+        out = [("model", p, -1, contexts, pack(successors[kept]), pack(own_word[seen]), pack(c[seen]), mass[many].astype("<f8").tobytes(), _types(c))]
         if (some_hot := kept[hot[kept]]).size:
             keys = _hash_of([col[heads[some_hot]] for col in columns])
             out.append(("hot", p, -1, keys.tobytes(), mass[some_hot].astype("<f8").tobytes(), pack(m[some_hot, 1:].reshape(-1)), None, None, None))
-        missing = np.logical_or.reduceat(c[of] == 0, np.cumsum(run) - run)
-        need = missing & there[c_of] & ~hot[c_of]
+        counts, spares = c[of], spare[c_of]
+        need = np.logical_or.reduceat(counts == 0, np.cumsum(run) - run) & (there & ~hot)[c_of]
         for x, r, s in zip(packets, _slices(runs_of), _slices(sizes)):
             ask = c_of[r][need[r]]
-            out.append(("reply", p, x["block"], pack(c[of[s]]), pack(spare[c_of[r]]), mass[ask].astype("<f8").tobytes(), pack(m[ask, 1:].reshape(-1)), None, None))
+            out.append(("reply", p, x["block"], pack(counts[s]), pack(spares[r]), mass[ask].astype("<f8").tobytes(), pack(m[ask, 1:].reshape(-1)), None, None))
             if len(out) >= 64:
                 yield _batch(out, OUT_NAMES, OUT_TYPES)
                 out = []
