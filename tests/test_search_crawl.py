@@ -59,6 +59,36 @@ def test_sparse_tiles_equal_a_join(spark):
     assert retrieval.sparse_topk(p.where("false"), t).count() == retrieval.sparse_topk(p, t.where("false")).count() == 0
 
 
+def shuffled(spark):
+    """Rows that stages have written for a shuffle so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_searches_copy_neither_side(spark):
+    rng = random.Random(6)
+    p = spark.createDataFrame([(i, t, rng.random()) for i in range(300) for t in rng.sample(range(40), 10)], "id long, token_id int, weight double").coalesce(1)
+    t = spark.createDataFrame([(q, t, rng.random()) for q in range(200) for t in rng.sample(range(40), 3)], "query_id long, token_id int, weight double").coalesce(1)
+    before = shuffled(spark)
+    found = retrieval.sparse_topk(p, t, 2, tiles=(4, 40)).count()
+    assert found == 400 and shuffled(spark) - before < 300 * 10 + 200 * 3
+    v = spark.createDataFrame([(i, [rng.random() for _ in range(4)]) for i in range(400)], "id long, dense array<double>").coalesce(1)
+    before = shuffled(spark)
+    found = retrieval.dense_topk(v, v.select(F.col("id").alias("query_id"), "dense"), 1, tile=(400, 20)).count()
+    assert found == 400 and shuffled(spark) - before < 2 * 400
+
+
+def test_equal_scores_weights_of_zero_and_split_keys(spark):
+    copies = [(i, t, 0.1 * t) for i in range(500, 0, -1) for t in (1, 2, 3, 7)]
+    p = spark.createDataFrame([*copies, (0, 0, 0.0), (501, 1, 0.5), (600, 9, 1.0), (501, 1, 0.25)], "id long, token_id int, weight double").repartition(7)
+    t = spark.createDataFrame([(1, 1, 0.5), (1, 3, 0.7), (2, 0, 0.0), (3, 4, 1.0), (2, 9, -1.0)], "query_id long, token_id int, weight double")
+    for block in ((250_000, 150_000), (5, 1)):
+        got = [(r.query_id, r.id, r.score) for r in retrieval.sparse_topk(p, t, 3, block=block).orderBy("query_id", "rank").collect()]
+        assert got == [(1, 501, 0.375), (1, 1, 0.26), (1, 2, 0.26), (2, 0, 0.0), (2, 600, -1.0)]
+
+
 def ranked(spark, *ids):
     return spark.createDataFrame([(1, i, k + 1) for k, i in enumerate(ids)], "query_id long, id long, rank int")
 
