@@ -98,3 +98,20 @@ def test_chunk_pages(spark):
     assert rows[0].text == "Page Title: Title that makes the summary long enough\nSummary: about" and rows[1].section == ""
     assert rows[2].section == "A → Total Cost" and rows[2].text.startswith("[Section: A → Total Cost]\n\nThe total")
     assert rows[3].text.startswith("Table: Fees\n\n| a |") and rows[3].section == "Table: Fees"
+
+
+def test_pages_are_parsed_and_chunked_in_slices(spark):
+    import pyarrow as pa
+
+    from weftline.functions.slices import sliced
+
+    texts = ["x" * n for n in (10, 10, 50, 200, 1, 1, 1, 1)] + [None, "é" * 30]
+    got = list(sliced([pa.array(texts), pa.array([], pa.string())], rows=3, size=100))
+    assert [t for (s,) in got for t in s] == texts
+    assert [len(s) for (s,) in got] == [3, 1, 3, 3] and all(len(s) == 1 or sum(len((t or "").encode()) for t in s) <= 100 for (s,) in got)
+    frame = spark.createDataFrame([(i, f"http://e.com/{i}", HTML.replace("Schemes", f"Schemes {i}")) for i in range(300)], "page_id long, url string, html string").coalesce(1)
+    parsed = parsing.parse_pages(frame)
+    chunks = chunking.chunk_pages(parsed.withColumns({"doc_id": F.col("page_id").cast("string"), "domain": F.lit(""), "depth": F.lit(0)}))
+    plan = chunks._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == plan.count("], 251") == 2  # both take Arrow batches in and give slices out
+    assert [r.heading_hierarchy[0] for r in parsed.orderBy("page_id").collect()] == [f"Schemes {i}" for i in range(300)]
